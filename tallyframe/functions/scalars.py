@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,30 +145,36 @@ def signed_log(base: Column) -> Column:
 
 
 def one_hot(position: Column, size: int, start: int = 0) -> Column:
-    """`size` floats with a one where the running index equals `position`."""
-    indexes = F.array(*[F.lit(i) for i in range(start, start + size)])
-    return F.transform(indexes, lambda i: (i == position).cast("float"))
+    """`size` floats with a one where the running index equals `position`.
+
+    Written out element by element: the shared `position` is then computed once per row,
+    which the body of a lambda would repeat for every element.
+    """
+    return F.array(*[(position == i).cast("float") for i in range(start, start + size)])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind `value` once for use inside nested lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def mean_pool(tokens: Column, mask: Column, size: int) -> Column:
     """Mean of the token vectors whose mask is 1, scaled to unit length."""
     zero = F.array_repeat(F.lit(0.0), size)
-    kept = F.transform(
-        F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda p: p["m"] == 1),
-        lambda p: F.transform(p["t"], lambda x: x.cast("double")),
-    )
-    total = F.aggregate(kept, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    pairs = F.zip_with(tokens, mask, lambda t, m: F.when(m == 1, F.transform(t, lambda x: x.cast("double"))))
+    kept = F.filter(pairs, lambda v: v.isNotNull())
     count = F.greatest(F.size(kept).cast("double"), F.lit(1e-9))
-    mean = F.transform(total, lambda x: x / count)
-    norm = F.sqrt(F.aggregate(mean, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(mean, lambda x: x / norm)
+    total = F.aggregate(kept, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    mean = let(count, lambda n: F.transform(total, lambda x: x / n))
+    return let(mean, lambda v: let(
+        F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)),
+        lambda norm: F.transform(v, lambda x: x / norm)))
 
 
 def log_softmax_at(logits: Column, label: Column) -> Column:
     """Log probability of `label`, shifted by the maximum for stability."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.get(logits, label) - top - F.log(total)
+    return let(F.array_max(logits), lambda top: F.get(logits, label) - top - F.log(
+        F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))))
 
 
 def argmax_last(scores: Column) -> Column:

@@ -249,13 +249,19 @@ def rename_users(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
 
 
 def remove_users(tables: Tables, requests: DataFrame) -> tuple[Tables, DataFrame]:
-    """Remove users with their memberships; refused for space owners and for the only user."""
+    """Remove users with their memberships; refused for space owners and for the last user.
+
+    When the requests would leave nobody, the greatest user id stays.
+    """
     users, members = tables["users"], tables["space_members"]
     owners = sole_owner_spaces(members).select(F.col("user_id").alias("id")).distinct()
-    # One row: how many users there are.
+    wanted = users.select("id").join(requests.select("id"), "id", "left_semi").join(
+        owners, "id", "left_anti")
+    # Two one-row totals: how many users there are and how many would go.
     total = users.agg(F.count(F.lit(1)).alias("_users"))
-    free = requests.select("id").join(owners, "id", "left_anti").join(F.broadcast(total)).where(
-        "_users > 1").select("id")
+    going = wanted.agg(F.count(F.lit(1)).alias("_going"), F.max("id").alias("_last"))
+    free = wanted.join(F.broadcast(total)).join(F.broadcast(going)).where(
+        "_going < _users or id <> _last").select("id")
     refused = requests.select("id").join(free, "id", "left_anti")
     kept_members = members.join(
         free.select(F.col("id").alias("user_id")), "user_id", "left_anti").select(*members.columns)
@@ -286,13 +292,17 @@ def edit_members(members: DataFrame, users: DataFrame, edits: DataFrame, at: str
 
 
 def leave_space(members: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """requests(space_id, user_id). Refused where it would leave the space without members."""
+    """requests(space_id, user_id). The last member of a space may not leave.
+
+    When all members ask at once, the one with the greatest id stays.
+    """
     keys = ["space_id", "user_id"]
     leaving = requests.select(*keys).distinct().join(members.select(*keys), keys, "left_semi")
     sizes = members.groupBy("space_id").agg(F.count(F.lit(1)).alias("_members"))
-    leavers = leaving.groupBy("space_id").agg(F.count(F.lit(1)).alias("_leaving"))
-    emptied = sizes.join(leavers, "space_id").where("_leaving >= _members").select("space_id")
-    granted = leaving.join(emptied, "space_id", "left_anti")
+    leavers = leaving.groupBy("space_id").agg(
+        F.count(F.lit(1)).alias("_leaving"), F.max("user_id").alias("user_id"))
+    last = leavers.join(sizes, "space_id").where("_leaving = _members").select(*keys)
+    granted = leaving.join(last, keys, "left_anti")
     return (members.join(granted, keys, "left_anti").select(*members.columns),
             requests.join(granted, keys, "left_anti"))
 
