@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbering import hash_prefix, numbered
 from ..functions.scalars import composite_key
 from ..schemas import KEYS, LOGGED, payload_schema
+from ..session import settle
 from .mutate import Tables
 
 _JSON = {"ignoreNullFields": "false"}
@@ -71,7 +72,8 @@ def capture_changes(before: Tables, after: Tables, author: str, base_seq: int,
 
     Upserts are numbered parents first, deletes children first. Within a table the order is
     that of the hashed row id, which lets the numbering run in even buckets, however large
-    the tenant is.
+    the tenant is. The differing rows are written out once before they are numbered, so
+    the comparison of the two versions does not run twice.
     """
     known_accounts = before["accounts"].select("id", "space_id", F.lit(0).alias("age")).unionByName(
         after["accounts"].select("id", "space_id", F.lit(1).alias("age")))
@@ -79,8 +81,8 @@ def capture_changes(before: Tables, after: Tables, author: str, base_seq: int,
         F.max_by("space_id", "age").alias("_space"))
     logged = []
     for rank, table in enumerate(LOGGED):
-        if table not in after:
-            continue
+        if table not in after or after[table] is before[table]:
+            continue  # the very same frame on both sides has no changes
         old, new = before[table], after[table]
         if table == "space_members":
             new = with_users(new, after["users"])
@@ -101,7 +103,8 @@ def capture_changes(before: Tables, after: Tables, author: str, base_seq: int,
             "operation", F.when(~deleted, snapshot_json(table, "new")).alias("payload"),
             F.when(deleted, F.lit(2 * len(LOGGED) - rank)).otherwise(F.lit(rank)).alias("_phase"),
         ))
-    return _finish(reduce(DataFrame.unionByName, logged), author, base_seq, changed_at)
+    changes = settle(reduce(DataFrame.unionByName, logged), "captured")
+    return _finish(changes, author, base_seq, changed_at)
 
 
 def _finish(changes: DataFrame, author: str, base_seq: int, changed_at: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import capture, replicate, retention
 from ..schemas import ACTIVE_MODEL_SETTING
+from ..session import settle
 from ..sources.given import GivenLedger
 from .catalog import register
 from .oracle import ledger_sql
@@ -210,7 +211,11 @@ def _(led: GivenLedger) -> DataFrame:
     return valid.select("id", F.lit("ok").alias("reason")).unionByName(rejected.select("id", "reason"))
 
 
-def _conflict_sql(seconds: int) -> str:
+_CLOCK = ("'2024-01-01T' || lpad(CAST((seq % 86400) // 3600 AS VARCHAR), 2, '0') || ':' || "
+          "lpad(CAST((seq % 3600) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(seq % 60 AS VARCHAR), 2, '0') || 'Z'")
+
+
+def _conflict_sql(seconds: int, changed_at: str = "changed_at") -> str:
     return ledger_sql(f"""
     SELECT space_id, table_name, row_id, seq, field, local_value, remote_value, local_changed_at, remote_changed_at
     FROM (
@@ -218,12 +223,13 @@ def _conflict_sql(seconds: int) -> str:
                         {{'field': 'note', 'local_value': local_note, 'remote_value': new_note}}], recursive := true)
       FROM compared)
     WHERE local_value IS DISTINCT FROM remote_value""", f"""
+flow_log AS (SELECT * REPLACE ({changed_at} AS changed_at) FROM decoded_log),
 incoming AS (
   SELECT *, lag(operation) OVER w AS prior_operation, lag(new_category) OVER w AS prior_category,
          lag(new_note) OVER w AS prior_note
-  FROM decoded_log WHERE device_id = 'd1' WINDOW w AS (PARTITION BY row_id ORDER BY seq)),
+  FROM flow_log WHERE device_id = 'd1' WINDOW w AS (PARTITION BY row_id ORDER BY seq)),
 others AS (
-  SELECT row_id, arg_max(changed_at, seq) AS other_changed_at FROM change_log WHERE device_id <> 'd1' GROUP BY 1),
+  SELECT row_id, arg_max(changed_at, (changed_at, seq)) AS other_changed_at FROM flow_log WHERE device_id <> 'd1' GROUP BY 1),
 compared AS (
   SELECT i.space_id, i.table_name, i.row_id, i.seq, i.new_category, i.new_note,
          o.other_changed_at AS local_changed_at, i.changed_at AS remote_changed_at,
@@ -235,28 +241,33 @@ compared AS (
         CAST(replace(replace(i.changed_at, 'T', ' '), 'Z', '') AS TIMESTAMP))) <= {seconds})""")
 
 
-def _conflicts(led: GivenLedger, tolerance: int | None) -> DataFrame:
-    incoming = led.change_log.where("device_id = 'd1'").withColumn("batch_no", F.lit(0))
-    stored = led.change_log.where("device_id <> 'd1'")
+def _conflicts(led: GivenLedger, log: DataFrame, tolerance: int | None) -> DataFrame:
+    incoming = log.where("device_id = 'd1'").withColumn("batch_no", F.lit(0))
+    stored = log.where("device_id <> 'd1'")
     rows = led.transactions(text=False, balance=False)
     return replicate.detect_conflicts(incoming, rows, stored, tolerance)
 
 
-@register("detect_conflicts", _conflict_sql(60))
+@register("detect_conflicts", _conflict_sql(60, _CLOCK))
 def _(led: GivenLedger) -> DataFrame:
-    """One device's edits against what the others wrote, 60 seconds apart at most."""
-    return _conflicts(led, None)
+    """One device's edits against what the others wrote, 60 seconds apart at most.
+
+    Entries are re-timed to one per second, so that many fall within the tolerance.
+    """
+    moment = F.make_dt_interval(secs=(F.col("seq") % 86400).cast("decimal(18,6)"))
+    at = F.date_format(F.lit("2024-01-01").cast("timestamp_ntz") + moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return _conflicts(led, led.change_log.withColumn("changed_at", at), None)
 
 
 @register("detect_conflicts_within_day", _conflict_sql(86400))
 def _(led: GivenLedger) -> DataFrame:
-    return _conflicts(led, 86400)
+    return _conflicts(led, led.change_log, 86400)
 
 
 @register("record_conflicts", ledger_sql("SELECT count(*) AS conflicts, count(*) AS ids FROM (" + _conflict_sql(86400) + ")"))
 def _(led: GivenLedger) -> DataFrame:
     """Recorded twice: the second time adds nothing."""
-    found = _conflicts(led, 86400)
+    found = _conflicts(led, led.change_log, 86400)
     from ..schemas import SYNC_CONFLICTS
 
     empty = led.spark.createDataFrame([], SYNC_CONFLICTS)
@@ -289,7 +300,7 @@ def _(led: GivenLedger) -> DataFrame:
     renamed = led.users.withColumn("name", F.upper("name"))
     log = capture.capture_changes(before, members_only, "dev-1", 0, AT).where("table_name = 'space_members'")
     fan = capture.fan_out_user_changes(led.users, renamed, after["space_members"], "dev-1", 10_000_000, AT)
-    changes = log.unionByName(fan).withColumn("batch_no", F.lit(0))
+    changes = settle(log.unionByName(fan), "log").withColumn("batch_no", F.lit(0))
     tables = {"space_members": led.space_members, "users": led.users}
     out = replicate.apply_changes(tables, changes)
     return out["space_members"].join(
@@ -311,8 +322,8 @@ def _(led: GivenLedger) -> DataFrame:
 def _(led: GivenLedger) -> DataFrame:
     """Changes captured between two versions, applied to the first, give the second."""
     before, after = _versions(led)
-    log = capture.capture_changes(before, after, "dev-1", 0, AT).withColumn("batch_no", F.lit(0))
-    out = replicate.apply_changes(before, log)
+    log = settle(capture.capture_changes(before, after, "dev-1", 0, AT), "log")
+    out = replicate.apply_changes(before, log.withColumn("batch_no", F.lit(0)))
 
     def rows(table: str, key: F.Column, value: F.Column) -> DataFrame:
         return out[table].select(F.lit(table).alias("table_name"), key.alias("row_id"),

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators are written for. AQE picks broadcast joins from measured
 # sizes, splits hot join partitions and coalesces small ones; forcing the split keeps it
@@ -42,3 +42,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="tallyframe-")
         spark.sparkContext.setCheckpointDir(root)
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+
+
+def settle(frame: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the scratch folder and read it back.
+
+    For intermediate results that several later steps read: they are computed once, the
+    lineage ends at files that outlive any executor, and later readers prune columns.
+    """
+    path = scratch_dir(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
