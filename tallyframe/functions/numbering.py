@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 
 def _tagged(df: DataFrame, bucket: Sequence[Column]) -> tuple[DataFrame, list[str]]:
-    names = [f"_bucket{i}" for i in range(len(bucket))]
+    names = [f"__bucket{i}" for i in range(len(bucket))]
     return df.select("*", *[b.alias(n) for b, n in zip(bucket, names)]), names
 
 
@@ -28,11 +28,11 @@ def _ordered(names: Sequence[str], descending: bool) -> list[Column]:
 
 def _with_summary(tagged: DataFrame, summary: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Attach a per-bucket value; null-safe so that no row is lost to a NULL key."""
-    right = summary.select(*[F.col(k).alias(f"_r_{k}") for k in keys], value)
+    right = summary.select(*[F.col(k).alias(f"__r_{k}") for k in keys], value)
     condition = F.lit(True)
     for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return tagged.join(right, condition).drop(*[f"_r_{k}" for k in keys])
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return tagged.join(right, condition).drop(*[f"__r_{k}" for k in keys])
 
 
 def numbered(
@@ -46,18 +46,18 @@ def numbered(
     """Dense 1-based position of each row in its group, as `row_number()` would give."""
     tagged, names = _tagged(df, bucket)
     keys = [*group, *names]
-    sizes = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
     earlier = (
         Window.partitionBy(*(group or [F.lit(0)]))
         .orderBy(*_ordered(names, descending_buckets))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = sizes.select(*keys, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    offsets = sizes.select(*keys, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__ahead"))
     within = Window.partitionBy(*keys).orderBy(*order)
     return (
-        _with_summary(tagged, offsets, keys, "_before")
-        .withColumn(out, F.col("_before") + F.row_number().over(within))
-        .drop("_before", *names)
+        _with_summary(tagged, offsets, keys, "__ahead")
+        .withColumn(out, F.col("__ahead") + F.row_number().over(within))
+        .drop("__ahead", *names)
     )
 
 
@@ -70,23 +70,23 @@ def running_total(
     out: str,
 ) -> DataFrame:
     """Sum of `value` over the group's rows up to and including this one."""
-    tagged, names = _tagged(df.withColumn("_value", value), bucket)
+    tagged, names = _tagged(df.withColumn("__value", value), bucket)
     keys = [*group, *names]
-    sums = tagged.groupBy(*keys).agg(F.sum("_value").alias("_sum"))
+    sums = tagged.groupBy(*keys).agg(F.sum("__value").alias("__sum"))
     earlier = (
         Window.partitionBy(*(group or [F.lit(0)]))
         .orderBy(*_ordered(names, False))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = sums.select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    offsets = sums.select(*keys, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__ahead"))
     within = (
         Window.partitionBy(*keys).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        _with_summary(tagged, offsets, keys, "_before")
-        .withColumn(out, F.col("_before") + F.sum("_value").over(within))
-        .drop("_before", "_value", *names)
+        _with_summary(tagged, offsets, keys, "__ahead")
+        .withColumn(out, F.col("__ahead") + F.sum("__value").over(within))
+        .drop("__ahead", "__value", *names)
     )
 
 
@@ -102,16 +102,16 @@ def previous_value(
 
     `value` should be a struct, so that a NULL result always means "no earlier row".
     """
-    tagged, names = _tagged(df.withColumn("_value", value), bucket)
+    tagged, names = _tagged(df.withColumn("__value", value), bucket)
     keys = [*group, *names]
-    last = tagged.groupBy(*keys).agg(F.max_by("_value", F.struct(*order)).alias("_last"))
+    last = tagged.groupBy(*keys).agg(F.max_by("__value", F.struct(*order)).alias("__last"))
     by_bucket = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*_ordered(names, False))
-    carried = last.select(*keys, F.lag("_last").over(by_bucket).alias("_carried"))
+    carried = last.select(*keys, F.lag("__last").over(by_bucket).alias("__carried"))
     within = Window.partitionBy(*keys).orderBy(*order)
     return (
-        _with_summary(tagged, carried, keys, "_carried")
-        .withColumn(out, F.coalesce(F.lag("_value").over(within), F.col("_carried")))
-        .drop("_carried", "_value", *names)
+        _with_summary(tagged, carried, keys, "__carried")
+        .withColumn(out, F.coalesce(F.lag("__value").over(within), F.col("__carried")))
+        .drop("__carried", "__value", *names)
     )
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.numbering import first_per_group
-from ..functions.scalars import SPACE, content_id, first_filled, parse_minor
+from ..functions.scalars import SPACE, content_id, first_filled, let, parse_minor
 from ..schemas import FALLBACK_CATEGORY
 from .mutate import insert_if_absent, last_per_key, new_account_rows, upsert
 
@@ -42,12 +43,12 @@ def _record(names: Column, cells: Column, keep_blank: bool) -> Column:
     )
     if not keep_blank:
         entries = F.filter(entries, lambda e: e["key"] != "")
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.filter(
-        entries,
-        lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]),
-    )
-    return F.map_from_entries(last)
+
+    def last_of_each(bound: Column) -> Column:
+        return let(F.transform(bound, lambda e: e["key"]), lambda keys: F.map_from_entries(F.filter(
+            bound, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))))
+
+    return let(entries, last_of_each)
 
 
 def csv_records(cells: DataFrame) -> DataFrame:
@@ -96,19 +97,19 @@ def parse_ledger_rows(records: DataFrame, exact: bool = False) -> tuple[DataFram
     accounts = statement_accounts(records)
     record = F.col("record")
     booking = _field(record, BOOKING_DATE)
-    value = first_filled(*[F.try_element_at(record, F.lit(n)) for n in VALUE_DATE], F.col("booking_date"))
     zero = F.lit("0")
     amount = F.coalesce(F.nullif(_field(record, AMOUNT), F.lit("")), zero)
     balance = F.coalesce(F.nullif(_field(record, BALANCE), F.lit("")), zero)
-    rows = (
-        records.withColumn("booking_date", booking)
-        .select(
-            "file", "row_idx", "booking_date", value.alias("value_date"),
-            _field(record, REFERENCE).alias("reference"), _field(record, TEXT).alias("text"),
-            parse_minor(amount, exact).alias("amount"), parse_minor(balance, exact).alias("balance"),
-        )
-        .where("booking_date <> '' and text <> '' and amount is not null and balance is not null")
+    fields = F.struct(
+        booking.alias("booking_date"),
+        first_filled(*[F.try_element_at(record, F.lit(n)) for n in VALUE_DATE], booking).alias("value_date"),
+        _field(record, REFERENCE).alias("reference"), _field(record, TEXT).alias("text"),
+        parse_minor(amount, exact).alias("amount"), parse_minor(balance, exact).alias("balance"),
     )
+    # One row in, one row out: the generator keeps the filter below from being pushed into
+    # the record's construction, which would build the record again for each condition.
+    rows = records.select("file", "row_idx", F.inline(F.array(fields))).where(
+        "booking_date <> '' and text <> '' and amount is not null and balance is not null")
     parsed = rows.join(accounts, "file").select(
         content_id(F.col("value_date"), F.col("reference"), F.col("text"), F.col("amount"),
                    F.col("balance")).alias("id"),
@@ -157,6 +158,8 @@ PARSE_RESULT = T.StructType([
     T.StructField("logs", T.ArrayType(T.StringType())), T.StructField("error", T.StringType()),
 ])
 
+_STATEMENTS = 64  # statements per Arrow batch that leaves a user transform
+
 Transform = Callable[[object, Callable[[str], None]], dict]
 
 
@@ -169,29 +172,32 @@ def apply_user_parser(statements: DataFrame, transform: Transform, data: str = "
     `month` and `balance`. An exception becomes the row's `error`.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shape = to_arrow_schema(PARSE_RESULT)
+
+    def parse(file: str, content: object) -> dict:
+        logs: list[str] = []
+        row = {"file": file, "logs": logs}
+        try:
+            result = transform(content, logs.append)
+            if result["type"] not in ("checking", "savings", "investment"):
+                raise ValueError(f"unknown statement type {result['type']}")
+            row.update(kind=result["type"], account_id=result["account_id"])
+            if result["type"] == "investment":
+                row.update(month=result["month"], balance=int(result["balance"]))
+            else:
+                row["transactions"] = list(result["transactions"])
+        except Exception as problem:  # noqa: BLE001 - user code may raise anything
+            row["error"] = f"{type(problem).__name__}: {problem}"
+        return row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for file, content in zip(batch["file"], batch[data]):
-                logs: list[str] = []
-                row = {"file": file, "logs": logs}
-                try:
-                    result = transform(content, logs.append)
-                    if result["type"] not in ("checking", "savings", "investment"):
-                        raise ValueError(f"unknown statement type {result['type']}")
-                    row.update(kind=result["type"], account_id=result["account_id"])
-                    if result["type"] == "investment":
-                        row.update(month=result["month"], balance=int(result["balance"]))
-                    else:
-                        row["transactions"] = list(result["transactions"])
-                except Exception as problem:  # noqa: BLE001 - user code may raise anything
-                    row["error"] = f"{type(problem).__name__}: {problem}"
-                out.append(row)
-            frame = pd.DataFrame(out, columns=[f.name for f in PARSE_RESULT.fields])
-            frame["balance"] = frame["balance"].astype("Int64")
-            yield frame
-
-    return statements.select("file", data).mapInPandas(run, PARSE_RESULT)
+            for start in range(0, batch.num_rows, _STATEMENTS):
+                part = batch.slice(start, _STATEMENTS)
+                pairs = zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+                yield pa.RecordBatch.from_pylist([parse(f, c) for f, c in pairs], schema=shape)
+
+    return statements.select("file", data).mapInArrow(run, PARSE_RESULT)
 
 
 def user_parsed_rows(results: DataFrame) -> DataFrame:

@@ -51,25 +51,27 @@ def account_balances(transactions: DataFrame, accounts: DataFrame, summaries: Da
     ).select("space_id", "account_id", "month", "balance")
 
 
-def net_worth_series(balances: DataFrame, spine: DataFrame) -> DataFrame:
-    """Sum over a space's accounts of the last known balance, for each month of the spine.
-
-    Carrying every account through every month would build an accounts x months grid.
-    The same total is the running sum of balance *changes*: an account's first value
-    counts in full and later values count as their difference to the one before.
+def net_worth_series(balances: DataFrame, *others: DataFrame) -> DataFrame:
+    """Sum over a space's accounts of the last known balance, for each month with data.
+
+    The months are those of `balances` and of the other monthly frames (spend). Carrying
+    every account through every month would build an accounts x months grid. The same
+    total is the running sum of balance *changes*: an account's first value counts in full
+    and later values count as their difference to the one before. Months of the other
+    frames join as changes of zero, so each input is read once and nothing is joined.
     """
     per_account = Window.partitionBy("space_id", "account_id").orderBy("month")
     change = F.col("balance") - F.coalesce(F.lag("balance").over(per_account), F.lit(0))
-    changes = balances.select("space_id", "month", change.alias("change")).groupBy(
-        "space_id", "month").agg(F.sum("change").alias("change"))
+    changes = balances.select("space_id", "month", change.alias("change"))
+    for other in others:
+        changes = changes.unionByName(
+            other.select("space_id", "month").distinct().withColumn("change", F.lit(0).cast("bigint")))
     running = (
         Window.partitionBy("space_id").orderBy("month")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return spine.join(changes, ["space_id", "month"], "left").select(
-        "space_id", "month",
-        F.sum(F.coalesce("change", F.lit(0))).over(running).alias("value"),
-    )
+    return changes.groupBy("space_id", "month").agg(F.sum("change").alias("change")).select(
+        "space_id", "month", F.sum("change").over(running).alias("value"))
 
 
 def _by_month(descending: bool = False):

@@ -33,7 +33,7 @@ def dashboard(transactions: DataFrame, accounts: DataFrame, summaries: DataFrame
     spend, balances, _ = dashboard_inputs(transactions, accounts, summaries)
     spend, balances = spend.persist(), balances.persist()
     spine = month_spine(spend, balances)
-    worth = net_worth_series(balances, spine)
+    worth = net_worth_series(balances, spend)
     spending = spending_series(spend, spine)
     return {
         "spend": spend, "balances": balances,
@@ -51,10 +51,10 @@ def release(series: dict[str, DataFrame]) -> None:
     series["balances"].unpersist()
 
 
-def dashboard_long(transactions: DataFrame, accounts: DataFrame, summaries: DataFrame) -> DataFrame:
+def dashboard_long(spend: DataFrame, balances: DataFrame, accounts: DataFrame) -> DataFrame:
     """The numeric series in one table: series, space, month, key, value."""
-    spend, balances, spine = dashboard_inputs(transactions, accounts, summaries)
-    worth = net_worth_series(balances, spine)
+    spine = month_spine(spend, balances)
+    worth = net_worth_series(balances, spend)
 
     def rows(series: str, frame: DataFrame, key: str | None, value: str) -> DataFrame:
         return frame.select(

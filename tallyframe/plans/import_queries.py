@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ingest
+from ..session import settle
 from ..sources.given import GivenLedger
 from ..sources.statements import csv_cells
 from .catalog import register
 from .oracle import ledger_sql
 
-NBSP = " "
+NBSP = chr(0xA0)
 
 
 def _t(column: Column) -> Column:
@@ -208,7 +209,7 @@ fresh AS (
 
 def _deliveries(led: GivenLedger) -> tuple[DataFrame, DataFrame]:
     """(ledger, batch): a fifth of the rows is known, a third is delivered twice."""
-    rows = parsed_rows(led)
+    rows = settle(parsed_rows(led), "staged")
     known = rows.where("row_idx % 5 = 0").select(
         "id", "booking_date", "value_date", "reference", "text", F.lit("SEK").alias("currency"), "amount",
         "balance", F.lit(True).alias("approved"), F.lit("").alias("note"), F.lit("Shopping").alias("category"),

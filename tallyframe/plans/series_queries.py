@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import to_major
-from ..operators import aggregates, series
+from ..operators import aggregates, series, sets
+from ..session import settle
 from ..sources.given import GivenLedger
 from .catalog import register
-from .dashboard import dashboard_inputs, dashboard_long
+from .dashboard import dashboard_long
 from .oracle import ledger_sql
 
 SPEND = """
@@ -74,21 +75,33 @@ MONTHLY = (SPEND, BALANCES, SPINE)
 FULL = (*MONTHLY, GRID, WORTH, FLOW, SPENDING)
 
 
-def _inputs(led: GivenLedger):
-    return dashboard_inputs(led.transactions(text=False), led.accounts, led.account_summaries)
+def _spend(led: GivenLedger) -> DataFrame:
+    return aggregates.category_spend_by_month(led.transactions(text=False, balance=False), led.accounts)
+
+
+def _balances(led: GivenLedger) -> DataFrame:
+    return series.account_balances(led.transactions(text=False), led.accounts, led.account_summaries)
+
+
+def _stored(led: GivenLedger) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spend, balances, spine) for plans that read them several times.
+
+    They are written once: a row per account-month is far less than the transactions.
+    """
+    spend, balances = settle(_spend(led), "spend"), settle(_balances(led), "balances")
+    return spend, balances, sets.month_spine(spend, balances)
 
 
 @register("category_spend_by_month", ledger_sql("SELECT * FROM spend", SPEND))
 def _(led: GivenLedger) -> DataFrame:
-    return aggregates.category_spend_by_month(led.transactions(text=False, balance=False), led.accounts)
+    return _spend(led)
 
 
 @register("monthly_aggregates", ledger_sql("""
     SELECT space_id, month, 'category' AS kind, category AS key, amount AS value FROM spend
     UNION ALL SELECT space_id, month, 'balance', account_id, balance FROM balances""", *MONTHLY))
 def _(led: GivenLedger) -> DataFrame:
-    spend, balances, _ = _inputs(led)
-    return aggregates.monthly_aggregates(spend, balances)
+    return aggregates.monthly_aggregates(_spend(led), _balances(led))
 
 
 @register("month_end_rows", ledger_sql(
@@ -105,18 +118,17 @@ def _(led: GivenLedger) -> DataFrame:
 @register("overlay_balances", ledger_sql(
     "SELECT space_id, account_id, month, balance FROM balances", *MONTHLY))
 def _(led: GivenLedger) -> DataFrame:
-    return series.account_balances(led.transactions(text=False), led.accounts, led.account_summaries)
+    return _balances(led)
 
 
 @register("month_spine", ledger_sql("SELECT * FROM spine", *MONTHLY))
 def _(led: GivenLedger) -> DataFrame:
-    return _inputs(led)[2]
+    return sets.month_spine(_spend(led), _balances(led))
 
 
 @register("net_worth_series", ledger_sql("SELECT * FROM worth", *FULL))
 def net_worth(led: GivenLedger) -> DataFrame:
-    _, balances, spine = _inputs(led)
-    return series.net_worth_series(balances, spine)
+    return series.net_worth_series(_balances(led), _spend(led))
 
 
 @register("net_worth_latest_delta", ledger_sql("""
@@ -135,12 +147,12 @@ def _(led: GivenLedger) -> DataFrame:
 
 @register("trailing_months", ledger_sql("SELECT * FROM recent", *FULL))
 def _(led: GivenLedger) -> DataFrame:
-    return series.trailing_months(_inputs(led)[2])
+    return series.trailing_months(sets.month_spine(_spend(led), _balances(led)))
 
 
 @register("account_history", ledger_sql("SELECT * FROM history", *FULL))
 def _(led: GivenLedger) -> DataFrame:
-    _, balances, spine = _inputs(led)
+    _, balances, spine = _stored(led)
     return series.account_history(balances, led.accounts, spine)
 
 
@@ -148,13 +160,12 @@ def _(led: GivenLedger) -> DataFrame:
     SELECT space_id, account_id, value AS latest FROM history
     QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY month DESC) = 1""", *FULL))
 def _(led: GivenLedger) -> DataFrame:
-    _, balances, _ = _inputs(led)
-    return series.account_latest(balances, led.accounts)
+    return series.account_latest(_balances(led), led.accounts)
 
 
 @register("allocation_series", ledger_sql("SELECT * FROM allocation", *FULL))
 def _(led: GivenLedger) -> DataFrame:
-    _, balances, spine = _inputs(led)
+    _, balances, spine = _stored(led)
     return series.allocation_series(balances, led.accounts, spine)
 
 
@@ -165,12 +176,12 @@ def _(led: GivenLedger) -> DataFrame:
           QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY month DESC) = 1)
     WHERE value > 0""", *FULL))
 def _(led: GivenLedger) -> DataFrame:
-    return series.allocation_share(_inputs(led)[1])
+    return series.allocation_share(_balances(led))
 
 
 @register("spending_series", ledger_sql("SELECT * FROM spending", *FULL))
 def spending(led: GivenLedger) -> DataFrame:
-    spend, _, spine = _inputs(led)
+    spend, _, spine = _stored(led)
     return series.spending_series(spend, spine)
 
 
@@ -199,7 +210,8 @@ def _(led: GivenLedger) -> DataFrame:
     UNION ALL SELECT 'allocation', space_id, month, account_id, value FROM allocation
     UNION ALL SELECT 'spending', space_id, month, category, value FROM spending""", *FULL))
 def _(led: GivenLedger) -> DataFrame:
-    return dashboard_long(led.transactions(text=False), led.accounts, led.account_summaries)
+    spend, balances, _ = _stored(led)
+    return dashboard_long(spend, balances, led.accounts)
 
 
 @register("major_units", ledger_sql(
