@@ -45,8 +45,13 @@ def _record(names: Column, cells: Column, keep_blank: bool) -> Column:
         entries = F.filter(entries, lambda e: e["key"] != "")
 
     def last_of_each(bound: Column) -> Column:
-        return let(F.transform(bound, lambda e: e["key"]), lambda keys: F.map_from_entries(F.filter(
-            bound, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))))
+        def pick(keys: Column) -> Column:
+            repeated = F.filter(
+                bound, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+            distinct = F.size(F.array_distinct(keys)) == F.size(keys)
+            return F.map_from_entries(F.when(distinct, bound).otherwise(repeated))
+
+        return let(F.transform(bound, lambda e: e["key"]), pick)
 
     return let(entries, last_of_each)
 

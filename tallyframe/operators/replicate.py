@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered, previous_value
-from ..functions.scalars import differs, key_head, key_tail, within_tolerance
+from ..functions.scalars import differs, key_head, key_tail, let, within_tolerance
 from ..schemas import KEYS, LOG_BATCH_ROWS, LOGGED, SNAPSHOT_CHUNK_ROWS, TABLES, payload_schema
 from .aggregates import seq_bounds
 from .capture import snapshot_json
@@ -70,14 +70,18 @@ def validate_changes(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Changes fit to apply, and the others with a reason."""
     operation, table = F.col("operation"), F.col("table_name")
     upserting = operation.isin("insert", "update")
-    undecodable = F.lit(False)
+
+    def complete(name: str) -> Column:
+        """Whether the payload decodes with every required field; decoded once per row."""
+        schema = payload_schema(name)
+        required = [f.name for f in schema.fields if not f.nullable]
+        return let(F.from_json("payload", schema), lambda row: reduce(
+            Column.__and__, [row[f].isNotNull() for f in required]))
+
+    decodable = F.lit(False)
     for name in LOGGED:
-        decoded = F.from_json("payload", payload_schema(name))
-        required = [f.name for f in payload_schema(name).fields if not f.nullable]
-        complete = F.lit(True)
-        for f in required:
-            complete = complete & decoded[f].isNotNull()
-        undecodable = undecodable | ((table == name) & ~F.coalesce(complete, F.lit(False)))
+        decodable = F.when(table == name, complete(name)).otherwise(decodable)
+    undecodable = ~F.coalesce(decodable, F.lit(False))
     reason = (
         F.when(~F.coalesce(operation.isin("insert", "update", "delete"), F.lit(False)), "unknown operation")
         .when(~F.coalesce(table.isin(LOGGED), F.lit(False)), "unknown table")
@@ -162,22 +166,39 @@ def last_change_per_row(changes: DataFrame) -> DataFrame:
     ).select("table_name", "row_id", "_last.*")
 
 
-def _typed_rows(last: DataFrame, table: str) -> DataFrame:
-    decoded = decode_payload(last, table).select("row.*", _arrival().alias("_at"))
-    for f in TABLES[table].fields:
-        if f.name in ("approved", "sync_enabled"):
-            decoded = decoded.withColumn(f.name, F.col(f.name) != 0)
-    return decoded
-
-
-def _deleted_keys(last: DataFrame, table: str) -> DataFrame:
-    gone = last.where((F.col("table_name") == table) & (F.col("operation") == "delete"))
+def _deciding(last: DataFrame, table: str) -> DataFrame:
+    """Per logical row of one table: its key columns, `_gone`, `_at` and the typed `_row`."""
     keys = KEYS[table]
-    if len(keys) == 1:
-        return gone.select(F.col("row_id").alias(keys[0]))
-    kind = dict((f.name, f.dataType) for f in TABLES[table].fields)
-    return gone.select(key_head(F.col("row_id")).try_cast(kind[keys[0]]).alias(keys[0]),
-                       key_tail(F.col("row_id")).try_cast(kind[keys[1]]).alias(keys[1]))
+    kinds = {f.name: f.dataType for f in TABLES[table].fields}
+    row_id = F.col("row_id")
+    parts = [row_id] if len(keys) == 1 else [key_head(row_id), key_tail(row_id)]
+    decoded = last.where(F.col("table_name") == table).withColumn("_raw", F.when(
+        F.col("operation") != "delete", F.from_json("payload", payload_schema(table))))
+    fields = [
+        (F.col(f"_raw.{f.name}") != 0 if f.name in ("approved", "sync_enabled") else F.col(f"_raw.{f.name}"))
+        .alias(f.name)
+        for f in TABLES[table].fields
+    ]
+    return decoded.select(
+        *[F.coalesce(F.col(f"_raw.{k}"), p.try_cast(kinds[k])).alias(k) for k, p in zip(keys, parts)],
+        (F.col("operation") == "delete").alias("_gone"), _arrival().alias("_at"),
+        F.struct(*fields).alias("_row"))
+
+
+def _overwrite(current: DataFrame, deciding: DataFrame, table: str, cuts: DataFrame | None) -> DataFrame:
+    """One pass: replace, add or drop the rows that have a deciding change; keep the others.
+
+    cuts(account_id, _cut): rows of these accounts survive only if written after the cut.
+    """
+    keys = KEYS[table]
+    stored = current.select(*keys, F.struct(*current.columns).alias("_old"))
+    merged = stored.join(deciding, keys, "full_outer").where("_gone is null or not _gone")
+    new = F.col("_at").isNotNull()
+    merged = merged.select("_at", *[
+        F.when(new, F.col(f"_row.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in current.columns])
+    if cuts is not None:
+        merged = merged.join(cuts, "account_id", "left").where("_cut is null or _at > _cut")
+    return merged.select(*current.columns)
 
 
 def apply_member_changes(tables: Tables, last: DataFrame, changes: DataFrame) -> Tables:
@@ -185,15 +206,13 @@ def apply_member_changes(tables: Tables, last: DataFrame, changes: DataFrame) ->
 
     A user keeps its creation time and takes name, PIN hash and update time.
     """
-    members = tables["space_members"]
-    keys = KEYS["space_members"]
-    rows = _typed_rows(last, "space_members").select(*members.columns)
-    kept = members.join(_deleted_keys(last, "space_members"), keys, "left_anti").select(*members.columns)
+    members = _overwrite(
+        tables["space_members"], _deciding(last, "space_members"), "space_members", None)
     users = decode_payload(changes, "space_members").where("row.user is not null").groupBy(
         F.col("row.user.id").alias("_id")).agg(F.max_by("row.user", _arrival()).alias("u")).select("u.*")
     return {
         **tables,
-        "space_members": upsert(kept, rows, keys),
+        "space_members": members,
         "users": upsert_columns(tables["users"], users, ["id"], ["name", "pin_hash", "updated_at"]),
     }
 
@@ -249,18 +268,8 @@ def apply_changes(tables: Tables, changes: DataFrame) -> Tables:
                   "model_versions"):
         if table not in tables:
             continue
-        current, keys = tables[table], KEYS[table]
-        gone = _deleted_keys(last, table)
-        kept = current.join(gone, keys, "left_anti").select(*current.columns)
-        rows = _typed_rows(last, table)
-        if table in ("transactions", "account_summaries"):
-            written = rows.select(*keys)
-            kept = kept.join(written, keys, "left_anti").join(cuts, "account_id", "left_anti").select(
-                *current.columns)
-            rows = rows.join(cuts, "account_id", "left").where("_cut is null or _at > _cut")
-            out[table] = kept.unionByName(rows.select(*current.columns))
-        else:
-            out[table] = upsert(kept, rows.select(*current.columns), keys)
+        cascading = cuts if table in ("transactions", "account_summaries") else None
+        out[table] = _overwrite(tables[table], _deciding(last, table), table, cascading)
     if "space_members" in tables:
         out = apply_member_changes(out, last, changes)
     if "spaces" in tables:

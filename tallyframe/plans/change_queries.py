@@ -283,7 +283,8 @@ def _(led: GivenLedger) -> DataFrame:
     SELECT row_id, new_amount, event_id % 2 = 1, new_note, new_category, 'a' || user_id FROM decoded_log
     WHERE operation <> 'delete' AND seq IN (SELECT max(seq) FROM decoded_log GROUP BY row_id)"""))
 def _(led: GivenLedger) -> DataFrame:
-    changes, _ = replicate.validate_changes(led.change_log.withColumn("batch_no", F.lit(0)))
+    valid, _ = replicate.validate_changes(led.change_log.withColumn("batch_no", F.lit(0)))
+    changes = settle(valid, "valid")
     tables = {"transactions": led.transactions()}
     return replicate.apply_changes(tables, changes)["transactions"].select(
         "id", "amount", "approved", "note", "category", "account_id")

@@ -25,9 +25,13 @@ class GivenLedger:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        """A given table; its file footers are read once per ledger."""
+        if table not in self._tables:
+            self._tables[table] = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return self._tables[table]
 
     # ---- tenants and people ----
     @cached_property
