@@ -174,7 +174,9 @@ def stream_high_water(changes: DataFrame) -> DataFrame:
 def timely_rows(changes: DataFrame, days: int = RETENTION_DAYS) -> DataFrame:
     """Each change once; rows older than the retention period behind the newest are dropped.
 
-    The watermark that drops them also bounds the state of the de-duplication.
+    The watermark that drops them also bounds the state of the de-duplication. Spark judges
+    a micro-batch by the watermark of the one before it, so a row is late from the second
+    batch after the newer ones arrived.
     """
     return (
         changes.withColumn("event_time", F.timestamp_seconds(iso_epoch(F.col("changed_at"))))
