@@ -17,22 +17,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _tagged(df: DataFrame, bucket: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+def _tagged(df: DataFrame, group: Sequence[str], bucket: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    """Add the bucket columns and `__key`, one struct of group and bucket.
+
+    The aggregate, the join and the window below all use the struct, so the join's
+    partitioning serves the window too. Structs compare NULL fields as equal: no row is
+    lost to a NULL in its group.
+    """
     names = [f"__bucket{i}" for i in range(len(bucket))]
-    return df.select("*", *[b.alias(n) for b, n in zip(bucket, names)]), names
+    tagged = df.select("*", *[b.alias(n) for b, n in zip(bucket, names)])
+    return tagged.withColumn("__key", F.struct(*group, *names)), names
+
 
+def _ordered(names: Sequence[str], descending: bool = False) -> list[Column]:
+    return [F.col(f"__key.{n}").desc() if descending else F.col(f"__key.{n}").asc() for n in names]
 
-def _ordered(names: Sequence[str], descending: bool) -> list[Column]:
-    return [F.col(n).desc() if descending else F.col(n).asc() for n in names]
 
+def _across_buckets(group: Sequence[str], names: Sequence[str], descending: bool = False):
+    whole = [F.col(f"__key.{g}") for g in group] or [F.lit(0)]
+    return Window.partitionBy(*whole).orderBy(*_ordered(names, descending))
 
-def _with_summary(tagged: DataFrame, summary: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Attach a per-bucket value; null-safe so that no row is lost to a NULL key."""
-    right = summary.select(*[F.col(k).alias(f"__r_{k}") for k in keys], value)
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    return tagged.join(right, condition).drop(*[f"__r_{k}" for k in keys])
+
+def _with_summary(tagged: DataFrame, summary: DataFrame, value: Column) -> DataFrame:
+    """Attach the per-bucket `value` of `summary` as `__ahead`."""
+    return tagged.join(summary.select("__key", value.alias("__ahead")), "__key")
 
 
 def numbered(
@@ -44,20 +52,15 @@ def numbered(
     descending_buckets: bool = False,
 ) -> DataFrame:
     """Dense 1-based position of each row in its group, as `row_number()` would give."""
-    tagged, names = _tagged(df, bucket)
-    keys = [*group, *names]
-    sizes = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    earlier = (
-        Window.partitionBy(*(group or [F.lit(0)]))
-        .orderBy(*_ordered(names, descending_buckets))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.select(*keys, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__ahead"))
-    within = Window.partitionBy(*keys).orderBy(*order)
+    tagged, names = _tagged(df, group, bucket)
+    sizes = tagged.groupBy("__key").agg(F.count(F.lit(1)).alias("__size"))
+    earlier = _across_buckets(group, names, descending_buckets).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("__size").over(earlier), F.lit(0))
+    within = Window.partitionBy("__key").orderBy(*order)
     return (
-        _with_summary(tagged, offsets, keys, "__ahead")
+        _with_summary(tagged, sizes, ahead)
         .withColumn(out, F.col("__ahead") + F.row_number().over(within))
-        .drop("__ahead", *names)
+        .drop("__ahead", "__key", *names)
     )
 
 
@@ -70,23 +73,18 @@ def running_total(
     out: str,
 ) -> DataFrame:
     """Sum of `value` over the group's rows up to and including this one."""
-    tagged, names = _tagged(df.withColumn("__value", value), bucket)
-    keys = [*group, *names]
-    sums = tagged.groupBy(*keys).agg(F.sum("__value").alias("__sum"))
-    earlier = (
-        Window.partitionBy(*(group or [F.lit(0)]))
-        .orderBy(*_ordered(names, False))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sums.select(*keys, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__ahead"))
+    tagged, names = _tagged(df.withColumn("__value", value), group, bucket)
+    sums = tagged.groupBy("__key").agg(F.sum("__value").alias("__sum"))
+    earlier = _across_buckets(group, names).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("__sum").over(earlier), F.lit(0))
     within = (
-        Window.partitionBy(*keys).orderBy(*order)
+        Window.partitionBy("__key").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        _with_summary(tagged, offsets, keys, "__ahead")
+        _with_summary(tagged, sums, ahead)
         .withColumn(out, F.col("__ahead") + F.sum("__value").over(within))
-        .drop("__ahead", "__value", *names)
+        .drop("__ahead", "__value", "__key", *names)
     )
 
 
@@ -102,16 +100,14 @@ def previous_value(
 
     `value` should be a struct, so that a NULL result always means "no earlier row".
     """
-    tagged, names = _tagged(df.withColumn("__value", value), bucket)
-    keys = [*group, *names]
-    last = tagged.groupBy(*keys).agg(F.max_by("__value", F.struct(*order)).alias("__last"))
-    by_bucket = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*_ordered(names, False))
-    carried = last.select(*keys, F.lag("__last").over(by_bucket).alias("__carried"))
-    within = Window.partitionBy(*keys).orderBy(*order)
+    tagged, names = _tagged(df.withColumn("__value", value), group, bucket)
+    last = tagged.groupBy("__key").agg(F.max_by("__value", F.struct(*order)).alias("__last"))
+    carried = F.lag("__last").over(_across_buckets(group, names))
+    within = Window.partitionBy("__key").orderBy(*order)
     return (
-        _with_summary(tagged, carried, keys, "__carried")
-        .withColumn(out, F.coalesce(F.lag("__value").over(within), F.col("__carried")))
-        .drop("__carried", "__value", *names)
+        _with_summary(tagged, last, carried)
+        .withColumn(out, F.coalesce(F.lag("__value").over(within), F.col("__ahead")))
+        .drop("__ahead", "__value", "__key", *names)
     )
 
 
