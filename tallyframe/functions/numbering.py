@@ -6,7 +6,9 @@ numbers). Buckets are summarised with map-side combine, the small summaries are
 accumulated per group, and the fine-grained window then runs per (group, bucket). A tenant
 holding a third of the table is therefore spread over as many tasks as it has buckets.
 
-The bucket columns must be a leading part of the sort order or monotone in it.
+The bucket columns must be a leading part of the sort order or monotone in it. The input is
+read twice, for the summaries (keys only) and for the rows; where it is expensive, write it
+first with `session.settle`.
 """
 
 from __future__ import annotations

@@ -40,10 +40,11 @@ def build_features(transactions: DataFrame) -> DataFrame:
 def class_list(categories: DataFrame) -> DataFrame:
     """Class positions: category names of all spaces by name, repeats kept.
 
-    Numbered by buckets of the name's first characters, then by name and id.
+    Numbered by buckets of a name and the beginning of the id, since every space repeats
+    the common names.
     """
-    ranked = numbered(categories.select("id", "name"), [], [F.substring("name", 1, 4)],
-                      [F.col("name"), F.col("id")], out="_no")
+    ranked = numbered(categories.select("id", "name"), [], [F.col("name"), F.substring("id", 1, 2)],
+                      [F.col("id")], out="_no")
     return ranked.select((F.col("_no") - 1).alias("position"), "name")
 
 

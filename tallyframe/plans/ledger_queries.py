@@ -43,7 +43,7 @@ def _(led: GivenLedger) -> DataFrame:
 
 @register("search_short", ledger_sql("""
     SELECT id, text, amount FROM transactions
-    WHERE text ILIKE '%7_%' AND false OR text ILIKE '%Ri%' OR CAST(amount AS VARCHAR) LIKE '%Ri%'
+    WHERE text ILIKE '%Ri%' OR CAST(amount AS VARCHAR) LIKE '%Ri%'
        OR printf('%.2f', amount / 100.0::DOUBLE) LIKE '%Ri%'"""))
 def _(led: GivenLedger) -> DataFrame:
     return search.search_short(led.transactions(balance=False), " Ri ").select("id", "text", "amount")
@@ -177,9 +177,9 @@ def _(led: GivenLedger) -> DataFrame:
     SELECT id, amount FROM transactions
     WHERE id IN (SELECT 't' || l_orderkey FROM lineitem WHERE l_returnflag = 'R')"""))
 def _(led: GivenLedger) -> DataFrame:
-    """The id list arrives as one JSON array per supplier."""
-    bindings = led.read("lineitem").where("l_returnflag = 'R'").groupBy("l_suppkey", "l_partkey").agg(
-        F.to_json(F.collect_set(F.concat(F.lit("t"), F.col("l_orderkey").cast("string")))).alias("ids"))
+    """Id lists arrive as JSON arrays, one for each returned line."""
+    bindings = led.read("lineitem").where("l_returnflag = 'R'").select(F.to_json(F.array(
+        F.concat(F.lit("t"), F.col("l_orderkey").cast("string")), F.lit("unknown"))).alias("ids"))
     rows = led.transactions(text=False, balance=False).select("id", "amount")
     return filters.ids_in(rows, filters.ids_from_json(bindings, "ids"))
 

@@ -134,9 +134,10 @@ def _(led: GivenLedger) -> DataFrame:
             WHERE vec_id % 2 = 0)
           GROUP BY 1, 2) GROUP BY 1))""")
 def _(led: GivenLedger) -> DataFrame:
-    """The vectors of each label pooled per hundred, then over the label; odd ones are masked out.
+    """Unit-length mean vector of each label, a second token being masked out.
 
-    Sums are combined first, so no label's vectors have to meet in one record.
+    The components are averaged by a combining aggregate first, so a label's vectors never
+    meet in one record: only its 64 means do.
     """
     vectors = led.read("embeddings").withColumn("kept", F.col("vec_id") % 2 == 0)
     size = 64

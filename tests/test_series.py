@@ -8,6 +8,7 @@ from conftest import rows
 from tallyframe.operators import aggregates as A
 from tallyframe.operators import series as W
 from tallyframe.operators.sets import month_spine
+from tallyframe.plans.dashboard import dashboard, dashboard_long, release
 
 ACCOUNTS = [
     {"id": "c", "account_type": "checking", "space_id": "s", "name": "C"},
@@ -104,3 +105,21 @@ def test_net_worth_against_a_plain_loop(spark):
         want.append(("s", m, sum(known.values())))
     frame = spark.createDataFrame(data, "space_id string, account_id string, month string, balance long")
     assert rows(W.net_worth_series(frame)) == want
+
+
+def test_dashboard_series_share_their_months(table):
+    out = dashboard(
+        table("transactions", tx("1", "2024-01-31", -5, 10), tx("2", "2024-03-01", 7, 17, category="Pay")),
+        table("accounts", *ACCOUNTS), table("account_summaries", {"month": "2024-02", "account_id": "i", "balance": 3}),
+        table("categories", {"id": "k", "name": "Pay", "color": "#fff", "space_id": "s"}))
+    months = ["2024-01", "2024-02", "2024-03"]
+    assert rows(out["months"]) == [("s", m) for m in months]
+    assert rows(out["net_worth"]) == [("s", m, v) for m, v in zip(months, (10, 13, 20))]
+    assert rows(out["net_worth_latest"]) == [("s", "2024-03", 20, 7)]
+    assert out["account_history"].where("space_id = 's'").count() == 3 * 3 == out["allocation"].where("space_id = 's'").count()
+    assert rows(out["category_meta"]) == [("s", "Food", "#6b7280"), ("s", "Pay", "#fff")]
+    assert rows(out["spending"].where("category = 'Food'"), "month", "value") == [
+        ("2024-01", 5), ("2024-02", 0), ("2024-03", 0)]
+    long = dashboard_long(out["spend"], out["balances"], table("accounts", *ACCOUNTS))
+    assert rows(long.where("series = 'cash_flow'"), "month", "value") == [("2024-01", 0), ("2024-02", 3), ("2024-03", 7)]
+    release(out)
