@@ -35,3 +35,10 @@ def _(spark, folder):
     from .ngram_join import ngram_components
     return ngram_components(table(spark, folder, "documents"), size=4, threshold=0.85).select(
         "doc_id", "n_shingles", "component_id", "class_id")
+
+
+@register("op9_suffix_array_dedup")
+def _(spark, folder):
+    """Documents without the 50-byte strings that start in earlier documents."""
+    from .suffix_dedup import remove_repeats
+    return remove_repeats(table(spark, folder, "documents"), 50).drop("spans")
