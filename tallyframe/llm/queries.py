@@ -42,3 +42,25 @@ def _(spark, folder):
     """Documents without the 50-byte strings that start in earlier documents."""
     from .suffix_dedup import remove_repeats
     return remove_repeats(table(spark, folder, "documents"), 50).drop("spans")
+
+
+@register("op5_prefix_sum_shards")
+def _(spark, folder):
+    """All documents in 16 contiguous shards of nearly equal bytes."""
+    from .sharding import shard_documents
+    return shard_documents(table(spark, folder, "documents"), 16)
+
+
+@register("op6_redirect_filter")
+def _(spark, folder):
+    """The rule and verdict of every page's url."""
+    from .url_filter import judge_pages
+    return judge_pages(table(spark, folder, "pages"))
+
+
+@register("op7_splitting_tree_mix")
+def _(spark, folder):
+    """How often a mix of 150 % of all words takes each document."""
+    from .mixing import mixture
+    plan, _ = mixture(table(spark, folder, "documents"))
+    return plan.select("doc_id", "source", "size", "source_size", "target", "taken")
