@@ -25,24 +25,19 @@ RULES = (
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _split(url: Column) -> tuple[Column, Column]:
-    """Authority and path of a url; both empty without '://'."""
-    known = url.contains("://")
-    rest = F.when(known, F.substring_index(url, "://", 1)).otherwise(F.lit(""))
-    after = F.when(known, F.substring(url, F.length(rest) + 4, F.length(url))).otherwise(F.lit(""))
-    host = F.regexp_extract(after, r"\A([^/?#]*)", 1)
-    path = F.regexp_extract(after, r"\A[^/?#]*([^?#]*)", 1)
-    return F.translate(host, _UPPER, _LOWER), path
+#: scheme, authority, path, and all behind the authority up to the fragment
+_URL = r"(?s)\A(.*?)://([^/?#]*)([^?#]*)"
+_TAIL = r"(?s)\A.*?://[^/?#]*([^#]*)"
 
 
 def host_of(url: Column) -> Column:
-    """Between the first '://' and the next '/', '?', '#' or the end, A-Z lower-cased."""
-    return F.coalesce(_split(url)[0], F.lit(""))
+    """Between the first '://' and the next '/', '?', '#' or the end, A-Z lower-cased; else empty."""
+    return F.coalesce(F.translate(F.regexp_extract(url, _URL, 2), _UPPER, _LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    """From the host's end to '?', '#' or the end."""
-    return F.coalesce(_split(url)[1], F.lit(""))
+    """From the host's end to '?', '#' or the end; else empty."""
+    return F.coalesce(F.regexp_extract(url, _URL, 3), F.lit(""))
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
@@ -57,14 +52,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 def resource(url: Column) -> Column:
     """The url that a server would be asked for over https: no fragment, scheme and host in lower case."""
-    bare = F.substring_index(url, "#", 1)
-    scheme = F.translate(F.substring_index(bare, "://", 1), _UPPER, _LOWER)
-    rest = F.substring(bare, F.length(F.substring_index(bare, "://", 1)) + 4, F.length(bare))
-    host = F.regexp_extract(rest, r"\A([^/?#]*)", 1)
-    tail = F.substring(rest, F.length(host) + 1, F.length(rest))
-    return F.when(bare.contains("://"), F.concat(
-        F.when(scheme == "http", F.lit("https")).otherwise(scheme), F.lit("://"), F.translate(host, _UPPER, _LOWER),
-        F.when(tail == "", F.lit("/")).otherwise(tail))).otherwise(bare)
+    tail = F.regexp_replace(F.regexp_extract(url, _TAIL, 1), r"\A\z", "/")
+    scheme = F.regexp_replace(F.translate(F.regexp_extract(url, _URL, 1), _UPPER, _LOWER), r"\Ahttp\z", "https")
+    return F.when(url.contains("://"), F.concat(
+        scheme, F.lit("://"), F.translate(F.regexp_extract(url, _URL, 2), _UPPER, _LOWER), tail)).otherwise(url)
 
 
 def _links(html: Column) -> Column:
@@ -81,27 +72,32 @@ def _links(html: Column) -> Column:
 
 def _absolute(base: Column, target: Column) -> Column:
     """A link's target as seen from a page: with scheme, //host, /path, or relative to the page's folder."""
-    scheme = F.substring_index(base, "://", 1)
-    authority = F.regexp_extract(base, r"\A[^:]*://([^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"\A[^:]*://[^/?#]*(/(?:[^?#]*/)?)", 1)
-    root = F.concat(scheme, F.lit("://"), authority)
+    root = F.regexp_extract(base, r"(?s)\A(.*?://[^/?#]*)", 1)
+    folder = F.regexp_extract(base, r"(?s)\A(.*?://[^/?#]*(?:/(?:[^?#]*/)?)?)", 1)
     return (F.when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target)
-            .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+            .when(target.startswith("//"), F.concat(F.substring_index(base, "//", 1), target))
             .when(target.startswith("/"), F.concat(root, target))
             .when(target.rlike(r"\A([#?]|[A-Za-z][A-Za-z0-9+.-]*:)"), F.lit(None))
-            .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), target)))
+            .otherwise(F.concat(F.rtrim(folder, F.lit("/")), F.lit("/"), target)))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): urls that are aliases by redirect, canonical link, fragment or scheme."""
     has_url = pages.select("url", "html").where(F.col("url").contains("://"))
     own = has_url.select(F.col("url").alias("a"), resource(F.col("url")).alias("b"))
-    tagged = has_url.where(F.lower("html").contains("canonical") | F.lower("html").contains("http-equiv"))
-    linked = tagged.select("url", F.explode(_links(F.col("html"))).alias("t")).select(
-        resource(F.col("url")).alias("a"), resource(_absolute(F.col("url"), F.col("t"))).alias("b"))
+    tagged = has_url.where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
+    linked = (tagged.select("url", F.explode(_links(F.col("html"))).alias("t"))
+              .select("url", _absolute(F.col("url"), F.col("t")).alias("to"))
+              .select(F.col("url").alias("a"), resource(F.col("to")).alias("b")))
     return own.union(linked).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
 
 
+def _with_rule(frame: DataFrame, url: str, rules) -> DataFrame:
+    """Adds host, path and hit, the struct of rule_of."""
+    return (frame.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+            .withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)))
+
+
 def judge_pages(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of `pages`.
 
@@ -110,11 +106,10 @@ def judge_pages(pages: DataFrame, rules=RULES) -> DataFrame:
     empty host and path, no rule, no alias, and is allowed. Null or empty html gives no links.
     Repeated rows are judged alike. An empty table gives no rows.
     """
-    slim = settle(pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-                  .withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)), "judged-urls")
+    slim = settle(_with_rule(pages.select("page_id", "url"), "url", rules), "judged-urls")
     aliases = components(alias_edges(pages), "aliases")
     # targets that are no page themselves count too if a rule names them
-    named = aliases.withColumn("hit", rule_of(host_of(F.col("node")), path_of(F.col("node")), rules))
+    named = _with_rule(aliases, "node", rules)
     decided = named.where("hit IS NOT NULL").groupBy("root").agg(F.min(F.col("hit.verdict")).alias("decision"))  # allow < block
     inherited = aliases.join(decided, "root").select(F.col("node").alias("url"), "decision")
     open_ = slim.where("hit IS NULL AND contains(url, '://')").join(inherited, "url", "left")
