@@ -34,7 +34,7 @@ from .text_arrays import byte_runs
 
 ANCHOR = 16
 #: Bytes of text whose windows are looked at together.
-PIECE = 2 << 20
+PIECE = 1 << 18
 _POSITION = np.uint64((1 << 23) - 1)
 _LAST_ID = np.int64(2**63 - 1)
 _SHA = "uid long, doc_id long, n long, sha binary"
@@ -225,30 +225,32 @@ def separated(text: np.ndarray, order: np.ndarray, depth: int, stop: np.ndarray)
     a flag for each place in the order: it differs from the place before within `depth` bytes
     (at terminators not always; strings without terminators are separated from each other).
     """
-    n = len(text)
+    n, small = len(text), np.int32 if len(text) < 2**31 - 1 else np.int64
     before = order - 1  # -1 is the last position
-    symbol = text[before].astype(np.int64)
+    # terminators sort last: their symbol is above all bytes
+    symbol = text[before].astype(np.int16)
     symbol[stop[before]] = 256
-    by_symbol = np.argsort(symbol, kind="stable")
-    step = np.empty(n, np.int64)  # of each place to that of the string one byte longer
-    step[by_symbol] = np.arange(n)
+    by_symbol = np.argsort(symbol, kind="stable").astype(small)
+    step = np.empty(n, small)  # of each place to that of the string one byte longer
+    step[by_symbol] = np.arange(n, dtype=small)
     same = symbol[by_symbol[1:]] == symbol[by_symbol[:-1]]
-    earlier, later = np.full(n, -1, np.int64), np.full(n, n, np.int64)
+    earlier, later = np.full(n, -1, small), np.full(n, n, small)
     earlier[by_symbol[1:][same]] = by_symbol[:-1][same]
     later[by_symbol[:-1][same]] = by_symbol[1:][same]
-    # terminators sort last here, after all bytes
-    open_ = symbol < 256
-    # the order must agree with `step`: suffixes that begin with a terminator come last
+    usable = symbol < 256
+    del by_symbol, same, symbol, before
     met = np.zeros(n + 1, bool)
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], small), np.array([n], small)
     for _ in range(depth):
         size = high - low
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        place = np.repeat(low - begin, size) + np.arange(int(size.sum()))
-        usable = open_[place]
-        head = place[usable & (earlier[place] < np.repeat(low, size))]
-        tail = place[usable & (later[place] >= np.repeat(high, size))]
-        low, high = np.sort(step[head]), np.sort(step[tail]) + 1
+        begin = np.cumsum(size, dtype=small) - size
+        place = np.repeat(low - begin, size)
+        place += np.arange(len(place), dtype=small)
+        good = usable[place]
+        head = place[good & (earlier[place] < np.repeat(low, size))]
+        tail = place[good & (later[place] >= np.repeat(high, size))]
+        del place, good
+        low, high = np.sort(step[head]), np.sort(step[tail]) + small(1)
         new = ~met[high]
         low, high = low[new], high[new]
         if not len(low):
@@ -364,7 +366,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, with_text: bool = Fal
     table gives an empty result. length: over ANCHOR + 2.
     """
     packed = ch.pack(documents)
-    bits = ch.bucket_bits(packed)
+    bits = ch.bucket_bits(packed, 2 << 20)
     shas = settle(packed.select("part", "seq", "doc_ids", "sizes", "data").mapInArrow(_digests, _SHA).where(F.col("n") >= length), "digests")
     key = F.coalesce("doc_id", F.lit(int(_LAST_ID)))
     first = shas.groupBy("sha").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
