@@ -64,3 +64,17 @@ def _(spark, folder):
     from .mixing import mixture
     plan, _ = mixture(table(spark, folder, "documents"))
     return plan.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@register("op8_benchmark_decontamination")
+def _(spark, folder):
+    """Documents that hold passages of benchmark items, replaced words tolerated."""
+    from .decontaminate import leaks
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register("op10_document_fingerprints")
+def _(spark, folder):
+    """Fingerprints of all documents, of their edited texts, and their likeness."""
+    from .fingerprints import edit_probe
+    return edit_probe(table(spark, folder, "documents"))

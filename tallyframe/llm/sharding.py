@@ -20,7 +20,7 @@ def text_size() -> Column:
 
 
 def range_positions(slim: DataFrame, order: list[Column], weight: str, label: str) -> DataFrame:
-    """Adds, over the whole table in the given order, `before` (weight of earlier rows) and `row_no` from 0.
+    """Adds, over the whole table in the given order, `before` (weight of earlier rows), `row_no` from 0 and `total`.
 
     Written once with the number of its range partition, so that a retry finds the same ranges.
     The totals that meet in one task are one row for each partition.
@@ -29,7 +29,7 @@ def range_positions(slim: DataFrame, order: list[Column], weight: str, label: st
     dealt = settle(slim.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), label)
     totals = dealt.groupBy("__range").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("n"))
     ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("__range", F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("w0"),
+    starts = totals.select("__range", F.sum("w").over(Window.partitionBy()).alias("total"), F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("w0"),
                            F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"))
     inside = Window.partitionBy("__range").orderBy(*order)
     return (dealt.join(starts, "__range")
@@ -52,10 +52,9 @@ def shard_documents(documents: DataFrame, shards: int = 16) -> DataFrame:
                             F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size")]
     placed = range_positions(slim, order, "size", "shard-ranges")
-    total = placed.agg(F.max(F.col("before") + F.col("size")).alias("total"))
     # twice the middle of the document, as a share of twice the total: whole numbers only
     cut = F.expr(f"CAST(((2 * before + size) * {shards}) DIV (2 * total) AS INT)")
-    cast = settle(placed.join(F.broadcast(total)).select("doc_id", "size", "text_crc32", "row_no", cut.alias("shard")), "shards")
+    cast = settle(placed.select("doc_id", "size", "text_crc32", "row_no", cut.alias("shard")), "shards")
     first = cast.groupBy("shard").agg(F.min("row_no").alias("first"))
     return cast.join(F.broadcast(first), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",

@@ -19,6 +19,11 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 _WORD = np.where(_SEPARATORS, np.uint64(0), _BYTE)
 _WORD_LOWER = np.where(_SEPARATORS, np.uint64(0), _BYTE_LOWER)
+# letters and digits only: ASCII, and all bytes of wider characters; capitals of two bytes from
+# U+00C0 on have the small letter 32 further on
+_MARKS = np.ones(256, bool)
+_MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_LETTERS_LOWER = np.where(_MARKS, np.uint64(0), _BYTE_LOWER)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 2**64))
 _powers = {}
@@ -65,12 +70,19 @@ def slices(batch: pa.RecordBatch, column: str, most: int):
         at = end
 
 
-def words(buf: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start, end and document of every run of non-separators; A-Z may count as a-z."""
+def words(buf: np.ndarray, off: np.ndarray, lower: bool = True, letters: bool = False):
+    """Hash, start, end and document of every run of non-separators; A-Z may count as a-z.
+
+    With `letters`, marks of ASCII separate words too and Latin capitals count as small letters.
+    """
+    if letters and len(buf):
+        capital = np.zeros(len(buf), bool)
+        capital[1:] = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E)
+        buf = np.where(capital, buf + np.uint8(32), buf)
     if len(buf) == 0:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
-    inside = ~_SEPARATORS[buf]
+    inside = ~(_MARKS if letters else _SEPARATORS)[buf]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -82,7 +94,7 @@ def words(buf: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndar
     if len(start) == 0:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
-    value = (_WORD_LOWER if lower else _WORD)[buf] * powers(_BASE, len(buf))
+    value = (_LETTERS_LOWER if letters else _WORD_LOWER if lower else _WORD)[buf] * powers(_BASE, len(buf))
     h = np.add.reduceat(value, start) * powers(_UNBASE, len(buf))[start]
     doc = np.searchsorted(off, start, "right") - 1
     return mix(h + (end - start).astype(np.uint64) * _BASE), start, end, doc
