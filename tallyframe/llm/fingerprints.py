@@ -60,7 +60,7 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for at in range(0, len(h), 1 << 15):
         own, who = h[at: at + (1 << 15)], doc[at: at + (1 << 15)]
         first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-        seed = [mix(own + np.uint64(k) * _BASE) for k in range(1, LANES // 64 + 1)]
+        seed = [mix(own + np.uint64(k * int(_BASE) % 2**64)) for k in range(1, LANES // 64 + 1)]
         bits = np.unpackbits(np.stack(seed, axis=1).astype("<u8").view(np.uint8), axis=1)
         size = np.diff(np.r_[first, len(own)])
         lanes[who[first]] += (2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) - size[:, None]).astype(np.uint16)
@@ -99,7 +99,7 @@ def _combine(a: Column, b: Column, sign: int) -> Column:
 
     out = []
     for (at, digits), m in zip(spots, MODULI):
-        value = F.pmod(entry(a, at, digits) + sign * entry(b, at, digits), F.lit(m).cast("decimal(38,0)"))
+        value = F.pmod(entry(a, at, digits) + sign * entry(b, at, digits), F.lit(str(m)).cast("decimal(38,0)"))
         out.append(F.lower(F.lpad(F.conv(value.cast("string"), 10, 16), digits, "0")))
     return F.concat(*out)
 
