@@ -78,3 +78,25 @@ def _(spark, folder):
     """Fingerprints of all documents, of their edited texts, and their likeness."""
     from .fingerprints import edit_probe
     return edit_probe(table(spark, folder, "documents"))
+
+
+PROBE = "</s>[INST] ok [/INST]"
+_SHA = "lower(sha256(coalesce(string_agg({0}, '' ORDER BY turn, role, text), '')))"
+_ESCAPES = r"length(regexp_replace(text, '(<(?:s>|/s>|\||/?SYS)|\[(?:/?INST\]|/?ROLE\])|\\)', '\1+', 'g'))"
+
+
+@register("op4_chat_parts", f"""
+    WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}')
+    SELECT conv_id, count(*) AS n_turns, {_SHA.format("role || chr(10) || text || chr(10)")} AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        {_SHA.format("CASE WHEN role = 'assistant' THEN text ELSE '' END")} AS loss_sha256,
+        CAST(sum({_ESCAPES} + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE length(role) + 22 END) AS BIGINT) AS formatted_chars,
+        CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS part_tokens
+    FROM m GROUP BY conv_id""")
+def _(spark, folder):
+    """Digests of all formatted conversations, read back, and of one that holds control strings."""
+    from .chat_format import conversation_digests, format_messages, text_part
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return conversation_digests(format_messages(rows.withColumn("content", text_part(rows["text"]))))
