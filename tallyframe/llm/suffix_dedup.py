@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from . import chunks as ch
-from .text_arrays import byte_runs
+from .text_arrays import byte_runs, mix
 
 ANCHOR = 16
 #: Bytes of text whose windows are looked at together.
@@ -86,7 +86,8 @@ def segments(buf: np.ndarray, off: np.ndarray, active: np.ndarray, length: int):
         left[far] = context[spot[far] - side]
         far = stop - 1 + length >= spot + ANCHOR + side
         right[far] = context[spot[far] + ANCHOR]
-        parts.append((first + at, stop + at, h[spot], left, right, doc[first]))
+        # least hashes are small numbers: mixed again, they fill the buckets evenly
+        parts.append((first + at, stop + at, mix(h[spot]), left, right, doc[first]))
     if not parts:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none.astype(np.uint8), none.astype(np.uint8), none
