@@ -100,3 +100,10 @@ def _(spark, folder):
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return conversation_digests(format_messages(rows.withColumn("content", text_part(rows["text"]))))
+
+
+@register("op3_kernel_toxicity")
+def _(spark, folder):
+    """A toxicity score of every document, from a string-kernel machine trained on labelled ones."""
+    from .toxicity import toxicity
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
