@@ -107,3 +107,14 @@ def _(spark, folder):
     """A toxicity score of every document, from a string-kernel machine trained on labelled ones."""
     from .toxicity import toxicity
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+#: A public vocabulary and an id that it leaves free.
+VOCABULARY, END_ID = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
+
+
+@register("op2_separator_scan")
+def _(spark, folder):
+    """Tokens of every document, counted in flat token files made of all documents."""
+    from .token_scan import document_tokens
+    return document_tokens(table(spark, folder, "documents"), VOCABULARY, END_ID)
