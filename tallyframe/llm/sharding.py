@@ -38,6 +38,21 @@ def range_positions(slim: DataFrame, order: list[Column], weight: str, label: st
             .drop("__range", "w0", "n0"))
 
 
+def _slim(documents: DataFrame) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), text_size().alias("size"),
+            F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")]
+
+
+def _deal(slim: DataFrame, order: list[Column], shards: int) -> DataFrame:
+    """Adds shard and slot to (size, ...) rows, contiguous in the given order."""
+    placed = range_positions(slim, order, "size", "shard-ranges")
+    # twice the middle of the document, as a share of twice the total: whole numbers only
+    cut = F.expr(f"CAST(((2 * before + size) * {shards}) DIV (2 * total) AS INT)")
+    cast = settle(placed.select(*slim.columns, "row_no", cut.alias("shard")), "shards")
+    first = cast.groupBy("shard").agg(F.min("row_no").alias("first"))  # a row for each shard
+    return cast.join(F.broadcast(first), "shard").select(*slim.columns, "shard", (F.col("row_no") - F.col("first")).alias("slot"))
+
+
 def shard_documents(documents: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of `documents`.
 
@@ -48,26 +63,23 @@ def shard_documents(documents: DataFrame, shards: int = 16) -> DataFrame:
     A null text has no bytes: size 1, checksum 0. Repeated rows each count. `grown_shard` is
     null: under the law `bytes` another shard moves all cuts. An empty table gives no rows.
     """
-    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_size().alias("size"),
-                            F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size")]
-    placed = range_positions(slim, order, "size", "shard-ranges")
-    # twice the middle of the document, as a share of twice the total: whole numbers only
-    cut = F.expr(f"CAST(((2 * before + size) * {shards}) DIV (2 * total) AS INT)")
-    cast = settle(placed.select("doc_id", "size", "text_crc32", "row_no", cut.alias("shard")), "shards")
-    first = cast.groupBy("shard").agg(F.min("row_no").alias("first"))
-    return cast.join(F.broadcast(first), "shard").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("row_no") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return _deal(documents.select(*_slim(documents)), order, shards).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
 
+def with_shards(documents: DataFrame, shards: int = 16, shuffled: bool = False) -> DataFrame:
+    """The documents with columns shard and slot; each of equal rows gets a slot of its own.
 
-def with_shards(documents: DataFrame, shards: int = 16) -> DataFrame:
-    """The documents with columns shard and slot; each of equal rows gets a slot of its own."""
-    same = ["doc_id", "size", "text_crc32"]
+    Shards are contiguous in doc_id, or in a random order that a hash fixes: then the repeats of
+    a document in a mix are apart from each other.
+    """
     nth = F.row_number().over(Window.partitionBy("__same").orderBy("__same")).alias("__nth")
-    placed = shard_documents(documents, shards).select(F.struct(*same).alias("__same"), "shard", "slot").select("*", nth)
-    whole = documents.select(F.struct(*documents.columns).alias("__row"), F.struct(
-        F.col("doc_id").cast("long").alias("doc_id"), text_size().alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")).alias("__same")).select("*", nth)
+    same = F.struct(*_slim(documents)).alias("__same")
+    slim = documents.select(same).select("__same", F.col("__same.size").alias("size"), nth)
+    key = [F.xxhash64("__same", "__nth")] if shuffled else []
+    order = [*key, F.col("__same.doc_id").asc_nulls_last(), F.col("__same.text_crc32"), F.col("size"), F.col("__nth")]
+    placed = _deal(slim, order, shards).drop("size")
+    whole = documents.select(F.struct(*documents.columns).alias("__row"), same).select("*", nth)
     kept = [F.col(f"__row.{c}") for c in documents.columns if c not in ("shard", "slot")]
     return whole.join(placed, ["__same", "__nth"]).select(*kept, "shard", "slot")

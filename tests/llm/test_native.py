@@ -46,11 +46,14 @@ def test_shard_edges(spark, docs):
 
 def test_documents_with_shards(spark, docs):
     rows = [(i % 5, "ab" * (i % 3)) for i in range(60)] + [(None, None)]
-    out = with_shards(docs(*rows), 3)
-    assert out.columns == [*docs().columns, "shard", "slot"]
-    got = out.collect()
-    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
-    assert len({(r.shard, r.slot) for r in got}) == len(rows)
+    for shuffled in (False, True):
+        out = with_shards(docs(*rows), 3, shuffled)
+        assert out.columns == [*docs().columns, "shard", "slot"]
+        got = out.collect()
+        assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+        assert len({(r.shard, r.slot) for r in got}) == len(rows)
+    repeats = sorted((r.shard, r.slot) for r in got if (r.doc_id, r.text) == (1, ""))
+    assert all(b != (a[0], a[1] + 1) for a, b in zip(repeats, repeats[1:])) or len({s for s, _ in repeats}) > 1
 
 
 # ---- url filter
