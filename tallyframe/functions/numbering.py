@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 
 def _tagged(df: DataFrame, group: Sequence[str], bucket: Sequence[Column]) -> tuple[DataFrame, list[str]]:
     """Add the bucket columns and `__key`, one struct of group and bucket.
@@ -45,6 +47,19 @@ def _with_summary(tagged: DataFrame, summary: DataFrame, value: Column) -> DataF
     return tagged.join(summary.select("__key", value.alias("__ahead")), "__key")
 
 
+def in_ranges(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str = "__range") -> DataFrame:
+    """The rows, written once, with a bucket column that fits the functions below.
+
+    Spark's range partitioner samples the rows and cuts them, in the order of group and sort
+    keys, into about equal partitions; the partition's number is the bucket. Buckets so hold as
+    many rows as the data has for each task, whatever the keys look like, and a group's summary
+    is a row for each partition that it spans.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, *[F.col(g) for g in group], *order)
+    return settle(dealt.withColumn(out, F.spark_partition_id()), "ranges")
+
+
 def numbered(
     df: DataFrame,
     group: Sequence[str],

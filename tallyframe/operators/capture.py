@@ -11,7 +11,7 @@ from ..functions.numbering import hash_prefix, numbered
 from ..functions.scalars import composite_key
 from ..schemas import KEYS, LOGGED, payload_schema
 from ..session import settle
-from .mutate import Tables
+from .mutate import Tables, delete_spaces
 
 _JSON = {"ignoreNullFields": "false"}
 
@@ -144,13 +144,28 @@ def fan_out_user_changes(before: DataFrame, after: DataFrame, members: DataFrame
     return _log_row(rows, F.lit(base_seq).cast("bigint") + F.col("_no"), author, changed_at)
 
 
-def space_deletion_rows(deleted: DataFrame, tail: DataFrame, author: str, changed_at: str) -> DataFrame:
+def space_deletion_rows(deleted: DataFrame, tail: DataFrame, author: str, changed_at: str,
+                        base_seq: int = 0) -> DataFrame:
     """The final `spaces` delete entry of each deleted space.
 
-    tail(space_id, seq): the highest number its child deletions got; missing means none.
+    tail(space_id, seq): the highest number its child deletions got; `base_seq` where none is.
     """
     last = tail.groupBy("space_id").agg(F.max("seq").alias("_last"))
     rows = deleted.join(last, "space_id", "left").select(
         "space_id", F.lit("spaces").alias("table_name"), F.col("space_id").alias("row_id"),
         F.lit("delete").alias("operation"), F.lit(None).cast("string").alias("payload"), "_last")
-    return _log_row(rows, F.coalesce("_last", F.lit(0)).cast("bigint") + 1, author, changed_at)
+    return _log_row(rows, F.coalesce("_last", F.lit(base_seq)).cast("bigint") + 1, author, changed_at)
+
+
+def delete_spaces_logged(tables: Tables, requests: DataFrame, author: str, base_seq: int,
+                         changed_at: str) -> tuple[Tables, DataFrame]:
+    """Soft-delete spaces as one operation: tables without the children, and the log with all deletions.
+
+    The space's own entry has the highest number of its space.
+    """
+    after, gone = delete_spaces(tables, requests)
+    children = settle(capture_changes(tables, after, author, base_seq, changed_at), "deletions")
+    last = space_deletion_rows(gone, children, author, changed_at, base_seq)
+    log = tables["change_log"]
+    after["change_log"] = log.unionByName(children.select(*log.columns)).unionByName(last.select(*log.columns))
+    return after, gone

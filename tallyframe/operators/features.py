@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbering import hash_prefix, numbered
+from ..functions.numbering import hash_prefix, in_ranges, numbered
 from ..functions.scalars import (
     amount_base, amount_bin, clean_text, date_or_default, one_hot, signed_log,
 )
@@ -40,11 +40,11 @@ def build_features(transactions: DataFrame) -> DataFrame:
 def class_list(categories: DataFrame) -> DataFrame:
     """Class positions: category names of all spaces by name, repeats kept.
 
-    Numbered by buckets of a name and the beginning of the id, since every space repeats
-    the common names.
+    Numbered in ranges of the sorted categories: as many as there are tasks, however many
+    categories or spaces there are.
     """
-    ranked = numbered(categories.select("id", "name"), [], [F.col("name"), F.substring("id", 1, 2)],
-                      [F.col("id")], out="_no")
+    order = [F.col("name"), F.col("id")]
+    ranked = numbered(in_ranges(categories.select("id", "name"), [], order), [], [F.col("__range")], order, out="_no")
     return ranked.select((F.col("_no") - 1).alias("position"), "name")
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import DEFAULT_CATEGORIES, FALLBACK_COLOR
+from ..schemas import ACCOUNT_CHILDREN, DEFAULT_CATEGORIES, FALLBACK_COLOR, SPACE_CHILDREN
 from .aggregates import sole_owner_spaces
 from .filters import check_filled, check_ownership, check_role, scope_to_space, split_by
 
@@ -327,21 +327,25 @@ def delete_spaces(tables: Tables, requests: DataFrame) -> tuple[Tables, DataFram
     return out, gone
 
 
+def drop_spaces(tables: Tables, gone: DataFrame) -> Tables:
+    """Hard delete of spaces (space_id) with every row that hangs on them or on their accounts."""
+    gone, out = gone.select("space_id"), dict(tables)
+    keep_out = {name: gone for name in SPACE_CHILDREN} | {"spaces": gone.withColumnRenamed("space_id", "id")}
+    if "accounts" in tables:
+        doomed = tables["accounts"].join(gone, "space_id", "left_semi").select(F.col("id").alias("account_id"))
+        keep_out |= {name: doomed for name in ACCOUNT_CHILDREN}
+    for name, leaving in keep_out.items():
+        if name in tables:
+            out[name] = tables[name].join(leaving, leaving.columns, "left_anti").select(*tables[name].columns)
+    return out
+
+
 def evict_spaces(tables: Tables, spaces: DataFrame) -> Tables:
     """Hard delete of spaces with everything that hangs on them, their log included."""
-    gone = spaces.select("space_id")
-    doomed = tables["accounts"].join(gone, "space_id", "left_semi").select(
-        F.col("id").alias("account_id"))
-    out = dict(tables)
-    for name, frame in tables.items():
-        if name == "spaces":
-            out[name] = frame.join(gone.withColumnRenamed("space_id", "id"), "id", "left_anti")
-        elif name in ("transactions", "account_summaries"):
-            out[name] = frame.join(doomed, "account_id", "left_anti")
-        elif name in ("space_members", "space_settings", "categories", "accounts",
-                      "evicted_devices", "change_log"):
-            out[name] = frame.join(gone, "space_id", "left_anti")
-        out[name] = out[name].select(*frame.columns)
+    out = drop_spaces(tables, spaces)
+    if "change_log" in tables:
+        log = tables["change_log"]
+        out["change_log"] = log.join(spaces.select("space_id"), "space_id", "left_anti").select(*log.columns)
     return out
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbering import numbered, previous_value
+from ..functions.numbering import in_ranges, numbered, previous_value
 from ..functions.scalars import differs, key_head, key_tail, let, within_tolerance
 from ..schemas import KEYS, LOG_BATCH_ROWS, LOGGED, SNAPSHOT_CHUNK_ROWS, TABLES, payload_schema
 from .aggregates import seq_bounds
@@ -363,9 +363,8 @@ def chunk_snapshot(snapshot: DataFrame, rows: int = SNAPSHOT_CHUNK_ROWS) -> Data
 
     Space, member and user rows travel in one chunk each.
     """
-    ranked = numbered(
-        snapshot, ["space_id", "table_rank"], [F.col("lead"), F.substring("key", 1, 6)],
-        [F.col("key")], out="_no")
+    group, order = ["space_id", "table_rank"], [F.col("lead"), F.col("key")]
+    ranked = numbered(in_ranges(snapshot, group, order), group, [F.col("__range")], order, out="_no").drop("__range")
     whole = F.col("table_name").isin(*_UNCHUNKED)
     chunk = F.when(whole, F.lit(0)).otherwise(F.floor((F.col("_no") - 1) / rows)).cast("bigint")
     return ranked.withColumn("chunk", chunk).drop("_no")

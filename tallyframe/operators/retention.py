@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import RETENTION_DAYS
 from .joins import peer_progress
-from .mutate import Tables
+from .mutate import Tables, drop_spaces
 
 
 def compact_log(log: DataFrame) -> DataFrame:
@@ -67,19 +67,18 @@ def purge_orphan_users(users: DataFrame, members: DataFrame) -> DataFrame:
         *users.columns)
 
 
+def purge_spaces(tables: Tables) -> Tables:
+    """Drop soft-deleted spaces whose log is empty, with every row that hangs on them."""
+    kept = purge_deleted_spaces(tables["spaces"], tables["change_log"])
+    gone = tables["spaces"].join(kept.select("id"), "id", "left_anti").select(F.col("id").alias("space_id"))
+    return drop_spaces(tables, gone)
+
+
 def run_retention(tables: Tables, as_of: str) -> Tables:
     """All passes in their fixed order; each feeds the next."""
     log = compact_log(tables["change_log"])
     log = drop_consumed(log, tables["trusted_devices"], tables["sync_cursors"])
-    log = cap_retention(log, as_of)
-    spaces = purge_deleted_spaces(tables["spaces"], log)
-    purged = tables["spaces"].join(spaces.select("id"), "id", "left_anti").select(
-        F.col("id").alias("space_id"))
-    out = {**tables, "change_log": log, "spaces": spaces}
-    for child in ("space_members", "space_settings", "categories", "evicted_devices"):
-        if child in tables:
-            out[child] = tables[child].join(purged, "space_id", "left_anti").select(
-                *tables[child].columns)
-    out["trusted_devices"] = purge_orphan_devices(tables["trusted_devices"], spaces)
+    out = purge_spaces({**tables, "change_log": cap_retention(log, as_of)})
+    out["trusted_devices"] = purge_orphan_devices(tables["trusted_devices"], out["spaces"])
     out["users"] = purge_orphan_users(tables["users"], out["space_members"])
     return out

@@ -10,7 +10,8 @@ from ..schemas import ACTIVE_MODEL_SETTING
 from ..session import settle
 from ..sources.given import GivenLedger
 from .catalog import register
-from .oracle import ledger_sql
+from .mutation_queries import kept_without, space_tables, surviving_keys
+from .oracle import keys_sql, ledger_sql
 
 AT = "2025-05-05T05:05:05Z"
 AS_OF = "2024-04-15T12:00:00Z"
@@ -473,11 +474,11 @@ def _(led: GivenLedger) -> DataFrame:
     return retention.cap_retention(led.change_log, AS_OF)
 
 
-@register("purge_deleted_spaces", ledger_sql("""
-    SELECT id, name FROM spaces WHERE id NOT IN ('s1', 's3', 's4') OR id IN (SELECT space_id FROM change_log)"""))
+@register("purge_deleted_spaces", ledger_sql(keys_sql(kept_without("SELECT id FROM spaces WHERE id IN ('s1', 's3', 's4') AND id NOT IN (SELECT space_id FROM change_log)"))))
 def _(led: GivenLedger) -> DataFrame:
+    """Keys of all tables after soft-deleted spaces without log rows have gone."""
     spaces = led.spaces.withColumn("deleted", F.col("id").isin("s1", "s3", "s4"))
-    return retention.purge_deleted_spaces(spaces, led.change_log).select("id", "name")
+    return surviving_keys(retention.purge_spaces({**space_tables(led), "spaces": spaces}))
 
 
 @register("purge_orphan_devices", ledger_sql("SELECT * FROM trusted_devices WHERE space_id <> 's0'"))
@@ -491,20 +492,16 @@ def _(led: GivenLedger) -> DataFrame:
     return retention.purge_orphan_users(led.users, led.space_members.where("role = 'owner'"))
 
 
-@register("run_retention", ledger_sql("""
-    SELECT 'change_log' AS table_name, id FROM capped
-    UNION ALL SELECT 'spaces', id FROM live
-    UNION ALL SELECT 'trusted_devices', id FROM trusted_devices WHERE space_id IN (SELECT id FROM live)
-    UNION ALL SELECT 'users', id FROM users
-      WHERE id IN (SELECT user_id FROM space_members WHERE space_id IN (SELECT id FROM live))""", _PASSES, """
-live AS (SELECT id FROM spaces WHERE id NOT IN ('s1', 's3') OR id IN (SELECT space_id FROM capped))"""))
+_RETAINED = kept_without("SELECT id FROM purged") | {
+    "trusted_devices": "space_id NOT IN (SELECT id FROM purged)",
+    "users": "id IN (SELECT user_id FROM space_members WHERE space_id NOT IN (SELECT id FROM purged))"}
+del _RETAINED["change_log"]
+
+
+@register("run_retention", ledger_sql(
+    f"SELECT 'change_log' AS table_name, id AS key FROM capped UNION ALL {keys_sql(_RETAINED)}", _PASSES, """
+purged AS (SELECT id FROM spaces WHERE id IN ('s1', 's3') AND id NOT IN (SELECT space_id FROM capped))"""))
 def _(led: GivenLedger) -> DataFrame:
-    tables = {
-        "change_log": led.change_log, "trusted_devices": led.trusted_devices,
-        "sync_cursors": led.sync_cursors, "users": led.users, "space_members": led.space_members,
-        "spaces": led.spaces.withColumn("deleted", F.col("id").isin("s1", "s3")),
-    }
-    out = retention.run_retention(tables, AS_OF)
-    frames = [out[t].select(F.lit(t).alias("table_name"), "id")
-              for t in ("change_log", "spaces", "trusted_devices", "users")]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
+    """Keys of all tables after every pass."""
+    tables = {**space_tables(led), "spaces": led.spaces.withColumn("deleted", F.col("id").isin("s1", "s3"))}
+    return surviving_keys(retention.run_retention(tables, AS_OF))

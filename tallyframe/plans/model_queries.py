@@ -99,14 +99,16 @@ def _trained(led: GivenLedger):
     return embedded, classes, model.train_head(embedded, size, EMBEDDING_SIZE)
 
 
-@register("text_embedding")
+@register("text_embedding", ledger_sql("""
+    SELECT id, CASE WHEN length(text) < 3 THEN 0.0::DOUBLE ELSE 1.0 END AS squared_length FROM base_transactions"""))
 def _(led: GivenLedger) -> DataFrame:
+    """Embeddings have unit length; texts without a trigram have none."""
     from pyspark.ml.functions import vector_to_array
 
     rows = led.transactions(balance=False).select("id", F.lower("text").alias("text"))
     vector = vector_to_array("embedding")
     return model.embed_text(rows, EMBEDDING_SIZE).select(
-        "id", F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x).alias("squared_length"))
+        "id", F.round(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x), 9).alias("squared_length"))
 
 
 @register("attach_embeddings", ledger_sql("""
@@ -125,30 +127,22 @@ def _(led: GivenLedger) -> DataFrame:
 
 
 @register("mean_pool", """
-    SELECT label, CAST(round(norm * 1000000) AS BIGINT) AS length_millionths,
-           CAST(round(first_value * 10000) AS BIGINT) AS first_ten_thousandths FROM (
-      SELECT label, 1.0 AS norm, s0 / sqrt(ss) AS first_value FROM (
-        SELECT label, sum(m) FILTER (i = 1) AS s0, sum(m * m) AS ss FROM (
-          SELECT label, i, avg(v) AS m FROM (
-            SELECT label, UNNEST(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings
-            WHERE vec_id % 2 = 0)
-          GROUP BY 1, 2) GROUP BY 1))""")
+    WITH tokens AS (
+      SELECT vec_id // 8 AS text_id, vec_id % 3 <> 0 AS kept, UNNEST(embedding) AS v,
+             generate_subscripts(embedding, 1) AS i FROM embeddings),
+    means AS (SELECT text_id, i, avg(v::DOUBLE) FILTER (kept) AS m FROM tokens GROUP BY 1, 2)
+    SELECT text_id, CAST(1000000 AS BIGINT) AS length_millionths,
+           CAST(round(sum(m) FILTER (i = 1) / sqrt(sum(m * m)) * 10000) AS BIGINT) AS first_ten_thousandths
+    FROM means GROUP BY 1""")
 def _(led: GivenLedger) -> DataFrame:
-    """Unit-length mean vector of each label, a second token being masked out.
-
-    The components are averaged by a combining aggregate first, so a label's vectors never
-    meet in one record: only its 64 means do.
-    """
-    vectors = led.read("embeddings").withColumn("kept", F.col("vec_id") % 2 == 0)
-    size = 64
-    sums = vectors.where("kept").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(
-        F.avg(F.col("v").cast("double")).alias("m"))
-    means = sums.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("pairs")).select(
-        "label", F.array(F.transform("pairs", lambda p: p["m"]), F.array_repeat(F.lit(9.0), size)).alias("tokens"))
-    pooled = means.select("label", mean_pool(F.col("tokens"), F.array(F.lit(1), F.lit(0)), size).alias("v"))
+    """Unit-length masked mean: eight vectors in a row are the tokens of a text, every third is masked."""
+    vectors = led.read("embeddings").withColumn("text_id", F.floor(F.col("vec_id") / 8))
+    token = F.struct("vec_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("vec_id") % 3 != 0).cast("int").alias("kept"))
+    texts = vectors.groupBy("text_id").agg(F.sort_array(F.collect_list(token)).alias("t"))  # eight at most
+    pooled = texts.select("text_id", mean_pool(F.col("t.v"), F.col("t.kept"), 64).alias("v"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     return pooled.select(
-        "label", F.round(length * 1000000).cast("bigint").alias("length_millionths"),
+        "text_id", F.round(length * 1000000).cast("bigint").alias("length_millionths"),
         F.round(F.get("v", F.lit(0)) * 10000).cast("bigint").alias("first_ten_thousandths"))
 
 

@@ -5,15 +5,18 @@ The edit batches are derived from the given tables, so they grow with them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import mutate
+from ..operators import capture, mutate
+from ..schemas import ACCOUNT_CHILDREN, KEYS, SPACE_CHILDREN, TABLES
 from ..session import scratch_dir
 from ..sources import space_files
 from ..sources.given import GivenLedger
 from .catalog import register
-from .oracle import ledger_sql
+from .oracle import keys_sql, ledger_sql
 
 AT = "2025-05-05T05:05:05Z"
 
@@ -397,53 +400,70 @@ def _(led: GivenLedger) -> DataFrame:
     return mutate.leave_space(members, alone.select("space_id", "user_id"))[1]
 
 
-def _space_tables(led: GivenLedger) -> dict[str, DataFrame]:
+def space_tables(led: GivenLedger) -> dict[str, DataFrame]:
+    """Every table that has to do with spaces; transactions without their texts."""
     return {
-        "spaces": led.spaces, "space_members": led.space_members, "space_settings": led.space_settings,
+        "spaces": led.spaces, "users": led.users, "space_members": led.space_members, "space_settings": led.space_settings,
         "categories": led.categories, "accounts": led.accounts, "transactions": _slim(led),
-        "account_summaries": led.account_summaries, "evicted_devices": led.evicted_devices,
-        "change_log": led.change_log,
+        "account_summaries": led.account_summaries, "trusted_devices": led.trusted_devices,
+        "evicted_devices": led.evicted_devices, "sync_cursors": led.sync_cursors, "change_log": led.change_log,
+        "sync_conflicts": led.sync_conflicts, "model_versions": led.model_versions,
     }
 
 
-def _counted(tables: dict[str, DataFrame]) -> DataFrame:
-    frames = [f.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows")
-              for n, f in tables.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def surviving_keys(tables: dict[str, DataFrame], names=None) -> DataFrame:
+    """(table_name, key) of every row of every table."""
+    frames = [f.select(F.lit(n).alias("table_name"), F.concat_ws("|", *[F.col(k).cast("string") for k in KEYS[n]]).alias("key"))
+              for n, f in tables.items() if names is None or n in names]
+    return reduce(DataFrame.unionByName, frames)
 
 
-def _counts_sql(kept: dict[str, str]) -> str:
-    return " UNION ALL ".join(
-        f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n} WHERE {w}" for n, w in kept.items())
+def kept_without(spaces: str) -> dict[str, str]:
+    """Conditions, for each table, of what is left when these spaces go for good."""
+    in_space, of_account = f"space_id NOT IN ({spaces})", f"account_id IN (SELECT id FROM accounts WHERE space_id NOT IN ({spaces}))"
+    return {n: f"id NOT IN ({spaces})" if n == "spaces" else in_space if n in SPACE_CHILDREN
+            else of_account if n in ACCOUNT_CHILDREN else "true" for n in TABLES}
 
 
-_KEPT_BY_ACCOUNT = "account_id IN (SELECT id FROM accounts WHERE space_id NOT IN ('s1', 's3'))"
-_KEPT = "space_id NOT IN ('s1', 's3')"
+_GONE = "'s1', 's3'"
+_DELETED = kept_without(_GONE) | {n: "true" for n in ("spaces", "evicted_devices", "sync_cursors", "sync_conflicts", "model_versions")}
+del _DELETED["change_log"]
 
 
-@register("delete_space", ledger_sql(_counts_sql({
-    "spaces": "true", "space_members": _KEPT, "space_settings": _KEPT, "categories": _KEPT,
-    "accounts": _KEPT, "transactions": _KEPT_BY_ACCOUNT, "account_summaries": _KEPT_BY_ACCOUNT,
-    "evicted_devices": "true", "change_log": "true"})))
+@register("delete_space", ledger_sql(f"""
+    {keys_sql(_DELETED)}
+    UNION ALL SELECT 'deleted', id FROM spaces WHERE id IN ({_GONE})
+    UNION ALL SELECT 'logged ' || table_name, row_id FROM change_log
+    UNION ALL SELECT 'logged space_members', space_id || ':' || user_id FROM space_members WHERE space_id IN ({_GONE})
+    UNION ALL SELECT 'logged space_settings', space_id || ':' || key FROM space_settings WHERE space_id IN ({_GONE})
+    UNION ALL SELECT 'logged categories', id FROM categories WHERE space_id IN ({_GONE})
+    UNION ALL SELECT 'logged accounts', id FROM accounts WHERE space_id IN ({_GONE})
+    UNION ALL SELECT 'logged transactions', t.id FROM base_transactions t JOIN accounts a ON a.id = account_id WHERE space_id IN ({_GONE})
+    UNION ALL SELECT 'logged account_summaries', account_id || ':' || month FROM account_summaries
+      JOIN accounts a ON a.id = account_id WHERE space_id IN ({_GONE})
+    UNION ALL SELECT 'logged spaces', id FROM spaces WHERE id IN ({_GONE})
+    UNION ALL SELECT 'last', id FROM spaces WHERE id IN ({_GONE})"""))
 def _(led: GivenLedger) -> DataFrame:
-    """Owners delete two spaces; a member's request for a third is refused."""
+    """Owners delete two spaces; a member's request for a third is refused. Keys of all tables and of the log."""
     by_owner = led.space_members.where("role = 'owner' and space_id in ('s1', 's3')")
     by_member = led.space_members.where("role = 'member' and space_id = 's2'")
     requests = by_owner.unionByName(by_member).select("space_id", "user_id")
-    tables, _gone = mutate.delete_spaces(_space_tables(led), requests)
-    return _counted(tables)
+    before = {**space_tables(led), "transactions": led.transactions(text=False, balance=False).withColumns(
+        {"text": F.lit(""), "balance": F.lit(0).cast("long")})}
+    after, _gone = capture.delete_spaces_logged(before, requests, "host", 10**9, AT)
+    log = after.pop("change_log")
+    keys = surviving_keys(after).unionByName(
+        after["spaces"].where("deleted").select(F.lit("deleted").alias("table_name"), F.col("id").alias("key")))
+    logged = log.select(F.concat(F.lit("logged "), "table_name").alias("table_name"), F.col("row_id").alias("key"))
+    last = log.groupBy("space_id").agg(F.max_by("table_name", "seq").alias("t")).where("t = 'spaces'").select(
+        F.lit("last").alias("table_name"), F.col("space_id").alias("key"))
+    return keys.unionByName(logged).unionByName(last)
 
 
-@register("evict_space", ledger_sql(_counts_sql({
-    "spaces": "id NOT IN ('s1', 's3')", "space_members": _KEPT, "space_settings": _KEPT,
-    "categories": _KEPT, "accounts": _KEPT, "transactions": _KEPT_BY_ACCOUNT,
-    "account_summaries": _KEPT_BY_ACCOUNT, "evicted_devices": _KEPT, "change_log": _KEPT})))
+@register("evict_space", ledger_sql(keys_sql(kept_without(_GONE) | {"change_log": f"space_id NOT IN ({_GONE})"})))
 def _(led: GivenLedger) -> DataFrame:
     spaces = led.spaces.where("id in ('s1', 's3')").select(F.col("id").alias("space_id"))
-    return _counted(mutate.evict_spaces(_space_tables(led), spaces))
+    return surviving_keys(mutate.evict_spaces(space_tables(led), spaces))
 
 
 # ---- devices ------------------------------------------------------------------------

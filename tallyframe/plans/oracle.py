@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..schemas import DEFAULT_CATEGORIES
+from ..schemas import DEFAULT_CATEGORIES, KEYS
 
 _EPOCH = "'2024-01-01T00:00:00Z'"
 _DEFAULTS = ", ".join(f"('{s}', '{n}', '{c}')" for s, n, c in DEFAULT_CATEGORIES)
@@ -105,8 +105,19 @@ evicted_devices AS (
   SELECT space_id, 'd9' AS device_id, cert_pem FROM trusted_devices WHERE device_id = 'd3'),
 sync_cursors AS (
   SELECT space_id, device_id AS peer_device_id, max(seq) // 2 AS last_seq FROM change_log
-  WHERE NOT (space_id = 's2' AND device_id = 'd2') GROUP BY 1, 2)
+  WHERE NOT (space_id = 's2' AND device_id = 'd2') GROUP BY 1, 2),
+sync_conflicts AS (
+  SELECT 'c' || id AS id, space_id, row_id FROM change_log WHERE seq % 10 = 0)
 """
+# The key of each table's rows, as one text.
+KEY_SQL = {name: " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in keys) for name, keys in KEYS.items()}
+
+
+def keys_sql(kept: dict[str, str]) -> str:
+    """(table_name, key) of the rows that a condition keeps, for each table."""
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, {KEY_SQL[n]} AS key FROM {n} WHERE {w}" for n, w in kept.items())
+
 
 
 def ledger_sql(body: str, *more: str) -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_dir
+from ..session import scratch_dir, settle
 from ..sources.given import GivenLedger, change_rows
 from ..streaming import imports, replication, sinks
 from .catalog import register
@@ -18,13 +18,22 @@ from .series_queries import SPEND
 
 
 def deliveries(led: GivenLedger, rows: DataFrame, key: str) -> DataFrame:
-    """A stream of three files: the rows below, between and above two quantiles of `key`."""
-    low, high = rows.approxQuantile(key, [0.33, 0.66], 0.01)
-    path = scratch_dir(led.spark, "deliveries")
-    value = F.col(key)
-    for part in (value <= low, (value > low) & (value <= high), value > high):
-        rows.where(part).coalesce(1).write.mode("append").parquet(path)
-    return led.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """A stream of three deliveries in the order of `key`, each of as many files as there are tasks.
+
+    The rows are evaluated and stored once; the borders lie evenly between the least and the
+    greatest key. A micro-batch takes a delivery's files, which bounds it.
+    """
+    stored = settle(rows, "to-deliver")
+    low, high = stored.agg(F.min(key), F.max(key)).first()
+    path, files = scratch_dir(led.spark, "deliveries"), int(led.spark.conf.get("spark.sql.shuffle.partitions"))
+    if low is not None:
+        step, value = (high - low) / 3, F.col(key)
+        first, second = low + step, low + 2 * step
+        for part in (value <= first, (value > first) & (value <= second), value > second):
+            stored.where(part).repartition(files).write.mode("append").parquet(path)
+    else:
+        stored.write.parquet(path)
+    return led.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _events(led: GivenLedger) -> DataFrame:
@@ -116,14 +125,32 @@ def _(led: GivenLedger) -> DataFrame:
     return sinks.latest_values(batches, ["space_id", "device_id"])
 
 
-@register("stream_late_rows", ledger_sql("SELECT * FROM change_log", _PASSES))
+_OLD = 120  # days that the late delivery lies behind the rest
+
+_LATE = """
+kept AS (SELECT * FROM change_log),
+bounds AS (SELECT space_id, device_id, min(seq) AS low, max(seq) AS high FROM kept GROUP BY 1, 2)"""
+
+
+@register("stream_late_rows", ledger_sql("SELECT 'kept' AS what, id FROM kept", _LATE))
 def _(led: GivenLedger) -> DataFrame:
-    """Every row delivered twice, in rising order: each is kept once and none is late."""
+    """Every row delivered twice, and a third of them once more under new ids from long ago.
+
+    The old copies come last, when the watermark has passed them: each is late. The others are
+    kept once.
+    """
     root = scratch_dir(led.spark, "late")
-    twice = led.read("events").unionByName(led.read("events"))
-    stream = change_rows(deliveries(led, twice, "event_id"))
+    events = led.read("events")
+    old = events.where("event_id % 3 = 0").withColumns({
+        "event_id": F.col("event_id") + 10**12,
+        "ts": (F.col("ts").cast("timestamp") - F.expr(f"INTERVAL {_OLD} DAYS")).cast(events.schema["ts"].dataType)})
+    path, files = scratch_dir(led.spark, "deliveries"), int(led.spark.conf.get("spark.sql.shuffle.partitions"))
+    for part in (events, events, old):
+        # the watermark moves between batches: the second delivery lies between the new rows and the old
+        part.repartition(files).write.mode("append").parquet(path)
+    stream = change_rows(led.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path))
     replication.start_late_rows(stream, root, led.sync_cursors).awaitTermination()
-    return replication.kept_rows(led.spark, root)
+    return replication.kept_rows(led.spark, root).select(F.lit("kept").alias("what"), "id")
 
 
 _BURSTS = """

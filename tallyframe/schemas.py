@@ -74,6 +74,13 @@ KEYS = {
     "sync_conflicts": ["id"], "model_versions": ["space_id", "version"],
 }
 
+# What a hard-deleted space takes with it: the tables that name a space, and those that name an
+# account of one. The change log and the trusted devices don't follow; they have passes of
+# their own.
+SPACE_CHILDREN = [t for t, s in TABLES.items()
+                  if "space_id" in s.names and t not in ("change_log", "trusted_devices")]
+ACCOUNT_CHILDREN = [t for t, s in TABLES.items() if "account_id" in s.names]
+
 # Tables whose row changes are logged, parents before children. The position is the
 # order in which upserts are numbered; deletes are numbered in the opposite order.
 LOGGED = [

@@ -228,6 +228,17 @@ class GivenLedger:
             F.floor(F.col("top") / 2).cast("bigint").alias("last_seq"),
         )
 
+    @cached_property
+    def sync_conflicts(self) -> DataFrame:
+        """Every tenth change of the log stands for a noted conflict."""
+        log = self.change_log.where("seq % 10 = 0")
+        none = F.lit(None).cast("string")
+        return log.select(
+            F.concat(F.lit("c"), "id").alias("id"), "space_id", "table_name", "row_id", F.lit("note").alias("field"),
+            none.alias("local_value"), none.alias("remote_value"), F.col("changed_at").alias("local_changed_at"),
+            F.col("changed_at").alias("remote_changed_at"), F.lit(False).alias("resolved"),
+            F.col("changed_at").alias("created_at"))
+
 
 def change_rows(events: DataFrame) -> DataFrame:
     """Events as change-log rows; works on a batch or a streaming frame."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbering import previous_value, running_total
+from ..functions.numbering import in_ranges, previous_value, running_total
 from ..functions.scalars import month_of
 from ..operators.filters import scope_to_space
 from ..schemas import QUIET_SECONDS, RETENTION_DAYS
@@ -45,15 +45,16 @@ def mutation_bursts(mutations: DataFrame, time: str, key: str, seconds: int = QU
     """The same bursts over stored mutations, for spaces of any size.
 
     A mutation starts a burst when the one before it in its space is at least the quiet
-    period older. Hours are the buckets, so a busy space is spread over its hours, and the
-    bursts are numbered by a running count of starts.
+    period older. Ranges of the mutations in time order are the buckets, so a busy space is
+    spread over as many tasks as its rows fill, and the bursts are numbered by a running count
+    of starts.
     """
-    hour = F.date_trunc("hour", F.col(time))
-    order = [F.col(time), F.col(key)]
-    chained = previous_value(mutations, ["space_id"], [hour], order, F.struct(time), "_before")
+    order, bucket = [F.col(time), F.col(key)], [F.col("__range")]
+    ranged = in_ranges(mutations, ["space_id"], order)
+    chained = previous_value(ranged, ["space_id"], bucket, order, F.struct(time), "_before")
     quiet = F.col(f"_before.{time}") + F.expr(f"INTERVAL {seconds} SECONDS") <= F.col(time)
     starts = chained.withColumn("_starts", F.coalesce(quiet, F.lit(True)).cast("bigint"))
-    bursts = running_total(starts, ["space_id"], [hour], order, F.col("_starts"), "_burst")
+    bursts = running_total(starts, ["space_id"], bucket, order, F.col("_starts"), "_burst")
     return bursts.groupBy("space_id", "_burst").agg(
         F.min(time).alias("first_at"),
         (F.max(time) + F.expr(f"INTERVAL {seconds} SECONDS")).alias("fires_at"),

@@ -75,11 +75,14 @@ def start_apply(changes: DataFrame, root: str, base: Tables, local_log: DataFram
             incoming = stored.withColumn("batch_no", F.lit(batch_id))
             touched = incoming.select(F.col("row_id").alias("id")).distinct()
             local = {"transactions": base["transactions"].join(touched, "id", "left_semi")}
+            # what earlier batches applied is in the log, under its authors
+            log = local_log.join(touched.withColumnRenamed("id", "row_id"), "row_id", "left_semi").select(*CHANGE_LOG.names)
             if batch_id > 0:
                 earlier = committed_changes(spark, root).where(F.col("batch_no") < batch_id).join(
                     touched.withColumnRenamed("id", "row_id"), "row_id", "left_semi")
                 local = apply_changes(local, earlier)
-            found = detect_conflicts(incoming, local["transactions"], local_log)
+                log = log.unionByName(earlier.select(*CHANGE_LOG.names))
+            found = detect_conflicts(incoming, local["transactions"], log)
             write_batch(found.select(*CONFLICT_COLUMNS), root, "conflicts", batch_id)
             reached = seq_bounds(rows).select("space_id", "device_id", "max_seq")
             write_batch(reached.coalesce(1), root, "commits", batch_id)
@@ -187,20 +190,34 @@ def timely_rows(changes: DataFrame, days: int = RETENTION_DAYS) -> DataFrame:
 
 def start_late_rows(changes: DataFrame, root: str, cursors: DataFrame, days: int = RETENTION_DAYS,
                     available_now: bool = True) -> StreamingQuery:
-    """Keep timely rows; per micro-batch note the reached sequence and who needs a snapshot."""
+    """Keep timely rows; per micro-batch note the reached sequence and who needs a snapshot.
+
+    The plan looks at the bounds of everything kept so far and at the cursors as committed by
+    the batches before this one.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.persist()
+        spark, rows = batch.sparkSession, batch.persist()
         try:
             write_batch(rows.drop("event_time"), root, "changes", batch_id)
-            write_batch(seq_bounds(rows).select("space_id", "device_id", "max_seq"), root, "commits", batch_id)
-            plan = plan_delta_or_snapshot(rows, rows, cursors).where("mode = 'snapshot'")
+            reached = cursors
+            if batch_id > 0:
+                before = read_batches(spark, root, "commits", _COMMIT).where(F.col("batch_id") < batch_id)
+                reached = advance_cursors(cursors, before.drop("batch_id"))
+            retained = read_batches(spark, root, "changes", _APPLIED).where(F.col("batch_id") <= batch_id)
+            plan = plan_delta_or_snapshot(retained, retained, reached).where("mode = 'snapshot'")
             write_batch(plan, root, "snapshots", batch_id)
+            write_batch(seq_bounds(rows).select("space_id", "device_id", "max_seq"), root, "commits", batch_id)
         finally:
             rows.unpersist()
 
     return run_batches(timely_rows(changes, days), root, handle, available_now=available_now)
 
 
+def snapshot_plans(spark: SparkSession, root: str) -> DataFrame:
+    """Who needed a snapshot, by batch."""
+    return spark.read.option("basePath", f"{root}/snapshots").parquet(f"{root}/snapshots")
+
+
 def kept_rows(spark: SparkSession, root: str) -> DataFrame:
     return read_batches(spark, root, "changes", _APPLIED).drop("batch_id")

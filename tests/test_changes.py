@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tallyframe.operators import capture, mutate, replicate, retention
-from tallyframe.schemas import LOGGED
+from tallyframe.schemas import LOGGED, TABLES
 
 BASE = "2024-01-01T00:00:"
 
@@ -335,3 +335,26 @@ def test_passes_feed_each_other(table, world):
     assert {r.id for r in out["change_log"].collect()} == {"3"}
     assert rows(out["spaces"], "id") == [("s2",), ("s3",)]
     assert rows(out["trusted_devices"], "id") == [("d2",)] and rows(out["users"], "id") == [("u2",)]
+
+
+@pytest.mark.parametrize("evict", [True, False])
+def test_hard_deletes_take_everything_along(spark, table, evict):
+    """Two spaces with a row in every table: only the other one's rows are left."""
+    def both(name, **more):
+        made = []
+        for s in ("s1", "s2"):
+            row = {k: f"{s}-{k}" for k in TABLES[name].names if TABLES[name][k].dataType.simpleString() == "string"}
+            made.append(row | {"space_id": s, "account_id": f"{s}-id", "changed_at": "2020-01-01T00:00:00Z"} | (
+                {"id": s, "deleted": s == "s1"} if name == "spaces" else {}))
+        return table(name, *made)
+
+    tables = {name: both(name) for name in TABLES}
+    if evict:
+        out = mutate.evict_spaces(tables, spark.createDataFrame([("s1",)], "space_id string"))
+        stay = {"users", "trusted_devices"}
+    else:
+        out, stay = retention.run_retention(tables, "2024-04-15T12:00:00Z"), set()
+    for name, frame in out.items():
+        left = len([r for r in frame.collect() if str(r.asDict().get("space_id") or r.asDict().get("account_id") or r.id).startswith("s1")])
+        assert left == (1 if name in stay else 0), name
+        assert name in ("change_log", "users") or frame.count() == 1 + left, name
