@@ -166,7 +166,8 @@ def evaluate(scored: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Loss and accuracy per space and split from `logits` and `label`.
 
     The loss is the mean of batch means over batches of `batch_rows`, so a short last batch
-    weighs more; a batch whose loss is not finite counts in neither figure.
+    weighs more; a batch whose loss is not finite counts in neither figure. Where no batch is
+    finite, loss and accuracy are 0 over 0 rows.
     """
     groups = ["space_id", "train"]
     ranked = numbered(scored, groups, [hash_prefix(F.col("id"))], [F.md5("id"), F.col("id")], out="_no")
@@ -174,10 +175,11 @@ def evaluate(scored: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     hit = argmax_last(F.col("logits")) == F.col("label").cast("int")
     batches = ranked.groupBy(*groups, F.floor((F.col("_no") - 1) / batch_rows).alias("_batch")).agg(
         F.avg(loss).alias("_loss"), F.count_if(hit).alias("_hits"), F.count(F.lit(1)).alias("_rows"))
-    finite = batches.where(~F.isnan("_loss") & (F.abs("_loss") < float("inf")))
-    return finite.groupBy(*groups).agg(
-        F.avg("_loss").alias("loss"),
-        (F.sum("_hits") / F.sum("_rows")).alias("accuracy"), F.sum("_rows").alias("rows"))
+    finite = ~F.isnan("_loss") & (F.abs("_loss") < float("inf"))
+    return batches.groupBy(*groups).agg(
+        F.coalesce(F.avg(F.when(finite, F.col("_loss"))), F.lit(0.0)).alias("loss"),
+        F.coalesce(F.sum(F.when(finite, F.col("_hits"))) / F.sum(F.when(finite, F.col("_rows"))), F.lit(0.0)).alias("accuracy"),
+        F.coalesce(F.sum(F.when(finite, F.col("_rows"))), F.lit(0)).alias("rows"))
 
 
 def sample_predictions(predictions: DataFrame, rows: int, seed: int) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from ..functions.numbering import in_ranges, numbered, previous_value
 from ..functions.scalars import differs, key_head, key_tail, let, within_tolerance
 from ..schemas import KEYS, LOG_BATCH_ROWS, LOGGED, SNAPSHOT_CHUNK_ROWS, TABLES, payload_schema
 from .aggregates import seq_bounds
-from .capture import snapshot_json
+from .capture import capture_changes, snapshot_json
 from .filters import scope_to_space, visible_spaces
 from .joins import latest_other_author
 from .mutate import Tables, upsert, upsert_columns, upsert_monotone
@@ -392,6 +392,22 @@ def apply_snapshot(tables: Tables, snapshot: DataFrame) -> Tables:
     return out
 
 
+def apply_snapshot_from(tables: Tables, snapshot: DataFrame, host: DataFrame, host_device: str, base_seq: int,
+                        changed_at: str) -> Tables:
+    """Apply a host's snapshot with its end frame.
+
+    host: rows of trusted_devices, one for each space, that stand for the host itself; an
+    existing one keeps its id and pairing time. What the snapshot changed is logged under the
+    host's device, so that it is not sent back to the host.
+    """
+    out = apply_snapshot(tables, snapshot)
+    log = capture_changes(tables, out, host_device, base_seq, changed_at)
+    out["trusted_devices"] = upsert_columns(
+        tables["trusted_devices"], host, ["space_id", "device_id"], ["display_name", "cert_pem", "sync_enabled"])
+    out["change_log"] = tables["change_log"].unionByName(log.select(*tables["change_log"].columns))
+    return out
+
+
 def with_active_setting(snapshot: DataFrame, active: DataFrame, key: str) -> DataFrame:
     """Make sure the active model travels even when its setting row is missing.
 

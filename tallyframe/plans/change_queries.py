@@ -441,6 +441,30 @@ def _(led: GivenLedger) -> DataFrame:
         "id", "amount", "balance", "approved", "category", "account_id")
 
 
+@register("apply_snapshot_from", ledger_sql("""
+    SELECT 'device' AS what, space_id, 'host' AS row_id, 'CERT-host' AS detail FROM (SELECT id AS space_id FROM spaces)
+    UNION ALL SELECT 'device', space_id, device_id, cert_pem FROM trusted_devices
+    UNION ALL SELECT 'host', a.space_id, t.id, 'insert' FROM base_transactions t JOIN accounts a ON a.id = t.account_id
+      WHERE o_orderkey % 3 = 0
+    UNION ALL SELECT 'host', a.space_id, t.id, 'update' FROM base_transactions t JOIN accounts a ON a.id = t.account_id
+      WHERE o_orderkey % 3 <> 0"""))
+def _(led: GivenLedger) -> DataFrame:
+    """Devices after a host's snapshot, and the log rows it left: stamped with the host."""
+    tables = {**_all_tables(led), "trusted_devices": led.trusted_devices, "change_log": led.change_log}
+    stale = {**tables, "transactions": tables["transactions"].where(F.substring("id", 2, 20).cast("long") % 3 != 0).withColumn(
+        "approved", ~F.col("approved"))}
+    host = led.spaces.select(
+        F.concat(F.lit("host-"), "id").alias("id"), F.col("id").alias("space_id"), F.lit("host").alias("device_id"),
+        F.lit("Host").alias("display_name"), F.lit("CERT-host").alias("cert_pem"), F.lit(True).alias("sync_enabled"),
+        F.lit(AS_OF).alias("paired_at"))
+    out = replicate.apply_snapshot_from(stale, replicate.collect_snapshot(tables), host, "host", 0, AS_OF)
+    devices = out["trusted_devices"].select(
+        F.lit("device").alias("what"), "space_id", F.col("device_id").alias("row_id"), F.col("cert_pem").alias("detail"))
+    logged = out["change_log"].where("device_id = 'host' and table_name = 'transactions'").select(
+        F.col("device_id").alias("what"), "space_id", "row_id", F.col("operation").alias("detail"))
+    return devices.unionByName(logged)
+
+
 # ---- retention ----------------------------------------------------------------------
 _PASSES = f"""
 compacted AS (

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ingest
-from ..session import settle
+from ..session import scratch_dir, settle
 from ..sources.given import GivenLedger
-from ..sources.statements import csv_cells
+from ..sources.statements import csv_cells, read_statement_csv, read_statement_text
 from .catalog import register
 from .oracle import ledger_sql
 
@@ -104,13 +104,43 @@ def _(led: GivenLedger) -> DataFrame:
     return ingest.parse_ledger_rows(ingest.sheet_records(sheet_cells(led)))[1]
 
 
-@register("csv_records", None)
+@register("csv_records", """
+    SELECT CAST(doc_id AS VARCHAR) AS file, CAST(r AS BIGINT) AS row_idx, CASE WHEN r = 1 THEN 3 ELSE 2 END AS fields,
+           CASE WHEN r = 1 THEN md5(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) END AS body
+    FROM documents, range(1, 3) t(r)""")
 def _(led: GivenLedger) -> DataFrame:
-    """Every document read as a CSV file: its first line is the header."""
-    files = led.read("documents").select(
-        _t(F.col("doc_id")).alias("file"), F.encode("text", "utf-8").alias("content"))
+    """Every document as a CSV file of a header, a row with its quoted text, and a short row."""
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    content = F.concat(F.lit("id,text,rest\n1,"), quoted, F.lit(",x\n\n2,y\n"))
+    files = led.read("documents").select(_t(F.col("doc_id")).alias("file"), F.encode(content, "utf-8").alias("content"))
+    record = F.col("record")
     return ingest.csv_records(csv_cells(files)).select(
-        "file", "row_idx", F.size("record").alias("fields"))
+        "file", "row_idx", F.size("record").alias("fields"),
+        F.when(F.col("row_idx") == 1, F.md5(record["text"])).alias("body"))
+
+
+@register("read_statement_csv", """
+    SELECT CAST(o_orderkey AS VARCHAR) AS reference, o_orderpriority || ', "' || o_orderstatus || '"' AS text,
+           CAST(o_custkey AS VARCHAR) AS customer FROM orders""")
+def _(led: GivenLedger) -> DataFrame:
+    """Orders written as CSV files with quotes and commas, and read back as statements."""
+    path = scratch_dir(led.spark, "statements")
+    led.read("orders").select(
+        F.col("o_orderkey").alias("Reference"), F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"')).alias("Text"),
+        F.col("o_custkey").alias("Customer")).write.option("header", True).option("escape", '"').csv(path)
+    record = F.col("record")
+    return ingest.csv_records(read_statement_csv(led.spark, path)).select(
+        record["Reference"].alias("reference"), record["Text"].alias("text"), record["Customer"].alias("customer"))
+
+
+@register("read_statement_text", """
+    SELECT CAST(doc_id AS VARCHAR) AS file, md5(text || chr(10)) AS body FROM documents""")
+def _(led: GivenLedger) -> DataFrame:
+    """Every document written as a text file of its own, and read back whole."""
+    path = scratch_dir(led.spark, "texts")
+    led.read("documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    return read_statement_text(led.spark, path).select(
+        F.regexp_extract("file", "doc_id=([0-9]+)", 1).alias("file"), F.md5("text").alias("body"))
 
 
 _PORTFOLIO = """

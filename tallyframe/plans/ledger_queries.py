@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text, composite_key, key_head, key_tail, money_text, month_of
 from ..operators import aggregates, filters, joins, listing, search, sets
+from ..session import scratch_dir
 from ..sources.given import GivenLedger
 from .catalog import register
 from .oracle import ledger_sql
@@ -75,8 +76,21 @@ def _(led: GivenLedger) -> DataFrame:
     SELECT id, text, amount FROM docs
     WHERE contains(lower(text), 'ring/1') OR contains(amount_doc, 'ring/1')""", DOC))
 def _(led: GivenLedger) -> DataFrame:
-    rows = led.transactions(balance=False).select("id", "text", "amount")
-    return search.search_indexed(search.build_trigram_index(rows), rows, "Ring/1")
+    """Look-up in the stored index, which the first search of a session over these tables writes."""
+    return search.search_indexed(_stored_index(led), led.transactions(balance=False).select("id", "text", "amount"), "Ring/1")
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _stored_index(led: GivenLedger) -> DataFrame:
+    """The index over the transactions, built and written once for a session and folder."""
+    key = (led.spark.sparkContext.applicationId, led.folder)
+    if key not in _INDEXES:
+        path = scratch_dir(led.spark, "trigrams")
+        search.write_trigram_index(search.build_trigram_index(led.transactions(balance=False)), path)
+        _INDEXES[key] = path
+    return led.spark.read.parquet(_INDEXES[key])
 
 
 @register("trigram_index", ledger_sql("""
