@@ -138,7 +138,7 @@ class Model:
         self.landmarks = landmarks
         self.weights, self.bias, self.slope, self.shift = np.zeros(len(landmarks)), -1.0, 1.0, 0.0
         self.of = profiles.astype(np.float32)  # landmark by code, normalised
-        used = self.of.max(axis=0)
+        used = self.of.max(axis=0, initial=0)
         self.index = np.full(_CODES, -1, np.int32)
         codes = np.flatnonzero(used > 0)
         self.index[codes] = np.arange(len(codes))
