@@ -26,10 +26,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-WORDS = r"regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '[^ ]+')"
-
-
-@register("op1_ngram_jaccard_join")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@register("op1_ngram_jaccard_join", rf"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    sh AS (
+      SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + 3], ' ')) AS s
+      FROM w, UNNEST(range(1, greatest(len(ws) - 2, 2))) t(i) WHERE len(ws) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    sized AS (SELECT a, b, c, x.n AS na, y.n AS nb FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b),
+    links AS (SELECT a, b FROM sized WHERE 100 * c >= 85 * (na + nb - c)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+    SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id,
+           least(d.doc_id, min(e.b)) AS class_id
+    FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    LEFT JOIN (SELECT a, b FROM sized WHERE c = na AND c = nb) e ON e.a = d.doc_id GROUP BY d.doc_id""")
 def _(spark, folder):
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85."""
     from .ngram_join import ngram_components
@@ -37,7 +51,19 @@ def _(spark, folder):
         "doc_id", "n_shingles", "component_id", "class_id")
 
 
-@register("op9_suffix_array_dedup")
+@register("op9_suffix_array_dedup", """
+    WITH h AS (SELECT doc_id, encode(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+    win AS (SELECT doc_id, i, x[i + 1:i + 50] AS s FROM h, UNNEST(range(0, n - 49)) t(i) WHERE n >= 50),
+    firsts AS (SELECT s, min(doc_id) AS m FROM win GROUP BY 1),
+    hit AS (SELECT doc_id, i FROM win JOIN firsts USING (s) WHERE doc_id > m),
+    grouped AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+      SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM hit)),
+    span AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM grouped GROUP BY doc_id, g),
+    cut AS (SELECT doc_id, s AS pos, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS b, e - s AS gone FROM span
+      UNION ALL SELECT h.doc_id, n, coalesce(max(e), 0), n, 0 FROM h LEFT JOIN span USING (doc_id) GROUP BY h.doc_id, n)
+    SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
+           sha256(unhex(string_agg(hex(x[a + 1:b]), '' ORDER BY pos, gone DESC))) AS kept_sha256
+    FROM cut JOIN h USING (doc_id) GROUP BY doc_id""")
 def _(spark, folder):
     """Documents without the 50-byte strings that start in earlier documents."""
     from .suffix_dedup import remove_repeats
@@ -51,7 +77,22 @@ def _(spark, folder):
     return shard_documents(table(spark, folder, "documents"), 16)
 
 
-@register("op6_redirect_filter")
+def _sql_rule(path: str, what: int) -> str:
+    """The rule (0) or verdict (1) of a host and a path; the longest come first."""
+    rules = (("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("net", "/", "block"))
+    return "CASE " + " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with({path}, '{p}') THEN '{(h + p, v)[what]}'" for h, p, v in rules) + " END"
+
+
+# The given pages have no canonical or refreshing links: an alias differs from a url in fragment
+# and scheme, and in an empty path that stands for the root.
+@register("op6_redirect_filter", rf"""
+    WITH p AS (
+      SELECT page_id, contains(url, '://') AS known,
+             coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
+             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+    SELECT page_id, host, path, {_sql_rule('path', 0)} AS rule,
+           coalesce({_sql_rule('path', 1)}, CASE WHEN known AND path = '' THEN {_sql_rule("'/'", 1)} END, 'allow') AS verdict FROM p""")
 def _(spark, folder):
     """The rule and verdict of every page's url."""
     from .url_filter import judge_pages
@@ -66,7 +107,22 @@ def _(spark, folder):
     return plan.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-@register("op8_benchmark_decontamination")
+_CAPITALS = "".join(map(chr, range(0xC0, 0xDF)))
+_SMALL = "".join(chr(ord(c) + 32) for c in _CAPITALS)
+_LETTERS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}{_CAPITALS}', '{_LOWER}{_SMALL}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+
+@register("op8_benchmark_decontamination", f"""
+    WITH d AS (SELECT doc_id, len(ws) AS n, UNNEST(ws) AS w, UNNEST(range(len(ws))) AS p FROM (SELECT doc_id, {_LETTERS} AS ws FROM documents)),
+    b AS (SELECT item_id, len(ws) AS m, least(len(ws), 20) AS need, UNNEST(ws) AS w, UNNEST(range(len(ws))) AS j
+          FROM (SELECT item_id, {_LETTERS} AS ws FROM benchmark) WHERE len(ws) >= 5),
+    same AS (SELECT doc_id, item_id, p - j AS shift, j, n, m, need FROM d JOIN b ON d.w = b.w
+             QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, p - j) * 100 >= 80 * need),
+    windows AS (SELECT doc_id, item_id, shift, need, s, count(*) AS n_equal FROM same, UNNEST(range(j - need + 1, j + 1)) t(s)
+                WHERE s >= 0 AND s + need <= m AND shift + s >= 0 AND shift + s + need <= n GROUP BY ALL)
+    SELECT doc_id, item_id, CAST(shift + s AS BIGINT) AS at_word, CAST(need AS BIGINT) AS n_words, n_equal FROM windows
+    WHERE 100 * n_equal >= 80 * need
+    QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, shift + s) = 1""")
 def _(spark, folder):
     """Documents that hold passages of benchmark items, replaced words tolerated."""
     from .decontaminate import leaks
