@@ -58,15 +58,15 @@ def _pack(batches):
                 seq += 1
 
 
-def pack(documents: DataFrame) -> DataFrame:
-    """Write (doc_id, text) as a chunk table and return it."""
-    spark, name = documents.sparkSession, f"chunks_{uuid.uuid4().hex}"
+def pack(documents: DataFrame) -> str:
+    """Write (doc_id, text) as a chunk table; returns its name. `drop` removes it."""
+    name = f"chunks_{uuid.uuid4().hex}"
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = slim.mapInArrow(_pack, SCHEMA)
     buckets = max(1, slim.rdd.getNumPartitions())
     # the data column is compressed already
-    packed.write.option("compression", "uncompressed").bucketBy(buckets, "part").sortBy("part").saveAsTable(name)
-    return spark.table(name)
+    (slim.mapInArrow(_pack, SCHEMA).write.option("compression", "uncompressed")
+     .bucketBy(buckets, "part").sortBy("part").saveAsTable(name))
+    return name
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,9 +109,6 @@ def join_chunks(chunks: DataFrame, found: DataFrame, how: str = "left") -> DataF
     return chunks.join(right, on, how).drop("__part", "__seq")
 
 
-def drop(spark: SparkSession, chunks: DataFrame) -> None:
-    """Remove a chunk table made by `pack`, once nothing lazy reads it any more."""
-    for path in chunks.inputFiles()[:1]:
-        name = next((x for x in path.split("/") if x.startswith("chunks_")), None)
-        if name:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
+def drop(spark: SparkSession, name: str) -> None:
+    """Remove a chunk table, once nothing lazy reads it any more."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -291,7 +291,8 @@ def ngram_components(documents: DataFrame, size: int = 5, threshold: float = 0.8
     set. A row without doc_id takes part and gets its component's least id, null if none has
     one. Repeated rows and ids are rows of their own. An empty table gives an empty result.
     """
-    packed = ch.pack(documents)
+    spark, name = documents.sparkSession, ch.pack(documents)
+    packed = spark.table(name)
     bits = ch.bucket_bits(packed)
     counted = packed.mapInArrow(_counts(size, bits), "part long, seq long, bucket long, grams binary, counts binary")
     levels = counted.groupBy("bucket").applyInArrow(_classes, "part long, seq long, bucket long, levels binary")
@@ -327,7 +328,7 @@ def ngram_components(documents: DataFrame, size: int = 5, threshold: float = 0.8
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")), "ngram-join")
-    ch.drop(documents.sparkSession, packed)
+    ch.drop(spark, name)
     return out
 
 

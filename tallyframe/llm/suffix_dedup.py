@@ -366,7 +366,8 @@ def remove_repeats(documents: DataFrame, length: int = 50, with_text: bool = Fal
     other. A missing doc_id is greater than all others, and such rows remove nothing. An empty
     table gives an empty result. length: over ANCHOR + 2.
     """
-    packed = ch.pack(documents)
+    spark, name = documents.sparkSession, ch.pack(documents)
+    packed = spark.table(name)
     bits = ch.bucket_bits(packed, 2 << 20)
     shas = settle(packed.select("part", "seq", "doc_ids", "sizes", "data").mapInArrow(_digests, _SHA).where(F.col("n") >= length), "digests")
     key = F.coalesce("doc_id", F.lit(int(_LAST_ID)))
@@ -389,5 +390,5 @@ def remove_repeats(documents: DataFrame, length: int = 50, with_text: bool = Fal
     schema = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
               "spans array<struct<start: long, end: long>>" + ", kept binary" * with_text)
     out = settle(ch.join_chunks(packed, known).mapInArrow(_cut(length, bits, with_text), schema), "suffix-dedup")
-    ch.drop(documents.sparkSession, packed)
+    ch.drop(spark, name)
     return out
