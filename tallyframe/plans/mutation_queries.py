@@ -92,8 +92,8 @@ requests AS (
   SELECT 's' || (o_orderkey % 5) AS space_id, 't' || o_orderkey AS id, o_orderkey % 2 = 0 AS approved,
          CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'Leisure' END AS new_category
   FROM orders WHERE o_orderkey % 3 = 0),
-owned AS (
-  SELECT r.* FROM requests r JOIN transactions t ON t.id = r.id
+owned AS MATERIALIZED (
+  SELECT r.* FROM requests r JOIN base_transactions t ON t.id = r.id
   JOIN accounts a ON a.id = t.account_id AND a.space_id = r.space_id)"""
 
 
@@ -107,7 +107,7 @@ def _requests(led: GivenLedger) -> DataFrame:
 
 @register("bulk_approve", ledger_sql("""
     SELECT t.id, t.amount, coalesce(o.approved, t.approved) AS approved, t.note, t.category, t.account_id
-    FROM transactions t LEFT JOIN owned o ON o.id = t.id""", _REQUESTS))
+    FROM base_transactions t LEFT JOIN owned o ON o.id = t.id""", _REQUESTS))
 def _(led: GivenLedger) -> DataFrame:
     return mutate.bulk_approve(_slim(led), led.accounts, _requests(led).select("space_id", "id", "approved"))
 
@@ -115,7 +115,7 @@ def _(led: GivenLedger) -> DataFrame:
 @register("bulk_categorize", ledger_sql("""
     SELECT t.id, t.amount, t.approved, t.note,
            CASE WHEN o.id IS NULL THEN t.category ELSE o.new_category END AS category, t.account_id
-    FROM transactions t LEFT JOIN owned o ON o.id = t.id""", _REQUESTS))
+    FROM base_transactions t LEFT JOIN owned o ON o.id = t.id""", _REQUESTS))
 def _(led: GivenLedger) -> DataFrame:
     return mutate.bulk_categorize(
         _slim(led), led.accounts, _requests(led).select("space_id", "id", "category"))

@@ -185,10 +185,15 @@ def _(led: GivenLedger) -> DataFrame:
     return _epochs(imports.mutation_bursts(_mutations(led.read("events")), "at", "event_id", 120))
 
 
-@register("stream_bursts")
+@register("stream_bursts", ledger_sql(_BURST_ROWS, _BURSTS))
 def _(led: GivenLedger) -> DataFrame:
-    """Closed sessions only: those the watermark has not passed at the end stay open."""
+    """Sessions of a live stream that ends with a mutation two days later, which closes all before it."""
     root = scratch_dir(led.spark, "bursts")
-    stream = _mutations(deliveries(led, led.read("events"), "event_id"))
+    events = led.read("events")
+    newest = events.agg(F.max("ts").alias("_ts"), F.max("event_id").alias("_id"))  # one row
+    last = newest.crossJoin(events.where("event_id = 0")).select(*[
+        (F.col("_ts").cast("timestamp") + F.expr("INTERVAL 2 DAYS")).cast(f.dataType).alias("ts") if f.name == "ts"
+        else (F.col("_id") + 1).cast(f.dataType).alias("event_id") if f.name == "event_id" else F.col(f.name) for f in events.schema])
+    stream = _mutations(deliveries(led, events.unionByName(last), "event_id"))
     sinks.append_stream(imports.stream_bursts(stream, "at", 120), root).awaitTermination()
     return _epochs(led.spark.read.parquet(f"{root}/rows"))
