@@ -283,7 +283,8 @@ def _(led: GivenLedger) -> DataFrame:
 
 
 @register("delete_versions_settings", ledger_sql("""
-    SELECT * FROM space_settings WHERE NOT (key = 'active_model_version' AND space_id <> 's4')"""))
+    SELECT * FROM space_settings WHERE NOT (key = 'active_model_version' AND space_id <> 's4'
+      AND space_id IN (SELECT space_id FROM model_versions WHERE version = 3))"""))
 def _(led: GivenLedger) -> DataFrame:
     doomed = led.model_versions.where("version % 3 = 0").select("space_id", "version")
     return registry.delete_versions(led.model_versions, led.space_settings, doomed)[1]
