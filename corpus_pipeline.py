@@ -46,8 +46,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and their slot in it."""
-    return with_shards(docs, SHARDS, shuffled=True)
+    """The documents with their shard and their slot in it, in the order of the mix."""
+    return with_shards(docs, SHARDS, kept=True)
 
 
 STAGES = [("toxicity", toxicity), ("ngram-join", deduplicate), ("decontamination", decontaminate), ("mix", mix), ("shards", shard)]

@@ -8,6 +8,7 @@ document belongs to the shard in whose share of all bytes its middle byte falls.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,12 +69,31 @@ def shard_documents(documents: DataFrame, shards: int = 16) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def with_shards(documents: DataFrame, shards: int = 16, shuffled: bool = False) -> DataFrame:
+def _file_rows(documents: DataFrame) -> Column | None:
+    """File and row number of every row, or None where the rows don't come from Parquet files."""
+    spot = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        documents.select(spot).schema
+    except AnalysisException:
+        return None
+    return spot
+
+
+def with_shards(documents: DataFrame, shards: int = 16, shuffled: bool = False, kept: bool = False) -> DataFrame:
     """The documents with columns shard and slot; each of equal rows gets a slot of its own.
 
     Shards are contiguous in doc_id, or in a random order that a hash fixes: then the repeats of
-    a document in a mix are apart from each other.
+    a document in a mix are apart from each other. With `kept` they are contiguous in the order
+    of the Parquet files that the documents are read from, which is the order of a mix; rows
+    that come from elsewhere have none, and get the random order.
     """
+    spot = _file_rows(documents) if kept else None
+    if spot is not None:
+        slim = documents.select(spot.alias("__at"), text_size().alias("size"))
+        placed = _deal(slim, [F.col("__at")], shards).drop("size")
+        own = [documents[c] for c in documents.columns if c not in ("shard", "slot")]
+        return documents.select(*own, spot.alias("__at")).join(placed, "__at").drop("__at")
+    shuffled = shuffled or kept
     nth = F.row_number().over(Window.partitionBy("__same").orderBy("__same")).alias("__nth")
     same = F.struct(*_slim(documents)).alias("__same")
     slim = documents.select(same).select("__same", F.col("__same.size").alias("size"), nth)

@@ -172,3 +172,37 @@ def test_tree_keeps_quotas_and_fills_shards(spark):
     assert Counter(r.shard for r in out) == {s: mixing.BLOCKS_PER_SHARD for s in range(5)}
     assert Counter(r.source for r in out) == {r.source: r.quota for r in quotas.collect()}
     assert all(sorted(r.turn for r in out if r.source == s) == list(range(n)) for s, n in ((None, 7), ("a", 200)))
+
+
+def test_documents_are_taken_as_often_as_the_tree_deals_their_blocks(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 50), "big" if i % 4 else f"s{i % 7}") for i in range(600)] + [(900, "x", "tiny"), (901, "", "none")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan, draws = mixture(frame, 4)
+    shards = Counter(r.shard for r in draws.collect())
+    assert set(shards) == {0, 1, 2, 3} and min(shards.values()) > 100
+    # the least source has a block of its own, not just the last shard's
+    assert next(r.times for r in plan.collect() if r.doc_id == 900) in (1, 2)
+    # without the blocks of a shard its documents are not taken
+    tree = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda *a: tree(*a).where("shard <> 3"))
+    fewer, rest = mixture(frame, 4)
+    assert Counter(r.shard for r in rest.collect()) == Counter({s: n for s, n in shards.items() if s != 3})
+    assert sum(r.times for r in fewer.collect()) == sum(shards.values()) - shards[3]
+
+
+def test_blocks_grow_with_the_corpus_and_every_source_has_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 1000)
+    sizes = spark.createDataFrame([("a", 10**6), ("b", 10**4), ("c", 1), ("d", 0)], "source string, source_size long")
+    quota = {r.source: r.quota for r in mixing._quotas(mixing.source_targets(sizes), 4, 1.5).collect()}
+    assert quota["a"] > 1000 and quota["c"] == quota["d"] == 1
+    out = Counter(r.shard for r in mixing.splitting_tree(spark.createDataFrame(list(quota.items()), "source string, quota long"), 4, 7).collect())
+    assert max(out.values()) - min(out.values()) <= 1
+
+
+def test_shards_keep_the_order_of_the_mix(spark, tmp_path):
+    rows = [(i, f"t{i} " * (1 + i % 9), ["a", "b"][i % 2]) for i in range(300)]
+    mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), 4).write.parquet(str(tmp_path / "mix"))
+    files = sorted(str(p) for p in (tmp_path / "mix").glob("*.parquet"))
+    order = [r.doc_id for f in files for r in spark.read.parquet(f).collect()]
+    out = with_shards(spark.read.parquet(str(tmp_path / "mix")), 4, kept=True).collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: (r.shard, r.slot))] == order != sorted(order)
