@@ -13,9 +13,11 @@
    shared by all sets below a node, and leaves a subtree once even the remaining n-grams on
    both sides could not reach the overlap that is needed. Overlaps are exact.
 
-Sets that are already known to be in one component aren't compared with each other again, so a
-large group of near copies costs about one walk each and yields one link each. A block of more
-than BLOCK_NGRAMS is cut into pieces and every pair of pieces is joined in a task of its own.
+Every set walks once, for the partners behind it in the tree's order, so that every link is found
+and counted once. What leaves a task is not the links but a row for each set: the first set that
+links reach within the task, and the number of its partners, each as often as its class has
+members. A block of more than BLOCK_NGRAMS is cut into pieces and every pair of pieces is joined
+in a task of its own; a pair within one piece counts in the task of that piece with itself only.
 """
 
 from __future__ import annotations
@@ -135,18 +137,18 @@ def prefix_size(n, threshold: float):
 def _members(size: int):
     """The ordered sets of the documents that are in a block."""
     def run(batches):
-        schema = pa.schema([("task", pa.int64()), ("uid", pa.int64()), ("keys", pa.list_(pa.int64()))])
+        schema = pa.schema([("task", pa.int64()), ("uid", pa.int64()), ("copies", pa.int64()), ("side", pa.int64()),
+                            ("keys", pa.list_(pa.int64()))])
         for row in ch.rows_of(batches):
             _, key, doc, uids = _ordered(row, size)
             begin = np.searchsorted(doc, np.arange(len(uids) + 1))
-            out = {"task": [], "uid": [], "keys": []}
+            out = {name: [] for name in schema.names}
             for x in row["wanted"]:
                 i = x["uid"] & 0xFFFF
-                out["task"].append(x["task"])
-                out["uid"].append(x["uid"])
+                for name in ("task", "uid", "copies", "side"):
+                    out[name].append(x[name])
                 out["keys"].append(key[begin[i]: begin[i + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(out["task"], pa.int64()), pa.array(out["uid"], pa.int64()),
-                                              pa.array(out["keys"], pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
     return run
 
 
@@ -255,7 +257,7 @@ def _sums(values: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarra
 
 
 def _join_block(threshold: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         uids = table["uid"].to_numpy()
@@ -264,31 +266,37 @@ def _join_block(threshold: float):
         values = keys.values.to_numpy().view(np.uint64).astype(">u8")  # sorts as bytes
         sets = [values[off[i]: off[i + 1]] for i in range(len(uids))]
         tree = PrefixTree(sets)
-        native = [s.astype(np.uint64) for s in tree.sets]
-        names, still, links = uids[tree.order], np.ones(len(uids), bool), []
-        for seed in range(len(uids)):
-            if not still[seed]:
-                continue
-            still[seed], queue = False, [seed]
-            while queue and still.any():
-                x = queue.pop()
-                near = tree.partners(native[x], still, threshold)
-                still[near] = False
-                queue.extend(near.tolist())
-                links.extend((names[x], names[y]) for y in near)
-        return pa.table({"a": [a for a, _ in links], "b": [b for _, b in links]}, schema=schema)
+        copies, side = table["copies"].to_numpy()[tree.order], table["side"].to_numpy()[tree.order]
+        names, first, n_links = uids[tree.order], np.arange(len(uids)), np.zeros(len(uids), np.int64)
+        # side 0 and 1: of two pieces, only sets of different ones are compared; 2: one piece with itself
+        still = side != 0
+        for x in np.flatnonzero(side != 1):
+            if side[x] == 2:
+                still[x] = False  # from now on open for none: pairs with the sets before are counted
+            if not still.any():
+                break
+            near = tree.partners(tree.sets[x].astype(np.uint64), still, threshold)
+            if len(near):
+                n_links[x] += copies[near].sum()
+                n_links[near] += copies[x]
+                met = np.unique(first[np.append(near, x)])
+                if len(met) > 1:
+                    first[np.isin(first, met)] = met[0]
+        linked = np.flatnonzero(n_links)
+        return pa.table({"a": names[linked], "b": names[first[linked]], "n": n_links[linked]}, schema=schema)
     return run
 
 
 def ngram_components(documents: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) of every row of `documents`.
+    """(doc_id, n_shingles, component_id, class_id, n_links) of every row of `documents`.
 
     documents: doc_id, text; other columns are ignored. A document's set is its distinct
     n-grams of `size` words (A-Z lower-cased); one with fewer words has its whole sequence as
     one; null and empty texts have none, link with nothing and are components of their own.
     Rows link when their Jaccard similarity is at least `threshold` (whole hundredths).
     component_id is the least doc_id that links reach, class_id the least doc_id with the same
-    set. A row without doc_id takes part and gets its component's least id, null if none has
+    set, n_links the number of other rows that the row links with, equal sets included. A row
+    without doc_id takes part and gets its component's least id, null if none has
     one. Repeated rows and ids are rows of their own. An empty table gives an empty result.
     """
     spark, name = documents.sparkSession, ch.pack(documents)
@@ -302,32 +310,38 @@ def ngram_components(documents: DataFrame, size: int = 5, threshold: float = 0.8
         _prefixes(size, threshold), "uid long, doc_id long, n long, fp1 long, fp2 long, prefix array<long>"), "sets")
     sets = shown.select("uid", "doc_id", "n", F.when(F.col("n") > 0, F.struct("fp1", "fp2", "n")).alias("fp"))
     classes = (shown.where("n > 0").groupBy(F.struct("fp1", "fp2", "n").alias("fp"))
-               .agg(F.min("uid").alias("rep"), F.min("doc_id").alias("class_id"), F.min_by("prefix", "uid").alias("prefix")))
+               .agg(F.min("uid").alias("rep"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"),
+                    F.min_by("prefix", "uid").alias("prefix")))
     classes = settle(classes, "classes")
     shows = classes.select("rep", F.col("fp.n").alias("n"), F.explode("prefix").alias("gram"))
     hubs = shows.groupBy("gram").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
     stars = shows.join(hubs, "gram").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     blocks = components(stars, "blocks").withColumnsRenamed({"node": "rep", "root": "block"})
-    blocks = settle(blocks.join(classes.select("rep", F.col("fp.n").alias("n")), "rep"), "blocks")
+    blocks = settle(blocks.join(classes.select("rep", "copies", F.col("fp.n").alias("n")), "rep"), "blocks")
     pieces = blocks.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_NGRAMS).alias("k"))
     cut = blocks.join(pieces, "block").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")))
-    pairs = cut.select("rep", "block", F.explode(F.expr(
+    pairs = cut.select("rep", "copies", "block", "own", F.explode(F.expr(
         "transform(sequence(0L, k - 1), j -> struct(least(own, j) AS i, greatest(own, j) AS j))")).alias("pair"))
     wanted = (pairs.select(F.shiftright("rep", 40).alias("part"), F.expr("shiftright(rep, 16) & 16777215L").alias("seq"),
-                           F.struct(F.col("rep").alias("uid"), F.xxhash64("block", "pair.i", "pair.j").alias("task")).alias("x"))
+                           F.struct(F.col("rep").alias("uid"), F.xxhash64("block", "pair.i", "pair.j").alias("task"), "copies",
+                                    F.expr("CASE WHEN pair.i = pair.j THEN 2L WHEN own = pair.i THEN 0L ELSE 1L END").alias("side")).alias("x"))
               .groupBy("part", "seq").agg(F.collect_list("x").alias("wanted")))
     asked = settle(wanted.join(found, ["part", "seq"]), "asked")
-    members = ch.join_chunks(packed, asked, "inner").mapInArrow(_members(size), "task long, uid long, keys array<long>")
-    links = members.groupBy("task").applyInArrow(_join_block(threshold), "a long, b long")
+    members = ch.join_chunks(packed, asked, "inner").mapInArrow(_members(size), "task long, uid long, copies long, side long, keys array<long>")
+    links = settle(members.groupBy("task").applyInArrow(_join_block(threshold), "a long, b long, n long"), "links")
     reached = components(links, "reached")
-    named = classes.join(reached, classes["rep"] == reached["node"], "left").select(
-        "fp", "class_id", F.coalesce("root", "rep").alias("root"))
+    degrees = links.groupBy("a").agg(F.sum("n").alias("n_partners"))
+    named = classes.join(reached, classes["rep"] == reached["node"], "left").join(
+        degrees, classes["rep"] == degrees["a"], "left").select(
+        "fp", "class_id", F.coalesce("root", "rep").alias("root"),
+        (F.coalesce("n_partners", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    labelled = named.join(least, "root").select("fp", "class_id", "component_id")
+    labelled = named.join(least, "root").select("fp", "class_id", "component_id", "n_links")
     out = settle(sets.join(labelled, "fp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")), "ngram-join")
+        F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "ngram-join")
     ch.drop(spark, name)
     return out
 

@@ -51,6 +51,15 @@ def _(spark, folder):
         "doc_id", "n_shingles", "component_id", "class_id")
 
 
+@register("op1_ngram_jaccard_links", ORACLES["op1_ngram_jaccard_join"].replace(
+    " AS class_id\n", " AS class_id,\n           coalesce(any_value(k.n_links), 0) AS n_links\n").replace(
+    "e ON e.a = d.doc_id GROUP BY", "e ON e.a = d.doc_id\n    LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) k ON k.a = d.doc_id GROUP BY"))
+def _(spark, folder):
+    """The same components, with every document's number of links."""
+    from .ngram_join import ngram_components
+    return ngram_components(table(spark, folder, "documents"), size=4, threshold=0.85)
+
+
 @register("op9_suffix_array_dedup", """
     WITH h AS (SELECT doc_id, encode(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n FROM documents),
     win AS (SELECT doc_id, i, x[i + 1:i + 50] AS s FROM h, UNNEST(range(0, n - 49)) t(i) WHERE n >= 50),

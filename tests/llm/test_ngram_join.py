@@ -110,3 +110,32 @@ def test_tree_finds_exactly_the_similar_sets():
         near = {int(tree.order[j]) for j in tree.partners(probe, np.ones(len(sets), bool), 0.85)}
         want = {j for j, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= 85 * len(np.union1d(s, probe))}
         assert near == want, i
+
+
+def degrees(rows, size, top):
+    sets = [grams(t, size) for _, t in rows]
+    return sorted((d, sum(1 for j, s in enumerate(sets) if j != i and s and 100 * len(s & sets[i]) >= top * len(s | sets[i])))
+                  for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 700])
+def test_every_link_is_counted_once(spark, docs, monkeypatch, limit):
+    monkeypatch.setattr(ngram_join, "BLOCK_NGRAMS", limit)
+    rng = random.Random(6)
+    bases = [" ".join(f"w{rng.randrange(400)}" for _ in range(n)) for n in (60, 120)]
+    rows = [(i, edited(rng, bases[i % 2], rng.randrange(3))) for i in range(50)]  # each links with many
+    rows += [(100 + i, bases[0]) for i in range(10)] + [(200, None), (201, ""), (202, "alone in the corpus here")]
+    out = ngram_components(docs(*rows), 4, 0.85).collect()
+    assert sorted((r.doc_id, r.n_links) for r in out) == degrees(rows, 4, 85)
+    assert max(r.n_links for r in out) > 15
+
+
+def test_links_as_the_comparison_sql(spark):
+    import compare
+    from tallyframe.llm.queries import ORACLES, QUERIES
+    folder, name = "/root/testdata/sf0.001", "op1_ngram_jaccard_links"
+    cursor = compare.connect(folder).execute(ORACLES[name])
+    columns = [c[0] for c in cursor.description]
+    assert "n_links" in columns
+    want = sorted(cursor.fetchall())
+    assert sorted(map(tuple, QUERIES[name](spark, folder).select(*columns).collect())) == want
