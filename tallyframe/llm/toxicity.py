@@ -105,15 +105,14 @@ def units(buf: np.ndarray, off: np.ndarray):
     sentence = np.cumsum(stop)
     parts = [(h, start, end, doc, sentence)]
     short = (end - start) <= 2
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], (short).view(np.int8), [0]))))
-    first, last = edge[::2], edge[1::2] - 1
     # a run of short words stays within its sentence
-    runs = [(a, b) for a, b in zip(first, last) if b - a >= 2]
-    if runs:
-        ra, rb = np.array(runs).T
-        keep = sentence[ra] == sentence[rb]
-        ra, rb = ra[keep], rb[keep]
-        key = np.array([hash(buf[start[a]: end[b]].tobytes()) for a, b in zip(ra, rb)], np.int64).view(np.uint64) if len(ra) else h[:0]
+    begins, ends = short.copy(), short.copy()
+    begins[1:] &= ~short[:-1] | stop[1:]
+    ends[:-1] &= ~short[1:] | stop[1:]
+    ra, rb = np.flatnonzero(begins), np.flatnonzero(ends)
+    ra, rb = ra[rb - ra >= 2], rb[rb - ra >= 2]
+    if len(ra):
+        key = np.array([hash(buf[start[a]: end[b]].tobytes()) for a, b in zip(ra, rb)], np.int64).view(np.uint64)
         parts.append((mix(key), start[ra], end[rb], doc[ra], sentence[ra]))
     h, start, end, doc, sentence = (np.concatenate(x) for x in zip(*parts))
     wide = np.flatnonzero(end - start > _UNIT_BYTES)

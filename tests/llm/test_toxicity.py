@@ -97,3 +97,16 @@ def test_edges(spark, corpus, docs):
     assert toxicity(docs(), labels).collect() == []
     nothing = toxicity(docs((1, INSULTS[0])), labels.limit(0)).collect()
     assert nothing[0].predicted == 0
+
+
+def test_spaced_insults_between_short_words_of_neighbours():
+    model = Model([b"idiot"], _dense([b"idiot"]))
+    model.weights += 1.0
+    spaced = "i d i o t"
+    alone = model.margins(pa.array([spaced]))[0][0]
+    assert alone > model.bias
+    for before in ("", "it is so", "plain words"):
+        for after in ("", "I am", "plain words"):
+            assert model.margins(pa.array([before, spaced, after]))[0][1] == alone, (before, after)
+    for text in ("y o u i d i o t! I am here", "so it is\ni d i o t", "is it so? i d i o t\nI am"):
+        assert model.margins(pa.array([text]))[0][0] > model.bias, text
