@@ -2,7 +2,8 @@
 
 A seed is a fixed mask over word positions: the words under its ones are hashed, the others are
 ignored, so that a replaced word only breaks the seeds that look at it. The masks below hit
-every window of WINDOW words of which at most MISSES are replaced. Seeds of the benchmark and
+every window of WINDOW words of which at most MISSES are replaced, and every shorter item of
+which at most a fifth is. Seeds of the benchmark and
 of the documents are joined on their hashes; each hit aligns an item with a document, and the
 words around it are compared: an overlap is a window (the whole item, if it is shorter) in
 which at least 80 % of the words agree.
@@ -23,16 +24,22 @@ from ..session import settle
 from .text_arrays import flat, mix, powers, slices, words
 
 WINDOW, MISSES = 20, 4
-#: Lossless for WINDOW and MISSES; the last finds exact runs of five words in shorter items.
+#: Lossless for WINDOW and MISSES, and for items of 8, 9, 12 to 14 and 16 to 19 words with a fifth of them replaced.
 MASKS = ((0, 1, 7, 8, 9, 10), (0, 1, 2, 4, 5, 6), (0, 1, 2, 3, 4, 6), (0, 1, 2, 3, 4))
+#: Further masks, each for items of just these lengths, which make those lossless too.
+SHORT_MASKS = {(0, 1, 2, 3): (5, 6, 7, 10, 11, 15), (0, 2, 3, 4): (5, 10), (0, 1, 3, 4): (5, 6), (0, 1, 2, 4): (5,)}
+ALL_MASKS = (*MASKS, *SHORT_MASKS)
 LEAST_WORDS = 5
 BITMAP_BITS = 24
 _BLOCK_BITS = 18
 _SEEDS = "array<struct<hash: long, at: int>>"
 
 
-def seeds(h: np.ndarray, doc: np.ndarray, masks=MASKS) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first word of every seed; none reaches over the end of its document."""
+def seeds(h: np.ndarray, doc: np.ndarray, masks=ALL_MASKS, length: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word of every seed; none reaches over the end of its document.
+
+    With the length of each document, SHORT_MASKS make seeds only where they are for that length.
+    """
     step, out, at = powers(np.uint64(0xA24BAED4963EE407), max(map(max, masks)) + 1), [], []
     for number, mask in enumerate(masks):
         n = max(len(h) - mask[-1], 0)
@@ -40,6 +47,8 @@ def seeds(h: np.ndarray, doc: np.ndarray, masks=MASKS) -> tuple[np.ndarray, np.n
         for j in mask if n else ():
             total += h[j: j + n] * step[j]
         whole = np.flatnonzero(doc[:n] == doc[mask[-1]: mask[-1] + n])
+        if length is not None and mask in SHORT_MASKS:
+            whole = whole[np.isin(length[doc[whole]], SHORT_MASKS[mask])]
         out.append(mix(total[whole]))
         at.append(whole)
     return np.concatenate(out), np.concatenate(at)
@@ -58,8 +67,8 @@ def _item_words(batches):
     for batch in batches:
         buf, off = flat(batch.column("text"))
         h, _, _, doc = words(buf, off, letters=True)
-        s, at = seeds(h, doc)
         begin = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+        s, at = seeds(h, doc, length=np.diff(begin))
         owner = doc[at] if len(at) else at
         order = np.argsort(owner, kind="stable")
         yield pa.RecordBatch.from_arrays(
@@ -90,7 +99,7 @@ def _stretches(bitmap):
     """Stretches of a document's words around seeds that the bitmap has."""
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.list_(pa.int64())),
                         ("seeds", pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32())])))])
-    reach = WINDOW + max(map(max, MASKS))
+    reach = WINDOW + max(map(max, ALL_MASKS))
 
     def run(batches):
         bits = np.frombuffer(bitmap.value, np.uint8)
@@ -153,8 +162,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, share: float = 0.8) -> Dat
 
     documents: doc_id, text; benchmark: item_id, text; other columns are ignored. Words are runs
     of letters and digits, in lower case; texts that differ in marks and spaces only are equal.
-    Items of under LEAST_WORDS words are not looked for. Items of under WINDOW words are found
-    where a mask fits a run without replaced words. Null texts are empty. Rows with equal or
+    Items of under LEAST_WORDS words are not looked for. Items of under WINDOW words are
+    compared whole; with a share of 0.8 or more none is lost, whatever its length. Null texts are empty. Rows with equal or
     missing ids are told apart while they are compared; the result has a row for each. Equal
     items each give a row. Empty tables give no rows.
     """

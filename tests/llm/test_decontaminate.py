@@ -84,3 +84,19 @@ def test_edges(spark, docs):
     assert sorted(r.doc_id for r in without_leaks(docs(*rows), bench).collect()) == [1, 2, 4]
     assert leaks(docs(), bench).collect() == [] and leaks(docs(*rows), bench.limit(0)).collect() == []
     assert without_leaks(docs(*rows), bench.limit(0)).count() == len(rows)
+
+
+def test_replaced_words_at_every_length(spark, docs):
+    items = [(m, " ".join(f"q{m}x{j}" for j in range(m))) for m in range(LEAST_WORDS, WINDOW)]
+    rows, want = [], set()
+    for m, text in items:
+        gone = list(itertools.combinations(range(m), m // 5))
+        # the patterns that the masks for long windows miss, and some others
+        missed = [g for g in gone if not any(not any(o + j in g for j in k) for k in MASKS for o in range(m - k[-1]))]
+        for g in missed + gone[:: len(gone) // 5]:
+            part = ["other" if j in g else w for j, w in enumerate(text.split())]
+            rows.append((len(rows), " ".join(["before it", *part, "behind it"])))
+            want.add((len(rows) - 1, m, m - m // 5))
+        rows.append((len(rows), " ".join(["other"] * (m // 5 + 1) + text.split()[m // 5 + 1:])))  # one too many
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_equal) for r in leaks(docs(*rows), bench).collect()} == want
