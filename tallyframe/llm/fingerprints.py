@@ -53,9 +53,9 @@ def paragraphs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lanes (uint16), strong entries and counts (uint64) of every text."""
+    """Lanes (int64, not yet reduced), strong entries and counts (uint64) of every text."""
     h, doc = paragraphs(texts)
-    lanes, strong = np.zeros((len(texts), LANES), np.uint16), np.zeros((len(texts), STRONG), np.uint64)
+    lanes, strong = np.zeros((len(texts), LANES), np.int64), np.zeros((len(texts), STRONG), np.uint64)
     count = np.bincount(doc, minlength=len(texts)).astype(np.uint64)
     for at in range(0, len(h), 1 << 15):
         own, who = h[at: at + (1 << 15)], doc[at: at + (1 << 15)]
@@ -63,7 +63,7 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         seed = [mix(own + np.uint64(k * int(_BASE) % 2**64)) for k in range(1, LANES // 64 + 1)]
         bits = np.unpackbits(np.stack(seed, axis=1).astype("<u8").view(np.uint8), axis=1)
         size = np.diff(np.r_[first, len(own)])
-        lanes[who[first]] += (2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) - size[:, None]).astype(np.uint16)
+        lanes[who[first]] += (2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) - size[:, None])
         wide = np.stack([mix(own ^ np.uint64((k + 77) * 0x9E3779B97F4A7C15 % 2**64)) for k in range(STRONG)], axis=1)
         strong[who[first]] += np.add.reduceat(wide, first, axis=0)
     return lanes, strong, count & _COUNT
@@ -71,14 +71,14 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def encode(lanes: np.ndarray, strong: np.ndarray, count: np.ndarray) -> list[str]:
     """Hexadecimal text: lanes of 4 digits, strong entries of 16, the count of 8."""
-    rows = np.concatenate((lanes.astype(">u2").view(np.uint8), strong.astype(">u8").view(np.uint8),
+    rows = np.concatenate((lanes.astype(np.uint16).astype(">u2").view(np.uint8), strong.astype(">u8").view(np.uint8),
                            count.astype(">u4").view(np.uint8).reshape(-1, 4)), axis=1)
     return [r.tobytes().hex() for r in rows]
 
 
 def likeness(a, b) -> np.ndarray:
     """0 to 1 for each pair of vectors: 1 for equal ones, and for two empty texts."""
-    x, y = (v[0].view(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v[0].astype(np.float64) for v in (a, b))
     square = (x * x + y * y).sum(axis=1)
     out = np.clip(2 * (x * y).sum(axis=1) / np.maximum(square, 1), 0, 1)
     same = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1) & (a[2] == b[2])

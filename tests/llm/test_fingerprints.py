@@ -58,3 +58,13 @@ def test_order_and_increments(spark, docs):
         inserted(F.col("p3"), F.col("p4")).alias("sum"), deleted(F.col("p1"), F.col("p4")).alias("rest"),
         deleted(F.col("p1"), F.col("p2")).alias("none")).first()
     assert (row["sum"], row.rest, row.none) == (p[1], p[3], p[5])
+
+
+def test_likeness_of_very_repetitive_texts():
+    import pyarrow as pa
+
+    from tallyframe.llm.fingerprints import encode, likeness, vectors
+    rows = [vectors(pa.array(["line\n" * n])) for n in (60000, 30000, 65536)]
+    assert abs(likeness(rows[0], rows[1])[0] - 0.8) < 1e-9
+    assert likeness(rows[2], rows[0])[0] > 0.99
+    assert int(encode(*rows[0])[0][:4], 16) in (60000 % 2**16, -60000 % 2**16)  # fingerprints are modulo 2 ** 16 still
