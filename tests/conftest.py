@@ -42,9 +42,3 @@ def table(spark):
         return spark.createDataFrame(data, schema)
 
     return build
-
-
-def rows(frame, *columns):
-    """Sorted tuples of the named columns."""
-    picked = frame.select(*columns) if columns else frame
-    return sorted((tuple(r) for r in picked.collect()), key=repr)

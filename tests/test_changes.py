@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from tallyframe.operators import capture, mutate, replicate, retention
 from tallyframe.schemas import LOGGED, TABLES
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from tallyframe.operators import ingest
 from tallyframe.sources.statements import csv_cells, read_statement_csv, read_statement_text
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from tallyframe.functions.numbering import first_per_group, hash_prefix, numbered, previous_value, running_total
 
 

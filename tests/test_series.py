@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 from tallyframe.operators import aggregates as A
 from tallyframe.operators import series as W
 from tallyframe.operators.sets import month_spine

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from test_changes import change
 from tallyframe.operators import replicate
 from tallyframe.schemas import CHANGE_LOG

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from tallyframe.operators import mutate
 from tallyframe.operators.aggregates import category_spend_by_month
 from tallyframe.sources import space_files, versions
