@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import sha2
 
 from ..session import configure
 
@@ -183,3 +184,18 @@ def _(spark, folder):
     """Tokens of every document, counted in flat token files made of all documents."""
     from .token_scan import document_tokens
     return document_tokens(table(spark, folder, "documents"), VOCABULARY, END_ID)
+
+
+@register("op11_line_runs", rf"""
+    WITH l AS (SELECT doc_id, UNNEST(string_split(coalesce(text, ''), chr(10))) AS line,
+                      UNNEST(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+    k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS key FROM l),
+    r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keeper <> doc_id) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+    FROM k LEFT JOIN r USING (key) GROUP BY doc_id""")
+def _(spark, folder):
+    """Documents without the lines that three or more of them hold, but in the last one."""
+    from .line_dedup import dedup_lines
+    kept = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", sha2(kept["text"].cast("binary"), 256).alias("kept_sha256"))
