@@ -151,8 +151,8 @@ def dedup_lines(documents: DataFrame, least_length: int = 20, least_docs: int =
     hits = lines.join(repeated, _HASH).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("digest"))
     gone = hits.groupBy(row.alias("__row")).agg(F.array_sort(F.collect_set("at")).alias("__gone"))
-    kept = documents.drop("n_lines", "n_dropped").withColumn("digest_", F.xxhash64(F.col("text").cast("string")))
-    kept = kept.withColumn("__row", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("digest_").alias("digest"))).drop("digest_")
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("digest"))
+    kept = documents.drop("n_lines", "n_dropped").withColumn("__row", own)
     split = _lines(F.col("text").cast("string"))
     # the dropped lines' numbers as flags of all lines: each one's gap to the one before, then itself
     before = F.array_prepend(F.slice("__gone", 1, F.size("__gone") - 1), F.lit(-1))

@@ -199,3 +199,37 @@ def _(spark, folder):
     from .line_dedup import dedup_lines
     kept = dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", sha2(kept["text"].cast("binary"), 256).alias("kept_sha256"))
+
+
+# crc32 of a decimal number, bit by bit; 3988292384 is the reflected polynomial
+_CRC = ("xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), "
+        "lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), "
+        "lambda acc, s: CASE WHEN s >= 0 THEN xor(acc, s) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END), 4294967295)")
+
+
+@register("op12_conversation_trie", rf"""
+    WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, md5(role) || md5(text) AS k,
+                 len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM m),
+    c AS (SELECT conv_id, conv_id - conv_id % 20 AS donor, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM m)),
+    n AS (SELECT conv_id AS donor, count(*) AS n FROM o GROUP BY 1),
+    r AS (SELECT c.conv_id, o.pos, o.k, o.words FROM c JOIN o ON o.conv_id = c.donor AND o.pos < c.h
+      UNION ALL SELECT conv_id, o.pos - c.h + least(c.h, coalesce(n.n, 0)), o.k, o.words
+      FROM c JOIN o USING (conv_id) LEFT JOIN n USING (donor) WHERE o.pos >= c.h),
+    p AS (SELECT conv_id AS member, pos + 1 AS depth, md5(string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS path, words FROM r
+      UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+    node AS (SELECT depth, path, min(member) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY 1, 2),
+    own AS (SELECT p.member, p.depth, node.conv_id FROM p JOIN node USING (depth, path)),
+    kin AS (SELECT node.*, own.conv_id AS parent_conv_id FROM node LEFT JOIN own ON own.member = node.conv_id AND own.depth = node.depth - 1),
+    kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM kin WHERE depth > 0 GROUP BY 1, 2),
+    full_ AS (SELECT kin.*, coalesce(n_children, 0) AS n_children FROM kin LEFT JOIN kids USING (conv_id, depth)),
+    sub AS (SELECT own.conv_id, own.depth, sum((n_convs - 1) * words) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+            FROM full_ x JOIN own ON own.member = x.conv_id AND own.depth <= x.depth GROUP BY 1, 2),
+    tail AS (SELECT conv_id, depth, sha256(string_agg(CAST(member AS VARCHAR), ',' ORDER BY member)) AS sha
+             FROM own JOIN (SELECT member, max(depth) AS depth FROM p GROUP BY 1) USING (member, depth) GROUP BY 1, 2)
+    SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+           coalesce(sha, sha256('')) AS ends_sha256 FROM full_ JOIN sub USING (conv_id, depth) LEFT JOIN tail USING (conv_id, depth)""")
+def _(spark, folder):
+    """The trie of all conversations' prefixes, with what sharing them saves."""
+    from .prefix_trie import conversation_trie
+    return conversation_trie(table(spark, folder, "conversations"))
