@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_dir, settle
 from ..sources.given import GivenLedger, change_rows
-from ..streaming import imports, replication, sinks
+from ..streaming import bursts, imports, replication, sinks
 from .catalog import register
 from .change_queries import _PASSES
 from .oracle import ledger_sql
@@ -174,8 +174,8 @@ def _mutations(events: DataFrame) -> DataFrame:
         F.date_trunc("second", F.col("ts").cast("timestamp")).alias("at"))
 
 
-def _epochs(bursts: DataFrame) -> DataFrame:
-    return bursts.select(
+def _epochs(found: DataFrame) -> DataFrame:
+    return found.select(
         "space_id", F.unix_timestamp("first_at").alias("first_at"), F.unix_timestamp("fires_at").alias("fires_at"),
         "mutations")
 
@@ -187,13 +187,14 @@ def _(led: GivenLedger) -> DataFrame:
 
 @register("stream_bursts", ledger_sql(_BURST_ROWS, _BURSTS))
 def _(led: GivenLedger) -> DataFrame:
-    """Sessions of a live stream that ends with a mutation two days later, which closes all before it."""
+    """Bursts of a live stream that ends with a mutation two days later, which fires all before it."""
     root = scratch_dir(led.spark, "bursts")
     events = led.read("events")
-    newest = events.agg(F.max("ts").alias("_ts"), F.max("event_id").alias("_id"))  # one row
-    last = newest.crossJoin(events.where("event_id = 0")).select(*[
-        (F.col("_ts").cast("timestamp") + F.expr("INTERVAL 2 DAYS")).cast(f.dataType).alias("ts") if f.name == "ts"
-        else (F.col("_id") + 1).cast(f.dataType).alias("event_id") if f.name == "event_id" else F.col(f.name) for f in events.schema])
-    stream = _mutations(deliveries(led, events.unionByName(last), "event_id"))
-    sinks.append_stream(imports.stream_bursts(stream, "at", 120), root).awaitTermination()
+    closing = events.agg(F.max("ts").alias("ts"), F.max("event_id").alias("event_id")).where("ts IS NOT NULL")  # one row
+    closing = closing.select(*[
+        (F.col("ts").cast("timestamp") + F.expr("INTERVAL 2 DAYS")).cast(f.dataType).alias("ts") if f.name == "ts"
+        else (F.col("event_id") + 1).cast(f.dataType).alias("event_id") if f.name == "event_id"
+        else F.lit(0 if f.name == "user_id" else None).cast(f.dataType).alias(f.name) for f in events.schema])
+    stream = _mutations(deliveries(led, events.unionByName(closing), "event_id"))
+    bursts.start_bursts(stream, root, "at", 120).awaitTermination()
     return _epochs(led.spark.read.parquet(f"{root}/rows"))

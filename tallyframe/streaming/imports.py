@@ -29,20 +29,8 @@ def stream_monthly_spend(transactions: DataFrame, accounts: DataFrame) -> DataFr
         F.sum("amount").alias("amount"))
 
 
-def stream_bursts(mutations: DataFrame, time: str, seconds: int = QUIET_SECONDS,
-                  delay: str = "1 hour") -> DataFrame:
-    """Bursts of a live stream: a session per space that ends after the quiet period."""
-    return (
-        mutations.withWatermark(time, delay)
-        .groupBy("space_id", F.session_window(F.col(time), f"{seconds} seconds").alias("burst"))
-        .agg(F.count(F.lit(1)).alias("mutations"))
-        .select("space_id", F.col("burst.start").alias("first_at"), F.col("burst.end").alias("fires_at"),
-                "mutations")
-    )
-
-
 def mutation_bursts(mutations: DataFrame, time: str, key: str, seconds: int = QUIET_SECONDS) -> DataFrame:
-    """The same bursts over stored mutations, for spaces of any size.
+    """The bursts of stored mutations, as `bursts.stream_bursts` gives them live, for spaces of any size.
 
     A mutation starts a burst when the one before it in its space is at least the quiet
     period older. Ranges of the mutations in time order are the buckets, so a busy space is
