@@ -127,6 +127,24 @@ def seeded_weights(text_size: int, classes: int, seed: int = 7) -> HeadWeights:
                        layer(HIDDEN_LAYERS[1], HIDDEN_LAYERS[0]), layer(classes, HIDDEN_LAYERS[1]))
 
 
+def patterned_weights(text_size: int, classes: int, version: int = 1, space: int = 0) -> HeadWeights:
+    """Weights from a rule in whole sixty-fourths, so that other engines can compute the same head."""
+    def layer(no: int, out: int, size: int):
+        i, j = np.arange(out)[:, None], np.arange(size)[None, :]
+        w = ((31 * i + 17 * j + 7 * no + 13 * version + 5 * space) % 23 - 11) / 64
+        return w, ((29 * i[:, 0] + 7 * no + 13 * version + 5 * space) % 19 - 9) / 64
+
+    n = FEATURE_SIZE
+    return HeadWeights(layer(1, n, n), layer(2, n, n), layer(3, HIDDEN_LAYERS[0], text_size + n),
+                       layer(4, HIDDEN_LAYERS[1], HIDDEN_LAYERS[0]), layer(5, classes, HIDDEN_LAYERS[1]))
+
+
+def flat_weights(weights: HeadWeights) -> np.ndarray:
+    """The weights as the one vector that `training` keeps in a model's row."""
+    pairs = (weights.numeric_1, weights.numeric_2, weights.fuse_1, weights.fuse_2, weights.head)
+    return np.concatenate([np.asarray(x, float).ravel() for pair in pairs for x in pair])
+
+
 def _forward(text: np.ndarray, numeric: np.ndarray, w: HeadWeights) -> np.ndarray:
     def dense(x, layer):
         return x @ layer[0].T + layer[1]

@@ -35,6 +35,13 @@ def active_versions(spaces: DataFrame, settings: DataFrame) -> DataFrame:
         "space_id", F.coalesce("_v", F.lit(0).cast("bigint")).alias("active"))
 
 
+def chosen_versions(registry: DataFrame, settings: DataFrame, requests: DataFrame) -> DataFrame:
+    """The version to predict with: the one that `requests` (space_id, version) names, else the active one."""
+    asked = requests.select("space_id", F.col("version").alias("_asked"))
+    return active_versions(registry, settings).join(asked, "space_id", "left").select(
+        "space_id", F.coalesce("_asked", "active").alias("version"))
+
+
 def list_models(registry: DataFrame, cards: DataFrame, settings: DataFrame) -> DataFrame:
     """Registered versions that have a card, with the active one marked."""
     active = active_versions(registry, settings)

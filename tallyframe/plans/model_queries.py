@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mean_pool
-from ..operators import features, model, registry
+from ..operators import features, ingest, model, registry, training
 from ..operators.aggregates import hit_rate
 from ..operators.joins import with_label
 from ..session import settle
@@ -92,11 +92,12 @@ def _prepared(led: GivenLedger) -> tuple[DataFrame, DataFrame]:
     return settle(features.split_rows(rows), "training"), settle(classes, "classes")
 
 
-def _trained(led: GivenLedger):
+def _embedded(led: GivenLedger) -> tuple[DataFrame, DataFrame]:
+    """Training rows with plain embedding arrays, and the class list."""
+    from pyspark.ml.functions import vector_to_array
+
     rows, classes = _prepared(led)
-    embedded = model.embed_text(rows, EMBEDDING_SIZE)
-    size = classes.agg(F.max("position")).first()[0] + 1
-    return embedded, classes, model.train_head(embedded, size, EMBEDDING_SIZE)
+    return model.embed_text(rows, EMBEDDING_SIZE).withColumn("embedding", vector_to_array("embedding")), classes
 
 
 @register("text_embedding", ledger_sql("""
@@ -148,17 +149,26 @@ def _(led: GivenLedger) -> DataFrame:
 
 @register("train_head")
 def _(led: GivenLedger) -> DataFrame:
-    """Loss after each pass of the optimiser over all training rows."""
-    _, _, trained = _trained(led)
-    return led.spark.createDataFrame(
-        [(i, loss, trained.samples) for i, loss in enumerate(trained.history)],
-        "pass long, loss double, samples long")
+    """Loss and accuracy on both sides, for every space and epoch."""
+    rows, _ = _embedded(led)
+    return training.epoch_figures(training.train_spaces(rows, EMBEDDING_SIZE)[0])
+
+
+@register("train_head_in_pieces")
+def _(led: GivenLedger) -> DataFrame:
+    """The same for spaces too large for a task: two epochs of two batches, whose pieces are summed up a tree."""
+    rows, _ = _embedded(led)
+    plan = training.Plan(epochs=2, steps=2, small_rows=0, piece_rows=512)
+    return training.epoch_figures(training.train_spaces(rows, EMBEDDING_SIZE, plan)[0])
 
 
 @register("predict")
 def _(led: GivenLedger) -> DataFrame:
-    embedded, classes, trained = _trained(led)
-    return model.predict(embedded, trained, classes).select("space_id", "id", "train", "predicted")
+    """Every training row's category by its own space's new model."""
+    rows, classes = _embedded(led)
+    models, _ = training.train_spaces(rows, EMBEDDING_SIZE)
+    versions = models.withColumn("version", F.lit(1).cast("long"))
+    return training.predict_versions(rows, versions, versions.select("space_id", "version"), classes)
 
 
 @register("predict_without_model", ledger_sql("SELECT id, 'Other' AS predicted FROM transactions"))
@@ -167,18 +177,116 @@ def _(led: GivenLedger) -> DataFrame:
     return model.predict(rows, None, led.categories)
 
 
-@register("score_head")
-def _(led: GivenLedger) -> DataFrame:
-    """Forward pass of a head with fixed weights over the given vectors."""
+_PATTERN = """
+rows_in AS (
+  SELECT t.id, a.space_id, t.category, CAST(CAST(t.amount AS FLOAT) / 100.0::DOUBLE AS FLOAT) AS base, CAST(t.booking_date AS DATE) AS day,
+         CAST(e.embedding AS DOUBLE[]) AS text_vector
+  FROM transactions t JOIN accounts a ON a.id = t.account_id
+  JOIN embeddings e ON e.vec_id = CAST(t.reference AS BIGINT) % (SELECT count(*) FROM embeddings)),
+input AS (
+  SELECT *, list_concat(
+      list_transform(range(13), lambda i: CAST(i = CASE WHEN base < -100000 THEN 0 WHEN base < -10000 THEN 1 WHEN base < -1000 THEN 2
+        WHEN base < -100 THEN 3 WHEN base < -10 THEN 4 WHEN base < 0 THEN 5 WHEN base < 10 THEN 6 WHEN base < 100 THEN 7
+        WHEN base < 1000 THEN 8 WHEN base < 10000 THEN 9 WHEN base < 100000 THEN 10 ELSE 11 END AS DOUBLE)),
+      [CAST(CAST((CASE WHEN base >= 0 THEN 1 ELSE -1 END) * ln(CAST(CAST(abs(base) + CAST(1 AS FLOAT) AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE)],
+      list_transform(range(1, 8), lambda i: CAST(i = isodow(day) AS DOUBLE)),
+      list_transform(range(1, 32), lambda i: CAST(i = day(day) AS DOUBLE)),
+      list_transform(range(1, 13), lambda i: CAST(i = month(day) AS DOUBLE))) AS numeric_vector
+  FROM rows_in),
+weights AS (
+  SELECT space_id, no, i, ((29 * i + 7 * no + 13 * version + 5 * space_no) % 19 - 9) / 64.0::DOUBLE AS bias,
+         list_transform(range(inputs), lambda j: ((31 * i + 17 * j + 7 * no + 13 * version + 5 * space_no) % 23 - 11) / 64.0::DOUBLE) AS w
+  FROM (SELECT *, UNNEST(range(outputs)) AS i FROM chosen,
+        (VALUES (1, 64, 64), (2, 64, 64), (3, 128, 128), (4, 32, 128), (5, 10, 32)) l(no, outputs, inputs))),
+n1 AS (SELECT id, list(greatest(0, list_inner_product(w, numeric_vector) + bias) ORDER BY i) AS v
+       FROM input JOIN weights USING (space_id) WHERE no = 1 GROUP BY id),
+n2 AS (SELECT id, list(greatest(0, list_inner_product(w, v) + bias) ORDER BY i) AS v
+       FROM n1 JOIN input USING (id) JOIN weights USING (space_id) WHERE no = 2 GROUP BY id),
+f1 AS (SELECT id, list(greatest(0, list_inner_product(w, list_concat(text_vector, v)) + bias) ORDER BY i) AS v
+       FROM n2 JOIN input USING (id) JOIN weights USING (space_id) WHERE no = 3 GROUP BY id),
+f2 AS (SELECT id, list(greatest(0, list_inner_product(w, v) + bias) ORDER BY i) AS v
+       FROM f1 JOIN input USING (id) JOIN weights USING (space_id) WHERE no = 4 GROUP BY id),
+logits AS (SELECT id, list(list_inner_product(w, v) / sqrt(list_inner_product(v, v)) + bias ORDER BY i) AS v
+       FROM f2 JOIN input USING (id) JOIN weights USING (space_id) WHERE no = 5 GROUP BY id),
+answers AS (SELECT id, 10 - list_position(list_reverse(v), list_max(v)) AS label FROM logits)"""
+_ONE_HEAD = "\nchosen AS (SELECT id AS space_id, 1 AS version, 0 AS space_no FROM spaces)," + _PATTERN
+_CHOSEN = _CLASSES + """,
+chosen AS (
+  SELECT v.space_id, v.version, CAST(substr(v.space_id, 2) AS BIGINT) AS space_no FROM model_versions v
+  WHERE v.version = CASE v.space_id WHEN 's1' THEN 2 WHEN 's2' THEN 99
+    ELSE coalesce((SELECT max(TRY_CAST(s.value AS BIGINT)) FROM space_settings s
+                   WHERE s.space_id = v.space_id AND s.key = 'active_model_version'), 0) END),""" + _PATTERN + """,
+predictions AS (
+  SELECT r.space_id, r.id, r.category, c.version, CAST(a.label AS BIGINT) AS label, coalesce(n.name, 'Other') AS predicted
+  FROM rows_in r LEFT JOIN chosen c ON c.space_id = r.space_id LEFT JOIN answers a ON a.id = r.id
+  LEFT JOIN (SELECT position, min(name) AS name FROM classes GROUP BY 1) n ON n.position = a.label)"""
+
+
+def _with_vectors(led: GivenLedger) -> DataFrame:
+    """All transactions with features and, for want of an encoder, one of the given vectors each."""
     vectors = led.read("embeddings")
     total = vectors.agg(F.count(F.lit(1)).alias("n"))  # one row
     rows = features.build_features(led.transactions(text=False, balance=False)).join(F.broadcast(total))
-    joined = rows.withColumn("vec_id", F.col("reference").cast("bigint") % F.col("n")).join(
-        vectors.select("vec_id", "embedding"), "vec_id")
-    scored = model.score_head(joined, model.seeded_weights(EMBEDDING_SIZE, 10))
+    return rows.withColumn("vec_id", F.col("reference").cast("bigint") % F.col("n")).join(
+        vectors.select("vec_id", "embedding"), "vec_id").drop("vec_id", "n")
+
+
+@register("score_head", ledger_sql("SELECT id, CAST(label AS INT) AS predicted_class FROM answers", _ONE_HEAD))
+def _(led: GivenLedger) -> DataFrame:
+    """Forward pass of a head with weights from a rule over the given vectors."""
+    scored = model.score_head(_with_vectors(led), model.patterned_weights(EMBEDDING_SIZE, 10))
     return scored.select("id", "predicted_class")
 
 
+def _patterned_models(led: GivenLedger) -> DataFrame:
+    """Every registered version with weights from a rule on its space and number."""
+    def fill(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            spaces, versions = batch.column("space_id").to_pylist(), batch.column("version").to_pylist()
+            weights = [model.flat_weights(model.patterned_weights(EMBEDDING_SIZE, 10, v, int(s[1:]))).tobytes() for s, v in zip(spaces, versions)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("space_id"), batch.column("version"), pa.array([EMBEDDING_SIZE] * len(spaces), pa.int32()),
+                 pa.array([list(range(10))] * len(spaces), pa.list_(pa.int64())), pa.array(weights, pa.binary())],
+                names=["space_id", "version", "text_size", "classes", "weights"])
+
+    return led.model_versions.select("space_id", "version").mapInArrow(
+        fill, "space_id string, version long, text_size int, classes array<long>, weights binary")
+
+
+def _predictions(led: GivenLedger) -> DataFrame:
+    """All transactions by their space's version: the one asked for, else the active one."""
+    rows = features.scope_to_space(_with_vectors(led), led.accounts)
+    asked = led.spaces.where("id IN ('s1', 's2')").select(F.col("id").alias("space_id"), F.when(F.col("id") == "s1", 2).otherwise(99).cast("long").alias("version"))
+    chosen = registry.chosen_versions(led.model_versions, led.space_settings, asked)
+    found = training.predict_versions(rows, _patterned_models(led), chosen, _classes(led))
+    return found.join(rows.select("id", F.col("category").alias("actual")), "id")
+
+
+@register("predict_version", ledger_sql("SELECT space_id, id, version, label, predicted FROM predictions", _CHOSEN))
+def _(led: GivenLedger) -> DataFrame:
+    """Predictions of every space by a chosen version; one that isn't registered gives the fallback."""
+    return _predictions(led).drop("actual")
+
+
+@register("sample_version", ledger_sql("""
+    SELECT space_id, id, category AS actual, version, predicted FROM predictions WHERE category IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY space_id ORDER BY md5(id || '#5'), id) <= 50""", _CHOSEN))
+def _(led: GivenLedger) -> DataFrame:
+    """A sample of labelled rows of each space with what a chosen version predicts."""
+    return model.sample_predictions(_predictions(led).where("actual IS NOT NULL"), 50, 5)[0].select(
+        "space_id", "id", "actual", "version", "predicted")
+
+
+@register("preview_with_model", ledger_sql("SELECT id, amount, predicted AS category FROM base_transactions JOIN predictions USING (id)", _CHOSEN))
+def _(led: GivenLedger) -> DataFrame:
+    """What an import would add, with the categories that the chosen model predicts."""
+    parsed = led.transactions(text=False, balance=False).select("id", "amount")
+    found = _predictions(led).select("id", F.col("predicted").alias("category"))
+    return ingest.preview_parse(parsed, found)
+
+
 _LOGITS = """
 scored AS (
   SELECT id, 's' || (o_orderkey % 5) AS space_id, o_orderkey % 4 <> 0 AS train, CAST(o_orderkey % 3 AS INT) AS label,
