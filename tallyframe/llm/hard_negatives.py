@@ -236,7 +236,7 @@ def _packs(batches):
 def bounds(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """At most the least and at least the greatest inner product of each row of `a` with vectors of each zone."""
     up, down = np.maximum(a, 0).astype(np.float64), np.minimum(a, 0).astype(np.float64)
-    low, high = (np.asarray(x, np.float64).reshape(-1, a.shape[1]).T for x in (low, high))
+    low, high = (np.asarray(x, np.float64).reshape(len(x), a.shape[1]).T for x in (low, high))
     # exact below 2 ** 53; the slack covers what larger sums lose
     slack = np.abs(a).astype(np.float64) @ np.maximum(np.abs(low), np.abs(high)) * 2.0**-40
     return np.floor(up @ low + down @ high - slack), np.ceil(up @ high + down @ low + slack)
