@@ -84,7 +84,8 @@ def _cut(state: DataFrame, j: int) -> tuple[DataFrame, DataFrame]:
         *[F.coalesce(F.bit_xor(F.when(~low, _item(s))), F.lit(0)).bitwiseXOR(F.first(f"t{s}")).alias(f"c{s}") for s in (1, 2)],
         F.max(low).alias("has_low"), F.max("w").alias("w"))
     seqs = settle(seqs, "trie-sequences")
-    reps = seqs.groupBy(*_STEP, "c1", "c2").agg(F.min("conv_id").alias("rep"), F.sum("w").alias("w_up"))
+    # written, so that both sides of the join are plain shuffles, whose hot partitions are split
+    reps = settle(seqs.groupBy(*_STEP, "c1", "c2").agg(F.min("conv_id").alias("rep"), F.sum("w").alias("w_up")), "trie-names")
     cuts = settle(seqs.drop("w").join(reps, [*_STEP, "c1", "c2"]), "trie-cuts")
     both = rows.join(cuts.drop("has_low"), [*_STEP, "conv_id"]).where(low | (F.col("conv_id") == F.col("rep")))
     cut = F.struct(F.lit(j).alias("level"), "c1", "c2")
