@@ -347,11 +347,27 @@ def ngram_components(documents: DataFrame, size: int = 5, threshold: float = 0.8
 
 
 def keep_one(documents: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents without all but the first (least doc_id, then text) of each component.
+    """The documents without all but the first row of each component: the least doc_id, missing ones last.
 
-    Rows without n-grams stay, and so do rows without doc_id; a repeated doc_id keeps one row.
+    Rows without n-grams stay, repeated ones too. Other rows that repeat doc_id and text stay once,
+    with the columns of any of them; of several texts with one doc_id, or without one, each is a
+    document of its own.
     """
-    label = ngram_components(documents, size, threshold).where("n_shingles > 0").groupBy("doc_id").agg(
-        F.min("component_id").alias("__component"))
-    gone = label.where("doc_id <> __component").select("doc_id")
-    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    keyed = documents.withColumn("__key", F.xxhash64(doc_id, text))
+    # the key stands for the row, so that a component names rows and not ids that may repeat
+    found = ngram_components(keyed.select(F.col("__key").alias("doc_id"), text.alias("text")), size, threshold)
+    labels = settle(found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__key")).agg(
+        F.min("component_id").alias("least"), F.max("component_id").alias("most"), F.count(F.lit(1)).alias("copies")), "labels")
+    ids = keyed.select("__key", doc_id.alias("__id")).distinct()
+    known = labels.where("least = most")  # else two different rows have one hash: both stay
+    first = known.join(ids, "__key").groupBy("least").agg(
+        F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__key")).alias("f")).select(
+        F.col("least").alias("__component"), F.col("f.__key").alias("__first"))
+    fate = known.join(first, F.col("least") == F.col("__component")).select(
+        "__key", (F.col("__key") != F.col("__first")).alias("__gone"), (F.col("copies") > 1).alias("__again"))
+    fate = settle(fate.where("__gone OR __again"), "fates")
+    out = keyed.join(fate.where("__gone"), "__key", "left_anti")
+    again = fate.where("__again AND NOT __gone").select("__key")
+    once = out.join(again, "__key", "left_anti").unionByName(out.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return once.select(documents.columns)

@@ -88,10 +88,10 @@ def test_edges(spark, docs):
 
 def test_keep_one(spark, docs):
     text = " ".join(f"w{i}" for i in range(40))
-    frame = docs((5, text), (3, text + " more"), (4, "other"), (6, None), (7, ""))
+    frame = docs((5, text), (3, text + " more"), (4, "other"), (6, None), (7, ""), (7, ""))
     kept = keep_one(frame)
     assert kept.columns == frame.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 7]
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 7, 7]
 
 
 def test_tree_finds_exactly_the_similar_sets():
@@ -139,3 +139,16 @@ def test_links_as_the_comparison_sql(spark):
     assert "n_links" in columns
     want = sorted(cursor.fetchall())
     assert sorted(map(tuple, QUERIES[name](spark, folder).select(*columns).collect())) == want
+
+
+def test_keep_one_keeps_one_row_of_each_component_whatever_the_ids(spark, docs):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+
+    def left(*rows):
+        return sorted(((r.doc_id, r.text) for r in keep_one(docs(*rows)).collect()), key=repr)
+
+    assert left((1, a), (1, a)) == [(1, a)]
+    assert left((3, a), (9, a), (9, b), (12, b)) == [(3, a), (9, b)]
+    assert left((None, a), (None, a), (1, a)) == [(1, a)]
+    assert left((None, a), (None, a), (None, b)) == sorted([(None, a), (None, b)], key=repr)
+    assert left((2, a), (2, a + " more"), (5, a)) in ([(2, a)], [(2, a + " more")])
