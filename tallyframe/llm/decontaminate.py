@@ -26,22 +26,26 @@ from .text_arrays import flat, mix, powers, slices, words
 WINDOW, MISSES = 20, 4
 #: Lossless for WINDOW and MISSES, and for items of 8, 9, 12 to 14 and 16 to 19 words with a fifth of them replaced.
 MASKS = ((0, 1, 7, 8, 9, 10), (0, 1, 2, 4, 5, 6), (0, 1, 2, 3, 4, 6), (0, 1, 2, 3, 4))
-#: Further masks, each for items of just these lengths, which make those lossless too.
-SHORT_MASKS = {(0, 1, 2, 3): (5, 6, 7, 10, 11, 15), (0, 2, 3, 4): (5, 10), (0, 1, 3, 4): (5, 6), (0, 1, 2, 4): (5,)}
+#: Further masks, each for items of just these lengths, which make those lossless too. Of up to 4
+#: words, 80 % are all of them.
+SHORT_MASKS = {(0, 1, 2, 3): (4, 5, 6, 7, 10, 11, 15), (0, 2, 3, 4): (5, 10), (0, 1, 3, 4): (5, 6), (0, 1, 2, 4): (5,),
+               (0,): (1,), (0, 1): (2,), (0, 1, 2): (3,)}
 ALL_MASKS = (*MASKS, *SHORT_MASKS)
-LEAST_WORDS = 5
+#: The share of equal words that the masks are lossless for.
+LEAST_SHARE = 0.8
 BITMAP_BITS = 24
 _BLOCK_BITS = 18
 _SEEDS = "array<struct<hash: long, at: int>>"
 
 
 def seeds(h: np.ndarray, doc: np.ndarray, masks=ALL_MASKS, length: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first word of every seed; none reaches over the end of its document.
+    """Hash and first word of every seed of `masks`, some of ALL_MASKS; none reaches over the end of its document.
 
     With the length of each document, SHORT_MASKS make seeds only where they are for that length.
     """
     step, out, at = powers(np.uint64(0xA24BAED4963EE407), max(map(max, masks)) + 1), [], []
-    for number, mask in enumerate(masks):
+    for mask in masks:
+        number = ALL_MASKS.index(mask)
         n = max(len(h) - mask[-1], 0)
         total = np.full(n, (number + 1) * 0x9FB21C651E98DF25 % 2**64, np.uint64)
         for j in mask if n else ():
@@ -95,9 +99,9 @@ def _bitmap(items: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _stretches(bitmap):
+def _stretches(bitmap, masks):
     """Stretches of a document's words around seeds that the bitmap has."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.list_(pa.int64())),
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("start", pa.int32()), ("words", pa.list_(pa.int64())),
                         ("seeds", pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32())])))])
     reach = WINDOW + max(map(max, ALL_MASKS))
 
@@ -107,7 +111,7 @@ def _stretches(bitmap):
             for batch in slices(whole, "text", 1 << 20):
                 buf, off = flat(batch.column("text"))
                 h, _, _, doc = words(buf, off, letters=True)
-                s, at = seeds(h, doc)
+                s, at = seeds(h, doc, masks)
                 place = (s >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
                 hit = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
                 s, at = s[hit], at[hit]
@@ -125,13 +129,13 @@ def _stretches(bitmap):
                 size = hi - lo
                 inner = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").take(pa.array(owner[first])), batch.column("doc_id").take(pa.array(owner[first])),
+                    [*[batch.column(c).take(pa.array(owner[first])) for c in ("row", "doc_id", "digest")],
                      pa.array((lo - begin[owner[first]]).astype(np.int32)), _lists(h[inner].view(np.int64), size, pa.int64()),
                      _seed_lists(s, at - np.repeat(lo, last - first + 1), last - first + 1)], schema=schema)
     return run
 
 
-def _verify(share: float):
+def _verify(share: float, least: int):
     """Compare a stretch with an item whose first word is `shift` words into it."""
     top = round(share * 100)
 
@@ -142,7 +146,7 @@ def _verify(share: float):
                 item, span = (batch.column(c)[i].values.to_numpy() for c in ("item_words", "words"))
                 need, shift = min(len(item), WINDOW), int(shifts[i])
                 a, b = max(0, -shift), min(len(item), len(span) - shift)
-                if need < LEAST_WORDS or b - a < need:
+                if need < least or b - a < need:
                     continue
                 same = np.concatenate(([0], np.cumsum(item[a:b] == span[a + shift: b + shift])))
                 full = same[need:] - same[:-need]
@@ -157,24 +161,21 @@ def _verify(share: float):
     return run
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, at_word, n_words, n_equal): the best overlap of a document and an item.
-
-    documents: doc_id, text; benchmark: item_id, text; other columns are ignored. Words are runs
-    of letters and digits, in lower case; texts that differ in marks and spaces only are equal.
-    Items of under LEAST_WORDS words are not looked for. Items of under WINDOW words are
-    compared whole; with a share of 0.8 or more none is lost, whatever its length. Null texts are empty. Rows with equal or
-    missing ids are told apart while they are compared; the result has a row for each. Equal
-    items each give a row. Empty tables give no rows.
-    """
+def _overlaps(documents: DataFrame, benchmark: DataFrame, share: float, least_words: int) -> DataFrame:
+    """`leaks` with the digest of the document's text, which tells rows of one doc_id apart."""
+    if share < LEAST_SHARE or least_words < 1:
+        raise ValueError(f"the masks find all overlaps of {LEAST_SHARE:.0%} equal words or more, of items with words")
     spark = documents.sparkSession
     items = settle(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"),
                                     F.monotonically_increasing_id().alias("item"))
                    .mapInArrow(_item_words, f"item_id long, item long, words array<long>, seeds {_SEEDS}"), "benchmark-seeds")
     bitmap = spark.sparkContext.broadcast(_bitmap(items))
+    # masks for lengths that no item has find nothing; there are fewer lengths than WINDOW
+    lengths = {r[0] for r in items.select(F.size("words")).where(F.size("words") < WINDOW).distinct().collect()}
+    masks = tuple(m for m in ALL_MASKS if m in MASKS or lengths.intersection(SHORT_MASKS[m]))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                            F.monotonically_increasing_id().alias("row"))
-    spans = settle(rows.mapInArrow(_stretches(bitmap), f"row long, doc_id long, start int, words array<long>, seeds {_SEEDS}"),
+                            F.xxhash64(F.col("text").cast("string")).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    spans = settle(rows.mapInArrow(_stretches(bitmap, masks), f"row long, doc_id long, digest long, start int, words array<long>, seeds {_SEEDS}"),
                    "seed-stretches")
     # texts that share a passage send equal stretches: each different one is compared once
     key = F.struct(F.xxhash64("words").alias("a"), F.hash("words").alias("b"), F.size("words").alias("n"))
@@ -186,15 +187,30 @@ def leaks(documents: DataFrame, benchmark: DataFrame, share: float = 0.8) -> Dat
     pairs = lines.join(alike.select("key", "words"), "key").join(
         items.select("item", "item_id", F.col("words").alias("item_words")), "item")
     checked = pairs.select("key", "item", "item_id", "shift", "words", "item_words").mapInArrow(
-        _verify(share), "key struct<a: long, b: int, n: int>, item long, item_id long, at_word long, n_words long, n_equal long")
+        _verify(share, least_words), "key struct<a: long, b: int, n: int>, item long, item_id long, at_word long, n_words long, n_equal long")
     best = checked.groupBy("key", "item", "item_id").agg(F.max(F.struct(
         F.col("n_equal"), (-F.col("at_word")).alias("first"), "n_words")).alias("m"))
-    each = keyed.select("row", "doc_id", "start", "key").join(best, "key").groupBy("row", "doc_id", "item", "item_id").agg(
+    each = keyed.select("row", "doc_id", "digest", "start", "key").join(best, "key").groupBy("row", "doc_id", "digest", "item", "item_id").agg(
         F.max(F.struct("m.n_equal", (F.col("m.first") - F.col("start")).alias("first"), "m.n_words")).alias("m"))
-    return each.select("doc_id", "item_id", (-F.col("m.first")).cast("long").alias("at_word"), "m.n_words", "m.n_equal")
+    return each.select("doc_id", "digest", "item_id", (-F.col("m.first")).cast("long").alias("at_word"), "m.n_words", "m.n_equal")
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, share: float = LEAST_SHARE, least_words: int = 1) -> DataFrame:
+    """(doc_id, item_id, at_word, n_words, n_equal): the best overlap of a document and an item.
+
+    documents: doc_id, text; benchmark: item_id, text; other columns are ignored. Words are runs
+    of letters and digits, in lower case; texts that differ in marks and spaces only are equal.
+    Items of under `least_words` words are not looked for, nor are those without words. Items of
+    under WINDOW words are compared whole. No overlap of `share` is lost; a share of under
+    LEAST_SHARE is refused. Null texts are empty. Rows with equal or missing ids are told apart
+    while they are compared; the result has a row for each. Equal items each give a row. Empty
+    tables give no rows.
+    """
+    return _overlaps(documents, benchmark, share, least_words).drop("digest")
 
 
-def without_leaks(documents: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFrame:
-    """The documents that overlap with no item; rows that share an id with one that does go too."""
-    found = leaks(documents, benchmark, share).select(F.col("doc_id").alias("__leak")).distinct()
-    return documents.join(found, documents["doc_id"].eqNullSafe(F.col("__leak")), "left_anti")
+def without_leaks(documents: DataFrame, benchmark: DataFrame, share: float = LEAST_SHARE, least_words: int = 1) -> DataFrame:
+    """The documents that overlap with no item; others of the same doc_id, or without one, stay."""
+    found = _overlaps(documents, benchmark, share, least_words).select(F.struct("doc_id", "digest").alias("__leak")).distinct()
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("digest"))
+    return documents.join(found, own == F.col("__leak"), "left_anti")

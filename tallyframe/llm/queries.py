@@ -125,7 +125,7 @@ _LETTERS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}{_CAPITA
 @register("op8_benchmark_decontamination", f"""
     WITH d AS (SELECT doc_id, len(ws) AS n, UNNEST(ws) AS w, UNNEST(range(len(ws))) AS p FROM (SELECT doc_id, {_LETTERS} AS ws FROM documents)),
     b AS (SELECT item_id, len(ws) AS m, least(len(ws), 20) AS need, UNNEST(ws) AS w, UNNEST(range(len(ws))) AS j
-          FROM (SELECT item_id, {_LETTERS} AS ws FROM benchmark) WHERE len(ws) >= 5),
+          FROM (SELECT item_id, {_LETTERS} AS ws FROM benchmark) WHERE len(ws) >= 1),
     same AS (SELECT doc_id, item_id, p - j AS shift, j, n, m, need FROM d JOIN b ON d.w = b.w
              QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, p - j) * 100 >= 80 * need),
     windows AS (SELECT doc_id, item_id, shift, need, s, count(*) AS n_equal FROM same, UNNEST(range(j - need + 1, j + 1)) t(s)

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from tallyframe.llm.decontaminate import LEAST_WORDS, MASKS, MISSES, WINDOW, leaks, without_leaks
+from tallyframe.llm.decontaminate import ALL_MASKS, MASKS, MISSES, SHORT_MASKS, WINDOW, leaks, without_leaks
 
 
 def words(text):
@@ -20,7 +20,7 @@ def brute(docs, items):
     for (d, t), (i, x) in itertools.product(docs, items):
         a, b = words(t), words(x)
         need = min(len(b), WINDOW)
-        if need < LEAST_WORDS:
+        if not need:
             continue
         best = 0
         for shift in range(need - len(b), len(a) - need + 1):
@@ -87,7 +87,7 @@ def test_edges(spark, docs):
 
 
 def test_replaced_words_at_every_length(spark, docs):
-    items = [(m, " ".join(f"q{m}x{j}" for j in range(m))) for m in range(LEAST_WORDS, WINDOW)]
+    items = [(m, " ".join(f"q{m}x{j}" for j in range(m))) for m in range(5, WINDOW)]
     rows, want = [], set()
     for m, text in items:
         gone = list(itertools.combinations(range(m), m // 5))
@@ -100,3 +100,31 @@ def test_replaced_words_at_every_length(spark, docs):
         rows.append((len(rows), " ".join(["other"] * (m // 5 + 1) + text.split()[m // 5 + 1:])))  # one too many
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id, r.n_equal) for r in leaks(docs(*rows), bench).collect()} == want
+
+
+def test_short_items_are_found_whole(spark, docs):
+    items = [(1, "Forty"), (2, "forty two"), (3, "is forty two"), (4, "answer is forty two"), (5, "the answer is forty two"), (6, ""), (7, "...")]
+    rows = [(1, "The answer is: forty two!"), (2, "answer was forty two"), (3, "nothing"), (4, "two forty"), (5, "forty"), (None, "is forty two")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_equal) for r in leaks(docs(*rows), bench).collect()}
+    assert got == brute(rows, items) and (1, 4, 4) in got
+    assert {r.item_id for r in leaks(docs(*rows), bench, least_words=4).collect()} == {4, 5}
+    for wrong in ({"share": 0.7}, {"least_words": 0}):
+        with pytest.raises(ValueError, match="masks"):
+            leaks(docs(*rows), bench, **wrong)
+
+
+def test_masks_are_lossless_at_every_length():
+    for n in range(1, WINDOW):
+        fit = [m for m in ALL_MASKS if m[-1] < n and (m in MASKS or n in dict(SHORT_MASKS)[m])]
+        for gone in itertools.combinations(range(n), n // 5):
+            assert any(not any(o + j in gone for j in m) for m in fit for o in range(n - m[-1])), (n, gone)
+
+
+def test_clean_rows_that_share_an_id_with_a_leak_stay(spark, docs):
+    leak = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    rows = [(None, leak), (None, "clean"), (4, "x " + leak), (4, "clean too"), (5, None)]
+    kept = without_leaks(docs(*rows), bench)
+    assert kept.columns == docs().columns
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(None, "clean"), (4, "clean too"), (5, None)}
