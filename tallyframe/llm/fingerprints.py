@@ -3,7 +3,7 @@
 A document is a multiset of paragraphs: its lines, long ones cut at words that their own hash
 picks, some eight words apart, so that an edit changes few of them. Every paragraph has a wide
 vector, drawn from its hash: LANES entries of +1 or -1, STRONG entries of 64 random bits, and a
-one. A fingerprint is the sum of the vectors, modulo 2 ** 16, 2 ** 64 and 2 ** 32. The order of
+one. A fingerprint is the sum of the vectors, modulo 2 ** 32, 2 ** 64 and 2 ** 32. The order of
 paragraphs doesn't matter, and one is inserted or deleted by adding or subtracting its vector.
 
 Equal multisets have equal sums; the 64-bit lanes make others differ. The mean product of two
@@ -30,7 +30,7 @@ LANES, STRONG = 128, 4
 CUT_BITS = 3
 _COUNT = np.uint64(2**32 - 1)
 #: Modulus of each entry of a vector: lanes, strong entries, number of paragraphs.
-MODULI = [2**16] * LANES + [2**64] * STRONG + [2**32]
+MODULI = [2**32] * LANES + [2**64] * STRONG + [2**32]
 
 
 def paragraphs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,15 +69,23 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lanes, strong, count & _COUNT
 
 
-def encode(lanes: np.ndarray, strong: np.ndarray, count: np.ndarray) -> list[str]:
-    """Hexadecimal text: lanes of 4 digits, strong entries of 16, the count of 8."""
-    rows = np.concatenate((lanes.astype(np.uint16).astype(">u2").view(np.uint8), strong.astype(">u8").view(np.uint8),
+def encode(lanes: np.ndarray, strong: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Fingerprints: lanes of 4 bytes, strong entries of 8, the count of 4; as text, in hexadecimal digits."""
+    rows = np.concatenate((lanes.astype(np.uint32).astype(">u4").view(np.uint8).reshape(-1, 4 * LANES),
+                           strong.astype(">u8").view(np.uint8).reshape(-1, 8 * STRONG),
                            count.astype(">u4").view(np.uint8).reshape(-1, 4)), axis=1)
-    return [r.tobytes().hex() for r in rows]
+    return [r.tobytes() for r in rows]
+
+
+def decode(prints: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `encode` was given, lanes with their sign."""
+    rows = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), 4 * LANES + 8 * STRONG + 4)
+    lanes, strong, count = (np.ascontiguousarray(x) for x in np.split(rows, (4 * LANES, 4 * LANES + 8 * STRONG), axis=1))
+    return lanes.view(">i4").astype(np.int64), strong.view(">u8").astype(np.uint64), count.view(">u4").astype(np.uint64).ravel()
 
 
 def likeness(a, b) -> np.ndarray:
-    """0 to 1 for each pair of vectors: 1 for equal ones, and for two empty texts."""
+    """0 to 1 for each pair of decoded fingerprints: 1 for equal ones, and for two empty texts."""
     x, y = (v[0].astype(np.float64) for v in (a, b))
     square = (x * x + y * y).sum(axis=1)
     out = np.clip(2 * (x * y).sum(axis=1) / np.maximum(square, 1), 0, 1)
@@ -117,7 +125,7 @@ def deleted(fingerprint: Column, less: Column) -> Column:
 def _print(batches):
     for whole in batches:
         for batch in slices(whole, "text", 1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encode(*vectors(batch.column("text"))), pa.string())],
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encode(*vectors(batch.column("text"))), pa.binary())],
                                              names=["doc_id", "fingerprint"])
 
 
@@ -127,24 +135,25 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     A null text is empty; empty texts have the fingerprint zero. One pass, no shuffle.
     """
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_print, "doc_id long, fingerprint string")
+    return slim.mapInArrow(_print, "doc_id long, fingerprint binary").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"))
 
 
-_ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compare(ids: list, texts: list[str], following: list[str]) -> dict:
     half = [len(t) // 2 for t in texts]
     edited = [t[: len(t) - k] + f[:k] for t, k, f in zip(texts, half, following)]
-    own, changed, after = (vectors(pa.array(x, pa.string())) for x in (texts, edited, following))
+    prints = [encode(*vectors(pa.array(x, pa.string()))) for x in (texts, edited, following)]
+    own, changed, after = map(decode, prints)
     return {"doc_id": ids, "n_chars": [len(t) for t in texts],
             "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
-            "fingerprint": encode(*own), "edited_fingerprint": encode(*changed),
+            "fingerprint": prints[0], "edited_fingerprint": prints[1],
             "near_edited": likeness(own, changed), "near_next": likeness(own, after)}
 
 
-_FIELDS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-                     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+_FIELDS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()),
+                     ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
                      ("part", pa.int64()), ("first_text", pa.string()), ("last_text", pa.string()), ("last_id", pa.int64())])
 
 
@@ -178,6 +187,8 @@ def _borders(batches):
 def edit_probe(documents: DataFrame) -> DataFrame:
     """Fingerprints of all documents beside those of an edited text and of the next document.
 
+    Likeness is that of the fingerprints as they are returned.
+
     documents: doc_id, text; other columns are ignored. The next document is the next by
     descending doc_id (missing ids last, equal ids by text); after the last comes the first. In
     the edited text the last floor(n_chars / 2) code points are replaced by as many of the next
@@ -197,4 +208,6 @@ def edit_probe(documents: DataFrame) -> DataFrame:
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     following = F.coalesce(F.lead("first_text").over(line), F.first("first_text").over(whole))
     borders = edge.select("last_id", "last_text", following.alias("next_text"))
-    return out.where("part IS NULL").select(*names).union(borders.mapInArrow(_borders, _ROW))
+    rows = out.where("part IS NULL").select(*names).union(borders.mapInArrow(_borders, _ROW))
+    # the texts of fingerprints are twice as long as what was stored
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})

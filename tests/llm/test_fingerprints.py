@@ -60,11 +60,30 @@ def test_order_and_increments(spark, docs):
     assert (row["sum"], row.rest, row.none) == (p[1], p[3], p[5])
 
 
+def product(a, b):
+    """Likeness of two returned fingerprints, from their digits."""
+    x, y = ([int.from_bytes(bytes.fromhex(p[8 * i: 8 * i + 8]), "big", signed=True) for i in range(128)] for p in (a, b))
+    if a == b:
+        return 1.0
+    return min(max(2 * sum(map(int.__mul__, x, y)) / max(sum(v * v for v in x + y), 1), 0), 1 - 2.0**-20)
+
+
+def test_likeness_can_be_recomputed_from_the_returned_fingerprints(spark, docs):
+    rng = random.Random(3)
+    rows = [(i, "\n".join(" ".join(f"w{rng.randrange(40)}" for _ in range(6)) for _ in range(rng.randrange(30)))) for i in range(40)]
+    rows += [(40, "w " * 4000), (41, "w " * 70000), (42, "line\n" * 60000), (43, "line\n" * 70000), (44, None), (45, "")]
+    got = sorted(edit_probe(docs(*rows)).collect(), key=lambda r: -r.doc_id)
+    for r, after in zip(got, got[1:] + got[:1]):
+        assert abs(r.near_edited - product(r.fingerprint, r.edited_fingerprint)) < 1e-9
+        assert abs(r.near_next - product(r.fingerprint, after.fingerprint)) < 1e-9
+    repeats = {r.doc_id: r.near_next for r in got}
+    assert 0.98 < repeats[43] < 1 and repeats[41] < 0.2
+
+
 def test_likeness_of_very_repetitive_texts():
     import pyarrow as pa
 
-    from tallyframe.llm.fingerprints import encode, likeness, vectors
-    rows = [vectors(pa.array(["line\n" * n])) for n in (60000, 30000, 65536)]
+    from tallyframe.llm.fingerprints import decode, encode, likeness, vectors
+    rows = [decode(encode(*vectors(pa.array(["line\n" * n])))) for n in (60000, 30000, 65536)]
     assert abs(likeness(rows[0], rows[1])[0] - 0.8) < 1e-9
     assert likeness(rows[2], rows[0])[0] > 0.99
-    assert int(encode(*rows[0])[0][:4], 16) in (60000 % 2**16, -60000 % 2**16)  # fingerprints are modulo 2 ** 16 still
