@@ -2,10 +2,10 @@
 
 The kernel of two strings sums, over all character triples that both hold in order, the product
 of their weights: DECAY to the power of the stretch a triple takes, up to SPAN characters. Other
-characters between the three are skipped, so that gaps and inserted characters lower a value
-but don't destroy it. Look-alike digits count as letters, marks only as gaps.
+letters between the three are skipped, so that inserted characters lower a value but don't
+destroy it. Look-alike digits count as letters; marks and blanks inside a unit count for nothing.
 
-Units are words, and runs of one- or two-letter words taken together. Landmarks are units of the
+Units are words, and runs of words of up to two letters, or of none, taken together. Landmarks are units of the
 labelled training texts that tell toxic ones from others, chosen unlike each other. A sentence's
 similarity to a landmark is that of its nearest unit, normalised; the Nystroem map, the inverse
 root of the landmarks' kernel matrix, makes a feature vector of it, and a linear support vector
@@ -58,7 +58,7 @@ def _triples(cls: np.ndarray, unit: np.ndarray):
         if n <= 0:
             continue
         a, b, c = cls[:n], cls[j: j + n], cls[k:]
-        place = np.flatnonzero((a > 0) & (b > 0) & (c > 0) & (unit[:n] == unit[k:]))
+        place = np.flatnonzero(unit[:n] == unit[k:])
         yield place, a[place] << 10 | b[place] << 5 | c[place], np.float32(DECAY ** (k + 1))
 
 
@@ -75,9 +75,15 @@ def _profiles(cls: np.ndarray, unit: np.ndarray, n: int):
     return owner, key & (_CODES - 1), value, norm
 
 
+def _letters(cls: np.ndarray, unit: np.ndarray):
+    """Without gap marks, however many stand between the letters of a unit."""
+    keep = cls > 0
+    return cls[keep], unit[keep]
+
+
 def _as_units(texts: list[bytes]):
     cls = _CLASS[np.frombuffer(b"".join(texts), np.uint8)]
-    return cls, np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return _letters(cls, np.repeat(np.arange(len(texts)), [len(t) for t in texts]))
 
 
 def _dense(texts: list[bytes]) -> np.ndarray:
@@ -91,7 +97,7 @@ def _dense(texts: list[bytes]) -> np.ndarray:
 def units(buf: np.ndarray, off: np.ndarray):
     """Hash, start, end, document and sentence of every unit.
 
-    Sentences end at line ends and behind '.', '!' and '?'. Words of over _UNIT_BYTES bytes are
+    Sentences end at line ends and behind '!', '?' and a '.' after two letters or more. Words of over _UNIT_BYTES bytes are
     cut into stretches that overlap by half, so that their middle is always seen whole.
     """
     h, start, end, doc = words(buf, off)
@@ -99,12 +105,14 @@ def units(buf: np.ndarray, off: np.ndarray):
         return h, start, end, doc, doc
     lines = np.concatenate(([0], np.cumsum(buf == 10)))
     final = buf[end - 1]
+    letters = np.concatenate(([0], np.cumsum(_CLASS[buf] > 0)))
+    letters = letters[end] - letters[start]
     stop = np.zeros(len(h), bool)
-    stop[1:] = ((final[:-1] == 46) | (final[:-1] == 33) | (final[:-1] == 63) | (lines[start[1:]] > lines[end[:-1]])
+    stop[1:] = ((final[:-1] == 46) & (letters[:-1] > 1) | (final[:-1] == 33) | (final[:-1] == 63) | (lines[start[1:]] > lines[end[:-1]])
                 | (doc[1:] != doc[:-1]))
     sentence = np.cumsum(stop)
     parts = [(h, start, end, doc, sentence)]
-    short = (end - start) <= 2
+    short = letters <= 2
     # a run of short words stays within its sentence
     begins, ends = short.copy(), short.copy()
     begins[1:] &= ~short[:-1] | stop[1:]
@@ -155,6 +163,7 @@ class Model:
         size = end[first] - start[first]
         unit = np.repeat(np.arange(len(first)), size)
         cls = _CLASS[buf[np.repeat(start[first] - (np.cumsum(size) - size), size) + np.arange(len(unit))]]
+        cls, unit = _letters(cls, unit)
         # an upper bound of the similarity, from the landmarks' largest weight of each triple
         bound, square = np.zeros(len(first)), np.zeros(len(first))
         for place, code, weight in _triples(cls, unit):

@@ -16,9 +16,9 @@ INSULTS = ["grumblefex", "snotwick", "flarkmoudel"]
 def kernel(a: str, b: str) -> float:
     """The triples of two words by plain loops, normalised."""
     def triples(w):
-        out = {}
+        w, out = "".join(c for c in w if c.isalpha()), {}
         for i, j, k in combinations(range(len(w)), 3):
-            if k - i < SPAN and (w[i] + w[j] + w[k]).isalpha():
+            if k - i < SPAN:
                 out[w[i], w[j], w[k]] = out.get((w[i], w[j], w[k]), 0) + DECAY ** (k - i + 1)
         return out
     x, y = triples(a), triples(b)
@@ -29,13 +29,13 @@ def kernel(a: str, b: str) -> float:
 def test_kernel_is_that_of_the_plain_loops():
     landmarks = [b"idiot", b"grumblefex", b"banana"]
     model = Model(landmarks, _dense(landmarks))
-    for word in ["idiot", "i-d-i-o-t", "idxiot", "banana", "bananas", "grumxblefex", "nothing", "ab", "aaaaaa"]:
+    for word in ["idiot", "i-d-i-o-t", "i---d.i*o**t", "i -- d . i  o t", "idxiot", "banana", "bananas", "grumxblefex", "nothing", "ab", "aaaaaa"]:
         doc, _, sim = model.similarities(pa.array([word]))
         want = np.array([kernel(word, m.decode()) for m in landmarks])
         want[want < FLOOR] = 0
         got = sim[0] if len(doc) else np.zeros(3)
         assert np.allclose(got, want, atol=1e-4), word
-    assert kernel("i-d-i-o-t", "idiot") > FLOOR and kernel("idxiot", "idiot") > FLOOR
+    assert kernel("i-d--i-o-t", "idiot") > 0.999 and kernel("idxiot", "idiot") > FLOOR
 
 
 @pytest.fixture(scope="module")
@@ -110,3 +110,12 @@ def test_spaced_insults_between_short_words_of_neighbours():
             assert model.margins(pa.array([before, spaced, after]))[0][1] == alone, (before, after)
     for text in ("y o u i d i o t! I am here", "so it is\ni d i o t", "is it so? i d i o t\nI am"):
         assert model.margins(pa.array([text]))[0][0] > model.bias, text
+
+
+def test_marks_and_blanks_between_letters_change_no_decision(spark, corpus, docs):
+    documents, labels, _ = corpus
+    gaps = ["", "-", "--", "---", ".", " . ", " ", "  ", "   ", "*_*"]
+    forms = {5000 + 100 * k + i: gap.join(w) for k, w in enumerate(INSULTS) for i, gap in enumerate(gaps)}
+    texts = [(d, f"Riner soptamo {w} and that is all") for d, w in forms.items()]
+    got = {r.doc_id: r for r in toxicity(documents.withColumnRenamed("score", "bucket").union(docs(*texts)), labels).collect()}
+    assert {d: got[d].predicted for d in forms} == dict.fromkeys(forms, 1)
