@@ -150,10 +150,12 @@ def mixed(documents: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     """The documents of the mix, each as often as it is taken, shard by shard in the shards' order.
 
     Written to files, their names and rows have that order: `with_shards(..., kept=True)` keeps it.
+    A shard spans as many ranges as the session's shuffles have partitions for it.
     """
+    ranges = max(shards, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = documents.withColumn("__row", F.struct("doc_id", F.xxhash64(*documents.columns).alias("h")))
     _, draws = mixture(keyed, shards, seed, keys=("__row",))
     # rows that are equal in every column have one key and are interchangeable
     out = keyed.dropDuplicates(["__row"]).join(draws.select("__row", "shard", "place"), "__row")
-    return (out.repartitionByRange(shards, "shard", "place").sortWithinPartitions("shard", "place", "__row")
+    return (out.repartitionByRange(ranges, "shard", "place").sortWithinPartitions("shard", "place", "__row")
             .select(*[out[c] for c in documents.columns]))

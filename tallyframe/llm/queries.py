@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import sha2
+from pyspark.sql.functions import get, lit, sha2
 
 from ..session import configure
 
@@ -111,10 +111,11 @@ def _(spark, folder):
 
 @register("op7_splitting_tree_mix")
 def _(spark, folder):
-    """How often a mix of 150 % of all words takes each document."""
+    """How often a mix of 150 % of all words takes each document, and the shards that the tree deals it to."""
     from .mixing import mixture
     plan, _ = mixture(table(spark, folder, "documents"))
-    return plan.select("doc_id", "source", "size", "source_size", "target", "taken")
+    dealt = [get("dealt", lit(k)).alias(name) for k, name in ((0, "first_shard"), (1, "second_shard"))]
+    return plan.select("doc_id", "source", "size", "source_size", "target", "taken", *dealt)
 
 
 _CAPITALS = "".join(map(chr, range(0xC0, 0xDF)))
