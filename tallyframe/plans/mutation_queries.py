@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import capture, mutate
+from ..operators.filters import scope_to_space
 from ..schemas import ACCOUNT_CHILDREN, KEYS, SPACE_CHILDREN, TABLES
-from ..session import scratch_dir
-from ..sources import space_files
+from ..session import scratch_dir, settle
+from ..sources import keyed_files, space_files
 from ..sources.given import GivenLedger
 from .catalog import register
 from .oracle import keys_sql, ledger_sql
@@ -31,23 +32,39 @@ def _slim(led: GivenLedger) -> DataFrame:
 
 
 # ---- generic forms ------------------------------------------------------------------
-@register("upsert", ledger_sql("""
+_UPSERTED = ledger_sql("""
     SELECT coalesce(b.month, s.month) AS month, coalesce(b.account_id, s.account_id) AS account_id,
            coalesce(b.balance, s.balance) AS balance
     FROM account_summaries s FULL JOIN batch b ON b.account_id = s.account_id AND b.month = s.month""", """
 batch AS (
   SELECT substr(value_date, 1, 7) AS month, account_id, amount AS balance FROM base_transactions
   WHERE approved QUALIFY row_number() OVER (PARTITION BY account_id, substr(value_date, 1, 7)
-    ORDER BY value_date DESC, o_orderkey DESC) = 1)"""))
-def _(led: GivenLedger) -> DataFrame:
-    """Summaries overwritten by the last approved amount of the month."""
-    batch = led.transactions(text=False, balance=False).where("approved").select(
+    ORDER BY value_date DESC, o_orderkey DESC) = 1)""")
+
+
+def _month_values(led: GivenLedger) -> DataFrame:
+    return led.transactions(text=False, balance=False).where("approved").select(
         F.substring("value_date", 1, 7).alias("month"), "account_id", F.col("amount").alias("balance"),
         "value_date", F.col("reference").cast("bigint").alias("key"))
-    return mutate.upsert(led.account_summaries, batch, ["account_id", "month"],
+
+
+@register("upsert", _UPSERTED)
+def _(led: GivenLedger) -> DataFrame:
+    """Summaries overwritten by the last approved amount of the month."""
+    return mutate.upsert(led.account_summaries, _month_values(led), ["account_id", "month"],
                          [F.col("value_date"), F.col("key")])
 
 
+@register("upsert_stored", _UPSERTED)
+def _(led: GivenLedger) -> DataFrame:
+    """The same into a stored table: files of the batch's key ranges are written anew, grown ones in parts."""
+    keys = ["account_id", "month"]
+    batch = mutate.last_per_key(_month_values(led), keys, [F.col("value_date"), F.col("key")]).select(*led.account_summaries.columns)
+    root, batch = _stored(led, led.account_summaries, keys), settle(batch, "batch")
+    keyed_files.edit_table(led.spark, root, batch, lambda t: mutate.upsert(t, batch, keys), inserts=True)
+    return keyed_files.read_table(led.spark, root)
+
+
 @register("insert_if_absent", ledger_sql("""
     SELECT id, name FROM users
     UNION ALL SELECT 'u' || o_orderkey, 'order ' || o_orderkey FROM orders
@@ -87,14 +104,12 @@ def _(led: GivenLedger) -> DataFrame:
 
 
 # ---- transactions -------------------------------------------------------------------
+# an order's space is its customer's; the whole table with its texts is not needed for that
 _REQUESTS = """
-requests AS (
-  SELECT 's' || (o_orderkey % 5) AS space_id, 't' || o_orderkey AS id, o_orderkey % 2 = 0 AS approved,
-         CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'Leisure' END AS new_category
-  FROM orders WHERE o_orderkey % 3 = 0),
 owned AS MATERIALIZED (
-  SELECT r.* FROM requests r JOIN base_transactions t ON t.id = r.id
-  JOIN accounts a ON a.id = t.account_id AND a.space_id = r.space_id)"""
+  SELECT 's' || n_regionkey AS space_id, 't' || o_orderkey AS id, o_orderkey % 2 = 0 AS approved,
+         CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'Leisure' END AS new_category
+  FROM orders JOIN customers ON c_custkey = o_custkey WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 = n_regionkey)"""
 
 
 def _requests(led: GivenLedger) -> DataFrame:
@@ -105,22 +120,48 @@ def _requests(led: GivenLedger) -> DataFrame:
         F.when(key % 4 != 0, "Leisure").alias("category"))
 
 
-@register("bulk_approve", ledger_sql("""
+_APPROVED = ledger_sql("""
     SELECT t.id, t.amount, coalesce(o.approved, t.approved) AS approved, t.note, t.category, t.account_id
-    FROM base_transactions t LEFT JOIN owned o ON o.id = t.id""", _REQUESTS))
+    FROM base_transactions t LEFT JOIN owned o ON o.id = t.id""", _REQUESTS)
+_CATEGORIZED = ledger_sql("""
+    SELECT t.id, t.amount, t.approved, t.note,
+           CASE WHEN o.id IS NULL THEN t.category ELSE o.new_category END AS category, t.account_id
+    FROM base_transactions t LEFT JOIN owned o ON o.id = t.id""", _REQUESTS)
+
+
+@register("bulk_approve", _APPROVED)
 def _(led: GivenLedger) -> DataFrame:
     return mutate.bulk_approve(_slim(led), led.accounts, _requests(led).select("space_id", "id", "approved"))
 
 
-@register("bulk_categorize", ledger_sql("""
-    SELECT t.id, t.amount, t.approved, t.note,
-           CASE WHEN o.id IS NULL THEN t.category ELSE o.new_category END AS category, t.account_id
-    FROM base_transactions t LEFT JOIN owned o ON o.id = t.id""", _REQUESTS))
+@register("bulk_categorize", _CATEGORIZED)
 def _(led: GivenLedger) -> DataFrame:
     return mutate.bulk_categorize(
         _slim(led), led.accounts, _requests(led).select("space_id", "id", "category"))
 
 
+def _stored(led: GivenLedger, frame: DataFrame, keys: list[str]) -> str:
+    """A frame as a table of keyed files; small ones, so that also small data has several."""
+    root = scratch_dir(led.spark, "keyed")
+    keyed_files.create_table(led.spark, root, frame, keys, file_rows=4000)
+    return root
+
+
+@register("bulk_approve_stored", _APPROVED)
+def _(led: GivenLedger) -> DataFrame:
+    """The same on a stored table, of which only the files with requested ids are written anew."""
+    root, requests = _stored(led, _slim(led), ["id"]), _requests(led).select("space_id", "id", "approved")
+    keyed_files.edit_table(led.spark, root, requests, lambda t: mutate.bulk_approve(t, led.accounts, requests))
+    return keyed_files.read_table(led.spark, root)
+
+
+@register("bulk_categorize_stored", _CATEGORIZED)
+def _(led: GivenLedger) -> DataFrame:
+    root, requests = _stored(led, _slim(led), ["id"]), _requests(led).select("space_id", "id", "category")
+    keyed_files.edit_table(led.spark, root, requests, lambda t: mutate.bulk_categorize(t, led.accounts, requests))
+    return keyed_files.read_table(led.spark, root)
+
+
 @register("bulk_changed_counts", ledger_sql(
     "SELECT space_id, count(*) AS changed FROM owned GROUP BY 1", _REQUESTS))
 def _(led: GivenLedger) -> DataFrame:
@@ -161,15 +202,36 @@ def _category_tables(led: GivenLedger) -> dict[str, DataFrame]:
     return {"categories": led.categories, "transactions": _slim(led), "accounts": led.accounts}
 
 
-@register("rename_category", ledger_sql("""
+_RENAMED = ledger_sql("""
     SELECT t.id, t.amount, t.approved, t.note,
            CASE WHEN t.category = 'Transport' AND a.space_id IN ('s1', 's3') THEN 'Travel'
                 ELSE t.category END AS category, t.account_id
-    FROM transactions t JOIN accounts a ON a.id = t.account_id"""))
-def _(led: GivenLedger) -> DataFrame:
-    renames = led.categories.where("name = 'Transport' and space_id in ('s1', 's3')").select(
+    FROM transactions t JOIN accounts a ON a.id = t.account_id""")
+
+
+def _renames(led: GivenLedger) -> DataFrame:
+    return led.categories.where("name = 'Transport' and space_id in ('s1', 's3')").select(
         "id", F.lit("Travel").alias("name"), F.lit("#000000").alias("color"))
-    return mutate.rename_categories(_category_tables(led), renames)["transactions"]
+
+
+@register("rename_category", _RENAMED)
+def _(led: GivenLedger) -> DataFrame:
+    return mutate.rename_categories(_category_tables(led), _renames(led))["transactions"]
+
+
+@register("rename_category_stored", _RENAMED)
+def _(led: GivenLedger) -> DataFrame:
+    """The same on a stored table: three columns of it name the rows, and their files are written anew."""
+    root = _stored(led, _slim(led), ["id"])
+    moved = led.categories.join(_renames(led).select("id"), "id").select("space_id", F.col("name").alias("category"))
+    slim = keyed_files.read_table(led.spark, root).select("id", "account_id", "category")
+    touched = scope_to_space(slim, led.accounts).join(moved, ["space_id", "category"], "left_semi").select("id")
+
+    def change(rows: DataFrame) -> DataFrame:
+        return mutate.rename_categories({**_category_tables(led), "transactions": rows}, _renames(led))["transactions"]
+
+    keyed_files.edit_table(led.spark, root, touched, change)
+    return keyed_files.read_table(led.spark, root)
 
 
 @register("renamed_categories", ledger_sql("""
