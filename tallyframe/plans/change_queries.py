@@ -216,7 +216,7 @@ _CLOCK = ("'2024-01-01T' || lpad(CAST((seq % 86400) // 3600 AS VARCHAR), 2, '0')
           "lpad(CAST((seq % 3600) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(seq % 60 AS VARCHAR), 2, '0') || 'Z'")
 
 
-def _conflict_sql(seconds: int, changed_at: str = "changed_at") -> str:
+def conflict_sql(seconds: int, changed_at: str = "changed_at") -> str:
     return ledger_sql(f"""
     SELECT space_id, table_name, row_id, seq, field, local_value, remote_value, local_changed_at, remote_changed_at
     FROM (
@@ -249,7 +249,7 @@ def _conflicts(led: GivenLedger, log: DataFrame, tolerance: int | None) -> DataF
     return replicate.detect_conflicts(incoming, rows, stored, tolerance)
 
 
-@register("detect_conflicts", _conflict_sql(60, _CLOCK))
+@register("detect_conflicts", conflict_sql(60, _CLOCK))
 def _(led: GivenLedger) -> DataFrame:
     """One device's edits against what the others wrote, 60 seconds apart at most.
 
@@ -260,12 +260,12 @@ def _(led: GivenLedger) -> DataFrame:
     return _conflicts(led, led.change_log.withColumn("changed_at", at), None)
 
 
-@register("detect_conflicts_within_day", _conflict_sql(86400))
+@register("detect_conflicts_within_day", conflict_sql(86400))
 def _(led: GivenLedger) -> DataFrame:
     return _conflicts(led, led.change_log, 86400)
 
 
-@register("record_conflicts", ledger_sql("SELECT count(*) AS conflicts, count(*) AS ids FROM (" + _conflict_sql(86400) + ")"))
+@register("record_conflicts", ledger_sql("SELECT count(*) AS conflicts, count(*) AS ids FROM (" + conflict_sql(86400) + ")"))
 def _(led: GivenLedger) -> DataFrame:
     """Recorded twice: the second time adds nothing."""
     found = _conflicts(led, led.change_log, 86400)

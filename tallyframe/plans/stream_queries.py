@@ -12,7 +12,7 @@ from ..session import scratch_dir, settle
 from ..sources.given import GivenLedger, change_rows
 from ..streaming import bursts, imports, replication, sinks
 from .catalog import register
-from .change_queries import _PASSES
+from .change_queries import conflict_sql
 from .oracle import ledger_sql
 from .series_queries import SPEND
 
@@ -47,10 +47,9 @@ def _events(led: GivenLedger) -> DataFrame:
     SELECT row_id, event_id % 2 = 1, new_note, new_category, new_amount FROM decoded_log
     WHERE operation <> 'delete' AND seq IN (SELECT max(seq) FROM decoded_log GROUP BY row_id)"""))
 def _(led: GivenLedger) -> DataFrame:
-    root = scratch_dir(led.spark, "apply")
-    base = {"transactions": led.transactions()}
-    stored = led.change_log.where("device_id = 'd2'")
-    replication.start_apply(_events(led), root, base, stored).awaitTermination()
+    """The table after the stream: runs of changes over a base into which the older ones are folded."""
+    root, base = scratch_dir(led.spark, "apply"), {"transactions": led.transactions()}
+    replication.start_apply(_events(led), root, base, led.change_log, fan=2).awaitTermination()
     return replication.current_tables(led.spark, root, base)["transactions"].select(
         "id", "approved", "note", "category", "amount")
 
@@ -59,12 +58,40 @@ def _(led: GivenLedger) -> DataFrame:
     SELECT space_id, device_id AS peer_device_id, max(seq) AS last_seq FROM change_log GROUP BY 1, 2"""))
 def _(led: GivenLedger) -> DataFrame:
     root = scratch_dir(led.spark, "apply")
-    base = {"transactions": led.transactions(text=False)
-            .withColumn("text", F.lit(""))}
+    base = {"transactions": led.transactions(text=False, balance=False).withColumns({"text": F.lit(""), "balance": F.lit(0).cast("long")})}
     replication.start_apply(_events(led), root, base, led.change_log).awaitTermination()
     return replication.current_cursors(led.spark, root, led.sync_cursors)
 
 
+@register("stream_apply_conflicts", conflict_sql(86400))
+def _(led: GivenLedger) -> DataFrame:
+    """What the applied stream recorded: one device's edits, against all that the others have stored."""
+    root = scratch_dir(led.spark, "apply")
+    base = {"transactions": led.transactions(text=False, balance=False).withColumns({"text": F.lit(""), "balance": F.lit(0).cast("long")})}
+    own, others = F.col("device_id") == "d1", led.change_log.where("device_id <> 'd1'")
+    replication.start_apply(_events(led).where(own), root, base, others, tolerance=86400, fan=2).awaitTermination()
+    return replication.recorded_conflicts(led.spark, root).drop("batch_id")
+
+
+_SPOILT = F.col("seq") % 10
+
+
+@register("stream_apply_rejects", ledger_sql("""
+    SELECT id, CASE WHEN seq % 10 = 1 THEN 'unknown operation' WHEN seq % 10 = 2 THEN 'unknown table' WHEN operation = 'delete' THEN NULL
+                    WHEN seq % 10 = 3 THEN 'missing payload' WHEN seq % 10 = 4 THEN 'payload does not match the table' END AS reason
+    FROM change_log WHERE seq % 10 BETWEEN 1 AND 4 AND (seq % 10 <= 2 OR operation <> 'delete')"""))
+def _(led: GivenLedger) -> DataFrame:
+    """What the applied stream refused: four of ten changes are spoilt on the way."""
+    root = scratch_dir(led.spark, "apply")
+    spoilt = _events(led).withColumns({
+        "operation": F.when(_SPOILT == 1, "merge").otherwise(F.col("operation")),
+        "table_name": F.when(_SPOILT == 2, "wishes").otherwise(F.col("table_name")),
+        "payload": F.when(_SPOILT == 4, F.when(F.col("payload").isNotNull(), "{}")).when(_SPOILT != 3, F.col("payload"))})
+    base = {"transactions": led.transactions(text=False, balance=False).withColumns({"text": F.lit(""), "balance": F.lit(0).cast("long")})}
+    replication.start_apply(spoilt, root, base, led.change_log).awaitTermination()
+    return replication.rejected_changes(led.spark, root).select("id", "reason")
+
+
 @register("stream_conflicts", ledger_sql("""
     SELECT space_id, row_id, seq, field, local_value, remote_value, local_changed_at, remote_changed_at FROM (
       SELECT *, UNNEST([{'field': 'category', 'local_value': old_category, 'remote_value': new_category},

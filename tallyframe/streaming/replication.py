@@ -18,6 +18,8 @@ from ..operators.replicate import (
     advance_cursors, apply_changes, detect_conflicts, plan_delta_or_snapshot, validate_changes,
 )
 from ..schemas import CHANGE_LOG, CONFLICT_TOLERANCE_SECONDS, LONG, RETENTION_DAYS, TEXT
+from ..sources import keyed_files
+from . import fold
 from .sinks import read_batches, run_batches, write_batch
 
 _APPLIED = T.StructType([*CHANGE_LOG.fields, T.StructField("batch_id", LONG)])
@@ -28,16 +30,21 @@ CONFLICT_COLUMNS = ["space_id", "table_name", "row_id", "seq", "field", "local_v
 
 
 # ---- incremental apply --------------------------------------------------------------
-def committed_changes(spark: SparkSession, root: str) -> DataFrame:
-    """Applied changes of the micro-batches whose commit was written."""
-    done = read_batches(spark, root, "commits", _COMMIT).select("batch_id").distinct()
-    rows = read_batches(spark, root, "changes", _APPLIED)
-    return rows.join(done, "batch_id", "left_semi").withColumnRenamed("batch_id", "batch_no")
-
-
 def current_tables(spark: SparkSession, root: str, base: Tables) -> Tables:
-    """Base tables with every committed change laid over them."""
-    return apply_changes(base, committed_changes(spark, root))
+    """The tables as the committed batches left them: the folded base with the open runs over it.
+
+    Tables with rules of their own are taken from `base` and get all their committed changes.
+    """
+    state = fold.newest_state(spark, root)
+    runs = fold.open_changes(spark, root, state)
+    plain = {n: keyed_files.read_table(spark, f"{root}/base/{n}") for n in fold.PLAIN if n in base}
+    out = apply_changes(plain, runs)
+    others = {n: t for n, t in base.items() if n not in plain}
+    if others:
+        done = read_batches(spark, root, "commits", _COMMIT).select("batch_id").distinct()
+        rows = read_batches(spark, root, "runs/l0", _APPLIED).where(~F.col("table_name").isin(fold.PLAIN))
+        out = {**out, **apply_changes(others, rows.join(done, "batch_id", "left_semi").withColumnRenamed("batch_id", "batch_no"))}
+    return out
 
 
 def current_cursors(spark: SparkSession, root: str, cursors: DataFrame) -> DataFrame:
@@ -55,14 +62,15 @@ def recorded_conflicts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def start_apply(changes: DataFrame, root: str, base: Tables, local_log: DataFrame,
-                available_now: bool = True) -> StreamingQuery:
+                available_now: bool = True, tolerance: int | None = None, fan: int = fold.FAN) -> StreamingQuery:
     """Validate, compare, record and commit each micro-batch.
 
-    The tables are not rewritten per batch: accepted changes are appended, and
-    `current_tables` overlays them. Conflicts look only at the rows the batch touches. The
-    commit, holding the reached sequence per device, is written last; what a failed attempt
-    left behind has no commit and is overwritten by the retry.
+    The tables are not rewritten per batch: accepted changes are runs of a log-structured fold
+    (see `fold`), and a batch reads only the rows that it touches, from the base and the open
+    runs. The commit, holding the reached sequence per device, and the fold's state are written
+    last; what a failed attempt left behind is overwritten by the retry.
     """
+    fold.create_base(changes.sparkSession, root, base, local_log)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -70,22 +78,16 @@ def start_apply(changes: DataFrame, root: str, base: Tables, local_log: DataFram
         try:
             valid, rejects = validate_changes(rows)
             write_batch(rejects, root, "rejects", batch_id)
-            write_batch(valid, root, "changes", batch_id)
-            stored = spark.read.schema(CHANGE_LOG).parquet(f"{root}/changes/batch_id={batch_id}")
-            incoming = stored.withColumn("batch_no", F.lit(batch_id))
-            touched = incoming.select(F.col("row_id").alias("id")).distinct()
-            local = {"transactions": base["transactions"].join(touched, "id", "left_semi")}
-            # what earlier batches applied is in the log, under its authors
-            log = local_log.join(touched.withColumnRenamed("id", "row_id"), "row_id", "left_semi").select(*CHANGE_LOG.names)
-            if batch_id > 0:
-                earlier = committed_changes(spark, root).where(F.col("batch_no") < batch_id).join(
-                    touched.withColumnRenamed("id", "row_id"), "row_id", "left_semi")
-                local = apply_changes(local, earlier)
-                log = log.unionByName(earlier.select(*CHANGE_LOG.names))
-            found = detect_conflicts(incoming, local["transactions"], log)
-            write_batch(found.select(*CONFLICT_COLUMNS), root, "conflicts", batch_id)
+            state = fold.state_before(spark, root, batch_id)
+            incoming = valid.withColumn("batch_no", F.lit(batch_id))
+            if "transactions" in base:
+                touched = valid.where("table_name = 'transactions'").select(F.col("row_id").alias("id")).distinct()
+                local, log = fold.rows_before(spark, root, state, touched, "transactions")
+                found = detect_conflicts(incoming, local["transactions"], log, tolerance)
+                write_batch(found.select(*CONFLICT_COLUMNS), root, "conflicts", batch_id)
             reached = seq_bounds(rows).select("space_id", "device_id", "max_seq")
             write_batch(reached.coalesce(1), root, "commits", batch_id)
+            fold.advance(spark, root, batch_id, state, valid, fan)
         finally:
             rows.unpersist()
 

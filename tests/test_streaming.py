@@ -7,7 +7,8 @@ from helpers import rows
 from test_changes import change
 from tallyframe.operators import replicate
 from tallyframe.schemas import CHANGE_LOG
-from tallyframe.streaming import imports, replication, sinks
+from tallyframe.sources.versions import current_version
+from tallyframe.streaming import fold, imports, replication, sinks
 
 
 @pytest.fixture
@@ -40,10 +41,41 @@ def test_a_batch_without_commit_is_invisible(spark, table, deliver, tmp_path):
     root = str(tmp_path / "state")
     base = {"transactions": table("transactions")}
     replication.start_apply(deliver([change(1)]), root, base, table("change_log")).awaitTermination()
-    sinks.write_batch(table("change_log", change(2, row="ghost")), root, "changes", 7)
+    table("change_log", change(2, row="ghost")).withColumn("batch_no", F.lit(7)).write.parquet(f"{root}/runs/l0/batch_id=7")
     assert rows(replication.current_tables(spark, root, base)["transactions"], "id") == [("t1",)]
 
 
+def test_runs_are_merged_and_folded_level_by_level(spark, table, deliver, tmp_path):
+    """Seven batches in runs of two: state and conflicts are those of one edit after the other."""
+    at = "2024-01-01T00:00:{:02d}Z"
+    batches = [[change(n, row=f"t{n % 3}", category=f"c{n}", device="ab"[n % 2], at=at.format(n))] for n in range(1, 6)]
+    batches[1].append(change(50, row="t9", op="delete", device="a", at=at.format(2)))
+    batches += [[change(6, row="t0", op="delete", device="a", at=at.format(6))], [change(7, row="t0", category="again", device="b", at=at.format(7))]]
+    base = {"transactions": table("transactions", {"id": "t0", "category": "Z"}, {"id": "t9"}, {"id": "keep", "category": "K"})}
+    root, log = str(tmp_path / "state"), table("change_log", change(90, row="t0", device="c", at=at.format(0)))
+    replication.start_apply(deliver(*batches), root, base, log, fan=2).awaitTermination()
+    state = replication.current_tables(spark, root, base)["transactions"]
+    assert rows(state, "id", "category") == [("keep", "K"), ("t0", "again"), ("t1", "c4"), ("t2", "c5")]
+    # an edit meets the value that the one before it left, whether that is in the base, a merged run or an open one
+    found = rows(replication.recorded_conflicts(spark, root), "seq", "local_value", "remote_value")
+    assert found == [(3, "Z", "c3"), (4, "c1", "c4"), (5, "c2", "c5")]
+    # seven batches are 111 in binary: four are in the base, which was written anew once, two are merged, one is open
+    assert [level for level, _ in fold.newest_state(spark, root)] == [1, 0] and fold.state_before(spark, root, 4) == []
+    assert current_version(spark, f"{root}/base/transactions", "index") == 2
+
+
+def test_deleted_accounts_take_stored_rows_along_in_a_fold(spark, table, deliver, tmp_path):
+    base = {"transactions": table("transactions", {"id": "t1", "account_id": "a1"}, {"id": "t2", "account_id": "a2"}),
+            "accounts": table("accounts", {"id": "a1", "space_id": "s1"}, {"id": "a2", "space_id": "s1"})}
+    gone = {**change(1, row="a1", op="delete"), "table_name": "accounts"}
+    root = str(tmp_path / "state")
+    stream = deliver([gone], [change(2, row="t3")], [change(3, row="t4")], [change(4, row="t5")])
+    replication.start_apply(stream, root, base, table("change_log"), fan=2).awaitTermination()
+    tables = replication.current_tables(spark, root, base)
+    assert rows(tables["accounts"], "id") == [("a2",)]
+    assert rows(tables["transactions"], "id") == [("t2",), ("t3",), ("t4",), ("t5",)]
+
+
 def test_stream_conflicts_keep_state_between_batches(spark, deliver, tmp_path):
     at = "2024-01-01T00:0{}:00Z"
     stream = deliver(
