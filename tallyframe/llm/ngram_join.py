@@ -361,9 +361,10 @@ def keep_one(documents: DataFrame, size: int = 5, threshold: float = 0.8) -> Dat
         F.min("component_id").alias("least"), F.max("component_id").alias("most"), F.count(F.lit(1)).alias("copies")), "labels")
     ids = keyed.select("__key", doc_id.alias("__id")).distinct()
     known = labels.where("least = most")  # else two different rows have one hash: both stay
-    first = known.join(ids, "__key").groupBy("least").agg(
+    # written, so that the join below is of plain shuffles, whose hot partitions are split
+    first = settle(known.join(ids, "__key").groupBy("least").agg(
         F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__key")).alias("f")).select(
-        F.col("least").alias("__component"), F.col("f.__key").alias("__first"))
+        F.col("least").alias("__component"), F.col("f.__key").alias("__first")), "firsts")
     fate = known.join(first, F.col("least") == F.col("__component")).select(
         "__key", (F.col("__key") != F.col("__first")).alias("__gone"), (F.col("copies") > 1).alias("__again"))
     fate = settle(fate.where("__gone OR __again"), "fates")
