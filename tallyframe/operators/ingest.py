@@ -168,6 +168,24 @@ _STATEMENTS = 64  # statements per Arrow batch that leaves a user transform
 Transform = Callable[[object, Callable[[str], None]], dict]
 
 
+def parse_statement(transform: Transform, file: str, content: object) -> dict:
+    """One statement's tagged record, with the lines that the transform logged; an exception is its `error`."""
+    logs: list[str] = []
+    row = {"file": file, "logs": logs}
+    try:
+        result = transform(content, logs.append)
+        if result["type"] not in ("checking", "savings", "investment"):
+            raise ValueError(f"unknown statement type {result['type']}")
+        row.update(kind=result["type"], account_id=result["account_id"])
+        if result["type"] == "investment":
+            row.update(month=result["month"], balance=int(result["balance"]))
+        else:
+            row["transactions"] = list(result["transactions"])
+    except Exception as problem:  # noqa: BLE001 - user code may raise anything
+        row["error"] = f"{type(problem).__name__}: {problem}"
+    return row
+
+
 def apply_user_parser(statements: DataFrame, transform: Transform, data: str = "text") -> DataFrame:
     """Run a user's `transform(data, log)` once per statement.
 
@@ -179,32 +197,25 @@ def apply_user_parser(statements: DataFrame, transform: Transform, data: str = "
 
     shape = to_arrow_schema(PARSE_RESULT)
 
-    def parse(file: str, content: object) -> dict:
-        logs: list[str] = []
-        row = {"file": file, "logs": logs}
-        try:
-            result = transform(content, logs.append)
-            if result["type"] not in ("checking", "savings", "investment"):
-                raise ValueError(f"unknown statement type {result['type']}")
-            row.update(kind=result["type"], account_id=result["account_id"])
-            if result["type"] == "investment":
-                row.update(month=result["month"], balance=int(result["balance"]))
-            else:
-                row["transactions"] = list(result["transactions"])
-        except Exception as problem:  # noqa: BLE001 - user code may raise anything
-            row["error"] = f"{type(problem).__name__}: {problem}"
-        return row
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, _STATEMENTS):
                 part = batch.slice(start, _STATEMENTS)
                 pairs = zip(part.column(0).to_pylist(), part.column(1).to_pylist())
-                yield pa.RecordBatch.from_pylist([parse(f, c) for f, c in pairs], schema=shape)
+                yield pa.RecordBatch.from_pylist([parse_statement(transform, f, c) for f, c in pairs], schema=shape)
 
     return statements.select("file", data).mapInArrow(run, PARSE_RESULT)
 
 
+def parser_logs(results: DataFrame) -> DataFrame:
+    """(file, line_no, line, error): what each statement's transform logged, in order, and its error.
+
+    A statement without a line has one row, with a null line, so that errors are never lost.
+    """
+    return results.select("file", "error", F.posexplode_outer("logs").alias("line_no", "line")).select(
+        "file", "line_no", "line", "error")
+
+
 def user_parsed_rows(results: DataFrame) -> DataFrame:
     """Transactions of checking and savings results, with the same ids as built-in parsing."""
     rows = results.where("kind in ('checking', 'savings')").select(

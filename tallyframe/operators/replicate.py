@@ -57,14 +57,21 @@ def advance_cursors(cursors: DataFrame, reached: DataFrame) -> DataFrame:
         "space_id", F.col("device_id").alias("peer_device_id"), F.col("max_seq").alias("last_seq")))
 
 
-def plan_delta_or_snapshot(log: DataFrame, requested: DataFrame, cursors: DataFrame) -> DataFrame:
-    """A peer whose cursor lies below the retained log needs a whole snapshot."""
-    state = get_cursors(requested, cursors).join(
-        seq_bounds(log, requested), ["space_id", "device_id"])
+def plan_from_bounds(bounds: DataFrame, cursors: DataFrame) -> DataFrame:
+    """bounds(space_id, device_id, min_seq, max_seq) of the retained log: what each peer needs.
+
+    A peer whose cursor lies below the retained log needs a whole snapshot.
+    """
+    state = get_cursors(bounds, cursors).join(bounds, ["space_id", "device_id"])
     behind = (F.col("last_seq") > 0) & (F.col("min_seq") > 0) & (F.col("last_seq") < F.col("min_seq"))
     return state.withColumn("mode", F.when(behind, "snapshot").otherwise("delta"))
 
 
+def plan_delta_or_snapshot(log: DataFrame, requested: DataFrame, cursors: DataFrame) -> DataFrame:
+    """The plan for the requested (space, device) pairs, from the retained log."""
+    return plan_from_bounds(seq_bounds(log, requested), cursors)
+
+
 # ---- validation ---------------------------------------------------------------------
 def validate_changes(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Changes fit to apply, and the others with a reason."""

@@ -265,16 +265,17 @@ def _(led: GivenLedger) -> DataFrame:
     return _conflicts(led, led.change_log, 86400)
 
 
-@register("record_conflicts", ledger_sql("SELECT count(*) AS conflicts, count(*) AS ids FROM (" + conflict_sql(86400) + ")"))
+@register("record_conflicts", """
+    SELECT DISTINCT md5(concat_ws('|', space_id, table_name, row_id, field, CAST(seq AS VARCHAR), remote_changed_at)) AS id,
+           space_id, table_name, row_id, field, local_value, remote_value, local_changed_at, remote_changed_at,
+           false AS resolved, '""" + AT + """' AS created_at FROM (""" + conflict_sql(86400) + ")")
 def _(led: GivenLedger) -> DataFrame:
     """Recorded twice: the second time adds nothing."""
-    found = _conflicts(led, led.change_log, 86400)
     from ..schemas import SYNC_CONFLICTS
 
+    found = _conflicts(led, led.change_log, 86400)
     empty = led.spark.createDataFrame([], SYNC_CONFLICTS)
-    once = replicate.record_conflicts(empty, found, AT)
-    twice = replicate.record_conflicts(once, found, AT)
-    return twice.agg(F.count(F.lit(1)).alias("conflicts"), F.countDistinct("id").alias("ids"))
+    return replicate.record_conflicts(replicate.record_conflicts(empty, found, AT), found, AT)
 
 
 @register("apply_changes", ledger_sql("""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import ingest
+from ..operators import ingest, parser_function
 from ..session import scratch_dir, settle
 from ..sources.given import GivenLedger
 from ..sources.statements import csv_cells, read_statement_csv, read_statement_text
@@ -205,6 +205,45 @@ def _(led: GivenLedger) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("amount"))
 
 
+_LOGS = """
+    SELECT CAST(doc_id AS VARCHAR) AS file, CAST(0 AS INT) AS line_no, n || ' lines' AS line,
+           CASE WHEN n = 0 THEN 'ValueError: empty statement' END AS error
+    FROM (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS n FROM documents)"""
+
+
+@register("parser_logs", _LOGS)
+def _(led: GivenLedger) -> DataFrame:
+    """Every line that a user's transform logs, with the statement's error."""
+    statements = led.read("documents").select(_t(F.col("doc_id")).alias("file"), "text")
+    return ingest.parser_logs(ingest.apply_user_parser(statements, line_transform))
+
+
+def _called(led: GivenLedger, query: str) -> DataFrame:
+    """A query over the given documents as the view `statements`, with the transform as a table function."""
+    parser_function.register_parser(led.spark, "parse_statements", line_transform)
+    led.read("documents").select(_t(F.col("doc_id")).alias("file"), "text", "lang").createOrReplaceTempView("statements")
+    return led.spark.sql(query)
+
+
+@register("parser_function_logs", _LOGS)
+def _(led: GivenLedger) -> DataFrame:
+    """The same lines from SQL, by the transform as a table function."""
+    return _called(led, "SELECT * FROM parse_statements(TABLE(statements), 'logs')")
+
+
+@register("parser_function", """
+    WITH lines AS (
+      SELECT doc_id, line FROM (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line FROM documents)
+      WHERE line <> '')
+    SELECT CAST(doc_id AS VARCHAR) AS file, 'acc-' || (count(*) % 7) AS account_id, count(*) AS rows,
+           CAST(sum(length(line)) AS BIGINT) AS amount FROM lines GROUP BY doc_id""")
+def _(led: GivenLedger) -> DataFrame:
+    """Transactions of a user's transform, called from SQL."""
+    return _called(led, """
+        SELECT file, account_id, count(*) AS rows, sum(amount) AS amount
+        FROM parse_statements(TABLE(SELECT file, text FROM statements), 'rows') GROUP BY file, account_id""")
+
+
 @register("preview_parse", """
     WITH lines AS (
       SELECT doc_id, line FROM (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line FROM documents)

@@ -180,6 +180,26 @@ def _(led: GivenLedger) -> DataFrame:
     return replication.kept_rows(led.spark, root).select(F.lit("kept").alias("what"), "id")
 
 
+_AHEAD = 1000  # sequence numbers that the authors' logs have already dropped
+
+
+@register("stream_snapshot_plans", ledger_sql(f"""
+    SELECT CAST(0 AS BIGINT) AS batch_id, b.space_id, b.device_id, c.last_seq % {2 * _AHEAD} AS last_seq, min_seq, max_seq, 'snapshot' AS mode
+    FROM bounds b JOIN sync_cursors c ON c.space_id = b.space_id AND c.peer_device_id = b.device_id
+    WHERE c.last_seq % {2 * _AHEAD} > 0 AND c.last_seq % {2 * _AHEAD} < min_seq""", f"""
+bounds AS (SELECT space_id, device_id, min(seq) + {_AHEAD} AS min_seq, max(seq) + {_AHEAD} AS max_seq FROM change_log GROUP BY 1, 2)"""))
+def _(led: GivenLedger) -> DataFrame:
+    """Who is behind what the stream retains: planned with the first of two equal deliveries, caught up by the second."""
+    root = scratch_dir(led.spark, "late")
+    events, path, files = led.read("events"), scratch_dir(led.spark, "deliveries"), int(led.spark.conf.get("spark.sql.shuffle.partitions"))
+    for _ in range(2):
+        events.repartition(files).write.mode("append").parquet(path)
+    stream = change_rows(led.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path))
+    cursors = led.sync_cursors.withColumn("last_seq", F.col("last_seq") % (2 * _AHEAD))
+    replication.start_late_rows(stream.withColumn("seq", F.col("seq") + _AHEAD), root, cursors).awaitTermination()
+    return replication.snapshot_plans(led.spark, root).withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
 _BURSTS = """
 gaps AS (
   SELECT 's' || (user_id % 3) AS space_id, date_trunc('second', ts) AS ts, event_id FROM events),

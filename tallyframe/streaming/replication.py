@@ -15,7 +15,7 @@ from ..functions.scalars import iso_epoch
 from ..operators.aggregates import seq_bounds
 from ..operators.mutate import Tables
 from ..operators.replicate import (
-    advance_cursors, apply_changes, detect_conflicts, plan_delta_or_snapshot, validate_changes,
+    advance_cursors, apply_changes, detect_conflicts, plan_from_bounds, validate_changes,
 )
 from ..schemas import CHANGE_LOG, CONFLICT_TOLERANCE_SECONDS, LONG, RETENTION_DAYS, TEXT
 from ..sources import keyed_files
@@ -23,6 +23,7 @@ from . import fold
 from .sinks import read_batches, run_batches, write_batch
 
 _APPLIED = T.StructType([*CHANGE_LOG.fields, T.StructField("batch_id", LONG)])
+_BOUNDS = "space_id string, device_id string, min_seq long, max_seq long"
 _COMMIT = "space_id string, device_id string, max_seq long, batch_id long"
 _REJECT = T.StructType([*CHANGE_LOG.fields, T.StructField("reason", TEXT), T.StructField("batch_id", LONG)])
 CONFLICT_COLUMNS = ["space_id", "table_name", "row_id", "seq", "field", "local_value", "remote_value",
@@ -194,22 +195,25 @@ def start_late_rows(changes: DataFrame, root: str, cursors: DataFrame, days: int
                     available_now: bool = True) -> StreamingQuery:
     """Keep timely rows; per micro-batch note the reached sequence and who needs a snapshot.
 
-    The plan looks at the bounds of everything kept so far and at the cursors as committed by
-    the batches before this one.
+    A commit carries the bounds of all that is kept so far, so a batch reads the commit before it
+    and none of the kept rows. The plan looks at those bounds and at the cursors as the batches
+    before this one left them.
     """
+    pair = ["space_id", "device_id"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark, rows = batch.sparkSession, batch.persist()
         try:
             write_batch(rows.drop("event_time"), root, "changes", batch_id)
-            reached = cursors
+            bounds, reached = seq_bounds(rows), cursors
             if batch_id > 0:
-                before = read_batches(spark, root, "commits", _COMMIT).where(F.col("batch_id") < batch_id)
-                reached = advance_cursors(cursors, before.drop("batch_id"))
-            retained = read_batches(spark, root, "changes", _APPLIED).where(F.col("batch_id") <= batch_id)
-            plan = plan_delta_or_snapshot(retained, retained, reached).where("mode = 'snapshot'")
+                before = spark.read.schema(_BOUNDS).parquet(f"{root}/commits/batch_id={batch_id - 1}")
+                reached = advance_cursors(cursors, before.select(*pair, "max_seq"))
+                bounds = before.unionByName(bounds.select(*before.columns)).groupBy(*pair).agg(
+                    F.min("min_seq").alias("min_seq"), F.max("max_seq").alias("max_seq"))
+            plan = plan_from_bounds(bounds, reached).where("mode = 'snapshot'")
             write_batch(plan, root, "snapshots", batch_id)
-            write_batch(seq_bounds(rows).select("space_id", "device_id", "max_seq"), root, "commits", batch_id)
+            write_batch(bounds.select(*pair, "min_seq", "max_seq").coalesce(1), root, "commits", batch_id)
         finally:
             rows.unpersist()
 
