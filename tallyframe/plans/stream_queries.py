@@ -112,7 +112,7 @@ paired AS (
 def _(led: GivenLedger) -> DataFrame:
     """Live conflicts within two hours, from per-row state."""
     root = scratch_dir(led.spark, "conflicts")
-    sinks.append_stream(replication.stream_conflicts(_events(led), 7200), root).awaitTermination()
+    replication.start_conflicts(_events(led), root, 7200).awaitTermination()
     return led.spark.read.parquet(f"{root}/rows")
 
 

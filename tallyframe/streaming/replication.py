@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.scalars import iso_epoch
 from ..operators.aggregates import seq_bounds
@@ -20,7 +20,8 @@ from ..operators.replicate import (
 from ..schemas import CHANGE_LOG, CONFLICT_TOLERANCE_SECONDS, LONG, RETENTION_DAYS, TEXT
 from ..sources import keyed_files
 from . import fold
-from .sinks import read_batches, run_batches, write_batch
+from .bursts import rocksdb
+from .sinks import append_stream, read_batches, run_batches, write_batch
 
 _APPLIED = T.StructType([*CHANGE_LOG.fields, T.StructField("batch_id", LONG)])
 _BOUNDS = "space_id string, device_id string, min_seq long, max_seq long"
@@ -96,79 +97,96 @@ def start_apply(changes: DataFrame, root: str, base: Tables, local_log: DataFram
 
 
 # ---- conflicts as a stateful operator ----------------------------------------------
-_STATE = ("present boolean, category string, note string, "
-          "first_device string, first_at string, first_seq long, "
-          "second_device string, second_at string, second_seq long")
+_STATE = ("present boolean, category string, note string, devices array<string>, times array<string>, seqs array<long>, "
+          "epochs array<long>")
 _EVENT = ["space_id", "row_id", "seq", "device_id", "operation", "category", "note", "changed_at", "epoch"]
 _FOUND = ("space_id string, row_id string, seq long, field string, local_value string, "
           "remote_value string, local_changed_at string, remote_changed_at string")
+_FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
 
 
-def conflict_step(state: tuple | None, change: dict, tolerance: int) -> tuple[tuple, list[dict]]:
-    """Advance one row's state by one change; returns the new state and found conflicts.
+def replay(state: tuple | None, rows: pd.DataFrame, tolerance: int) -> tuple[tuple, pd.DataFrame]:
+    """Take a row's changes, in the order of seq, through its state: the new state, and the conflicts.
 
-    The state is the row's current category and note and its two newest authors, enough to
-    know the newest entry by anyone else.
+    The state is the row's current category and note and the newest entries of its two newest
+    authors, enough to know the newest entry by anyone else. A change conflicts if the row was
+    there and another author's newest entry before it lies within the tolerance. Works on whole
+    columns, once for each author.
     """
-    present, category, note, d1, at1, s1, d2, at2, s2 = state or (False,) + (None,) * 8
-    author, at, seq = change["device_id"], change["changed_at"], change["seq"]
-    other_at = None
-    if d1 is not None:
-        other_at = at1 if d1 != author else at2
+    present, category, note, *kept = state or (False, None, None, [], [], [], [])
+    rows = rows.sort_values("seq", kind="stable").astype(object)
+    rows = rows.where(rows.notna(), None)
+    n, old = len(rows), len(kept[0])
+    device, at, seq, epoch = (np.array([*k, *rows[c]], object) for k, c in zip(kept, ("device_id", "changed_at", "seq", "epoch")))
+    # places of all entries in the order of (changed_at, seq), the state's first
+    rank = np.empty(old + n, np.int64)
+    rank[np.lexsort((seq.astype(np.int64), at.astype(str)))] = np.arange(old + n)
+    other = np.full(n, -1)
+    for author in pd.unique(device[old:]):
+        best = np.maximum.accumulate(np.where(device == author, -1, rank))
+        mine = np.flatnonzero(device[old:] == author)
+        earlier = old + mine - 1
+        other[mine] = np.where(earlier >= 0, best[np.maximum(earlier, 0)], -1)
+    entry = np.empty(old + n, np.int64)
+    entry[rank] = np.arange(old + n)
+    live = (rows["operation"] != "delete").to_numpy(bool)
+    was = np.r_[bool(present), live[:-1]]
+    moment = np.array([np.nan if e is None else e for e in epoch], float)
+    with np.errstate(invalid="ignore"):
+        near = (other >= 0) & (np.abs(moment[entry[other]] - moment[old:]) <= tolerance)
+    hit = np.flatnonzero(live & was & near)
     found = []
-    if change["operation"] != "delete":
-        if present and other_at is not None and _near(other_at, change, tolerance):
-            for field, local in (("category", category), ("note", note)):
-                if local != change[field]:
-                    found.append({
-                        "space_id": change["space_id"], "row_id": change["row_id"], "seq": seq,
-                        "field": field, "local_value": local, "remote_value": change[field],
-                        "local_changed_at": other_at, "remote_changed_at": at})
-        present, category, note = True, change["category"], change["note"]
-    else:
-        present, category, note = False, None, None
-    entry = (at, seq)
-    if d1 is None or author == d1:
-        if d1 is None or entry > (at1, s1):
-            d1, at1, s1 = author, at, seq
-    elif entry > (at1, s1):
-        d1, at1, s1, d2, at2, s2 = author, at, seq, d1, at1, s1
-    elif d2 is None or entry > (at2, s2):
-        d2, at2, s2 = author, at, seq
-    return (present, category, note, d1, at1, s1, d2, at2, s2), found
-
-
-def _near(other_at: str, change: dict, tolerance: int) -> bool:
-    if change["epoch"] is None or pd.isna(change["epoch"]):
-        return False
-    other = pd.to_datetime(other_at, format="%Y-%m-%dT%H:%M:%SZ", errors="coerce")
-    return not pd.isna(other) and abs(int(other.timestamp()) - int(change["epoch"])) <= tolerance
+    for field, before in (("category", category), ("note", note)):
+        values = np.array([before, *rows[field].where(live, None)], object)
+        own = hit[values[hit] != values[hit + 1]]
+        picked = rows.iloc[own]
+        found.append(pd.DataFrame({
+            "space_id": picked["space_id"], "row_id": picked["row_id"], "seq": picked["seq"], "field": field,
+            "local_value": values[own], "remote_value": values[own + 1], "local_changed_at": at[entry[other[own]]],
+            "remote_changed_at": picked["changed_at"]}, columns=_FOUND_NAMES, dtype=object))
+    newest = pd.DataFrame({"device": device, "rank": rank}).groupby("device", sort=False)["rank"].max().nlargest(2)
+    top = entry[newest.to_numpy()]
+    last = rows.iloc[-1]
+    state = (bool(live[-1]), last["category"] if live[-1] else None, last["note"] if live[-1] else None,
+             *[[None if v is None or v != v else v for v in x[top]] for x in (device, at, seq, epoch)])
+    return state, pd.concat(found).sort_values("seq", kind="stable")
+
+
+class RowConflicts(StatefulProcessor):
+    """State of one logical row."""
+
+    def __init__(self, tolerance: int):
+        self.tolerance = tolerance
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.row = handle.getValueState("row", _STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state, found = replay(self.row.get() if self.row.exists() else None, pd.concat(list(rows)), self.tolerance)
+        self.row.update(tuple(state))
+        yield found.astype({"seq": "int64"})
 
 
 def stream_conflicts(changes: DataFrame, tolerance: int = CONFLICT_TOLERANCE_SECONDS) -> DataFrame:
     """Conflicts between consecutive edits of a row by different devices, on a live log.
 
-    State is kept per (space, row) and is a few values. The rows of one key in a micro-batch
-    are put in sequence order inside their group; the trigger bounds how many those can be.
+    State is kept per (space, row) and is a few values. A key's rows of one micro-batch are put in
+    sequence order together; the trigger bounds how many those can be. Start the query inside
+    `bursts.rocksdb`.
     """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        current = state.get if state.exists else None
-        found: list[dict] = []
-        for change in rows.astype(object).where(rows.notna(), None).to_dict("records"):
-            current, new = conflict_step(current, change, tolerance)
-            found.extend(new)
-        state.update(current)
-        names = [c.split()[0] for c in _FOUND.split(", ")]
-        yield pd.DataFrame(found, columns=names)
-
     decoded = changes.where("table_name = 'transactions'").withColumn(
         "row", F.from_json("payload", "category string, note string")
     ).withColumns({"category": F.col("row.category"), "note": F.col("row.note"),
                    "epoch": iso_epoch(F.col("changed_at"))}).select(*_EVENT)
-    return decoded.groupBy("space_id", "row_id").applyInPandasWithState(
-        step, _FOUND, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return decoded.groupBy("space_id", "row_id").transformWithStateInPandas(
+        RowConflicts(tolerance), _FOUND, "append", "None")
+
+
+def start_conflicts(changes: DataFrame, root: str, tolerance: int = CONFLICT_TOLERANCE_SECONDS,
+                    available_now: bool = True) -> StreamingQuery:
+    """Write the conflicts of a stream to `root/rows`, exactly once."""
+    with rocksdb(changes.sparkSession):
+        return append_stream(stream_conflicts(changes, tolerance), root, available_now)
 
 
 # ---- high water and late rows -------------------------------------------------------

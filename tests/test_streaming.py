@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,26 +86,47 @@ def test_stream_conflicts_keep_state_between_batches(spark, deliver, tmp_path):
         [change(3, device="b", category="C", at=at.format(1)), change(4, device="b", category="D", at=at.format(3))],
         [change(5, op="delete", device="a", at=at.format(3)), change(6, device="b", category="E", at=at.format(3))])
     root = str(tmp_path / "out")
-    sinks.append_stream(replication.stream_conflicts(stream), root).awaitTermination()
+    replication.start_conflicts(stream, root).awaitTermination()
     assert rows(spark.read.parquet(f"{root}/rows"), "seq", "local_value", "remote_value") == [(3, "B", "C")]
 
 
-def test_step_knows_the_newest_other_author():
-    def step(state, device, seq, at):
-        return replication.conflict_step(state, {
-            "device_id": device, "changed_at": f"2024-01-01T00:00:{at:02d}Z", "seq": seq, "operation": "update", "category": str(seq),
-            "note": "", "space_id": "s", "row_id": "r", "epoch": 1704067200 + at}, 5)
-
-    state, found = step(None, "a", 1, 10)
-    assert not found
-    state, found = step(state, "b", 2, 30)  # a is 20 s away
-    assert not found
-    state, found = step(state, "b", 3, 31)
-    assert not found
-    state, found = step(state, "a", 4, 33)  # b is 2 s away
-    assert [f["local_changed_at"][-3:-1] for f in found] == ["31"]
-    _, found = step(state, "c", 5, 34)
-    assert [f["local_changed_at"][-3:-1] for f in found] == ["33"]
+def walk(changes, tolerance):
+    """Conflicts of one row's changes, one after the other, from all entries before each."""
+    current, entries, found = None, [], []
+    for c in changes:
+        others = [e for e in entries if e["device_id"] != c["device_id"]]
+        newest = max(others, key=lambda e: (e["changed_at"], e["seq"]), default=None)
+        if c["operation"] != "delete":
+            near = newest and None not in (newest["epoch"], c["epoch"]) and abs(newest["epoch"] - c["epoch"]) <= tolerance
+            if current and near:
+                found += [(c["seq"], f, current[f], c[f], newest["changed_at"]) for f in ("category", "note") if current[f] != c[f]]
+            current = c
+        else:
+            current = None
+        entries.append(c)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_replay_in_parts_equals_the_walk(seed):
+    draw = random.Random(seed)
+    for _ in range(60):
+        changes = []
+        for i in range(draw.randrange(1, 14)):
+            second = draw.randrange(20)
+            changes.append({"space_id": "s", "row_id": "r", "seq": i + 1, "device_id": draw.choice("abcd"), "operation": draw.choice(["update", "update", "delete"]),
+                            "category": draw.choice([None, "A", "B"]), "note": draw.choice(["", "n"]), "changed_at": f"2024-01-01T00:00:{second:02d}Z",
+                            "epoch": None if draw.random() < 0.1 else 1704067200 + second})
+        got, state, at = [], None, 0
+        while at < len(changes):
+            size = draw.randrange(1, 6)
+            part = changes[at: at + size]
+            draw.shuffle(part)  # a batch's rows come in any order
+            state, found = replication.replay(state, pd.DataFrame(part), 5)
+            got += [(r.seq, r.field, None if pd.isna(r.local_value) else r.local_value, None if pd.isna(r.remote_value) else r.remote_value, r.local_changed_at)
+                    for r in found.itertuples()]
+            at += size
+        assert sorted(got, key=repr) == sorted(walk(changes, 5), key=repr)
 
 
 def test_late_rows_are_dropped_and_cursors_do_not_regress(spark, table, deliver, tmp_path):
