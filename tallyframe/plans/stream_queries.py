@@ -73,20 +73,17 @@ def _(led: GivenLedger) -> DataFrame:
     return replication.recorded_conflicts(led.spark, root).drop("batch_id")
 
 
-_SPOILT = F.col("seq") % 10
-
-
 @register("stream_apply_rejects", ledger_sql("""
     SELECT id, CASE WHEN seq % 10 = 1 THEN 'unknown operation' WHEN seq % 10 = 2 THEN 'unknown table' WHEN operation = 'delete' THEN NULL
                     WHEN seq % 10 = 3 THEN 'missing payload' WHEN seq % 10 = 4 THEN 'payload does not match the table' END AS reason
     FROM change_log WHERE seq % 10 BETWEEN 1 AND 4 AND (seq % 10 <= 2 OR operation <> 'delete')"""))
 def _(led: GivenLedger) -> DataFrame:
     """What the applied stream refused: four of ten changes are spoilt on the way."""
-    root = scratch_dir(led.spark, "apply")
+    root, kind = scratch_dir(led.spark, "apply"), F.col("seq") % 10
     spoilt = _events(led).withColumns({
-        "operation": F.when(_SPOILT == 1, "merge").otherwise(F.col("operation")),
-        "table_name": F.when(_SPOILT == 2, "wishes").otherwise(F.col("table_name")),
-        "payload": F.when(_SPOILT == 4, F.when(F.col("payload").isNotNull(), "{}")).when(_SPOILT != 3, F.col("payload"))})
+        "operation": F.when(kind == 1, "merge").otherwise(F.col("operation")),
+        "table_name": F.when(kind == 2, "wishes").otherwise(F.col("table_name")),
+        "payload": F.when(kind == 4, F.when(F.col("payload").isNotNull(), "{}")).when(kind != 3, F.col("payload"))})
     base = {"transactions": led.transactions(text=False, balance=False).withColumns({"text": F.lit(""), "balance": F.lit(0).cast("long")})}
     replication.start_apply(spoilt, root, base, led.change_log).awaitTermination()
     return replication.rejected_changes(led.spark, root).select("id", "reason")
