@@ -370,5 +370,7 @@ def keep_one(documents: DataFrame, size: int = 5, threshold: float = 0.8) -> Dat
     fate = settle(fate.where("__gone OR __again"), "fates")
     out = keyed.join(fate.where("__gone"), "__key", "left_anti")
     again = fate.where("__again AND NOT __gone").select("__key")
+    if again.isEmpty():  # as a rule: then texts are shuffled for the first join only
+        return out.select(documents.columns)
     once = out.join(again, "__key", "left_anti").unionByName(out.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
     return once.select(documents.columns)
