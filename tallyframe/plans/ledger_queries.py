@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text, composite_key, key_head, key_tail, money_text, month_of
 from ..operators import aggregates, filters, joins, listing, search, sets
+from ..operators.mutate import upsert
 from ..session import scratch_dir
+from ..sources import keyed_files, posting_segments
 from ..sources.given import GivenLedger
 from .catalog import register
 from .oracle import ledger_sql
@@ -122,6 +124,59 @@ def _(led: GivenLedger) -> DataFrame:
     return index.groupBy("id").agg(F.count(F.lit(1)).alias("postings"))
 
 
+_RENUMBERED = """
+edited AS (
+  SELECT id, amount, amount_doc, CASE WHEN amount % 97 = 0 THEN 'Edited ' || id ELSE text END AS text
+  FROM docs WHERE amount % 97 <> 1)"""
+
+
+def _edited_table(led: GivenLedger) -> tuple[str, str, int]:
+    """A stored table and its index after two batches of edits: its folder, the index's, and its version.
+
+    Rows whose amount is a multiple of 97 are rewritten, then rows one above a multiple are deleted.
+    """
+    spark, rest = led.spark, F.col("amount") % 97
+    table, index = scratch_dir(spark, "searched"), scratch_dir(spark, "segments")
+    rows = led.transactions(balance=False).select("id", "text", "amount")
+    version = keyed_files.create_table(spark, table, rows, ["id"], file_rows=4000)
+    posting_segments.create_index(spark, index, keyed_files.read_table(spark, table), version)
+    stored = keyed_files.read_table(spark, table)
+    rewritten = stored.where(rest == 0).withColumn("text", F.concat(F.lit("Edited "), "id"))
+    deleted = stored.where(rest == 1).select("id")
+    for touched, change in ((rewritten, lambda t: upsert(t, rewritten, ["id"])),
+                            (deleted, lambda t: t.join(deleted, "id", "left_anti"))):
+        after = keyed_files.edit_table(spark, table, touched, change).version
+        if after != version:
+            posting_segments.follow_table(spark, index, table, version, after)
+        version = after
+    return table, index, version
+
+
+@register("search_segments", ledger_sql("""
+    SELECT id, text, amount FROM edited
+    WHERE contains(lower(text), 'ted t1') OR contains(lower(text), 'ring/1') OR contains(amount_doc, 'ring/1')
+       OR contains(amount_doc, 'ted t1')""", DOC, _RENUMBERED))
+def _(led: GivenLedger) -> DataFrame:
+    """Look-ups of rewritten and of untouched rows in the segments for the newest version of a stored table."""
+    table, index, version = _edited_table(led)
+    rows = keyed_files.read_table(led.spark, table, version)
+    found = [posting_segments.search_segments(led.spark, index, rows, version, term) for term in ("ted T1", "Ring/1")]
+    return found[0].unionByName(found[1]).distinct().select("id", "text", "amount")
+
+
+@register("live_postings", ledger_sql("""
+    SELECT id, count(*) AS postings FROM (
+      SELECT DISTINCT id, 'text' AS field, substr(lower(text), i, 3) AS trigram
+      FROM edited, range(1, length(text) - 1) r(i)
+      UNION
+      SELECT DISTINCT id, 'amount', substr(amount_doc, i, 3)
+      FROM edited, range(1, length(amount_doc) - 1) r(i)) GROUP BY 1""", DOC, _RENUMBERED))
+def _(led: GivenLedger) -> DataFrame:
+    """What the segments hold after the edits is what a rebuild would."""
+    _, index, version = _edited_table(led)
+    return posting_segments.live_postings(led.spark, index, version).groupBy("id").agg(F.count(F.lit(1)).alias("postings"))
+
+
 @register("document_search", """
     SELECT doc_id AS id FROM documents
     WHERE contains(lower(text), 'ation') OR contains(CAST(n_chars AS VARCHAR) || ' '

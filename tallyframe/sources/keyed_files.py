@@ -150,6 +150,17 @@ def read_table(spark: SparkSession, root: str, version: int | None = None) -> Da
     return _read(spark, root, layout, _index(spark, root, layout, version)[0])
 
 
+def replaced_rows(spark: SparkSession, root: str, before: int, after: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the files that only version `before` has, and of those that only `after` has.
+
+    Whatever differs between the two versions is among them, beside rows that were only moved.
+    """
+    layout = _layout(spark, root)
+    old, new = (_index(spark, root, layout, v)[0] for v in (before, after))
+    kept = set(old) & set(new)
+    return tuple(_read(spark, root, layout, [f for f in files if f not in kept]) for files in (old, new))
+
+
 def _located(frame: DataFrame, keys: list[str], lows: list[tuple]) -> DataFrame:
     """Add `slot`: the number of the last file whose least key is not above the row's."""
     def run(batches):
