@@ -78,21 +78,29 @@ def _(led: GivenLedger) -> DataFrame:
     SELECT id, text, amount FROM docs
     WHERE contains(lower(text), 'ring/1') OR contains(amount_doc, 'ring/1')""", DOC))
 def _(led: GivenLedger) -> DataFrame:
-    """Look-up in the stored index, which the first search of a session over these tables writes."""
-    return search.search_indexed(_stored_index(led), led.transactions(balance=False).select("id", "text", "amount"), "Ring/1")
+    """Look-up in the stored index, which the first search over these files in a session writes."""
+    rows = led.transactions(balance=False).select("id", "text", "amount")
+    root, version = _stored_index(led, rows)
+    return posting_segments.search_segments(led.spark, root, rows, version, "Ring/1")
 
 
 _INDEXES: dict[tuple[str, str], str] = {}
 
 
-def _stored_index(led: GivenLedger) -> DataFrame:
-    """The index over the transactions, built and written once for a session and folder."""
+def _stored_index(led: GivenLedger, rows: DataFrame) -> tuple[str, int]:
+    """Folder of the index for a session and folder, and the version of the rows.
+
+    The version is a hash of the names, lengths and times of the files that the rows come from, so
+    that changed files are another version, for which the index is built anew.
+    """
+    files = led.spark.read.format("binaryFile").load(rows.inputFiles())
+    version = files.agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()[0]
     key = (led.spark.sparkContext.applicationId, led.folder)
-    if key not in _INDEXES:
-        path = scratch_dir(led.spark, "trigrams")
-        search.write_trigram_index(search.build_trigram_index(led.transactions(balance=False)), path)
-        _INDEXES[key] = path
-    return led.spark.read.parquet(_INDEXES[key])
+    if key not in _INDEXES or not posting_segments.covered(led.spark, _INDEXES[key], version):
+        root = scratch_dir(led.spark, "trigrams")
+        posting_segments.create_index(led.spark, root, rows, version)
+        _INDEXES[key] = root
+    return _INDEXES[key], version
 
 
 @register("trigram_index", ledger_sql("""

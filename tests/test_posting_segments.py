@@ -125,3 +125,21 @@ def test_empty_tables_and_texts(spark, tmp_path):
     columns = ["trigram", "field", "id"]
     assert rows(ps.live_postings(spark, root, 2), *columns) == rows(search.build_trigram_index(odd), *columns)
     assert ids(ps.search_segments(spark, root, odd, 2, "0.0")) == ids(search.search(odd, "0.0")) != []
+
+
+def test_the_index_of_given_files_notices_that_they_changed(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from tallyframe.plans.ledger_queries import _stored_index
+
+    path, held = str(tmp_path / "given.parquet"), {"a": ("one text", 1)}
+    led = SimpleNamespace(spark=spark, folder=str(tmp_path))
+    frame(spark, held).write.parquet(path)
+    rows_now = spark.read.parquet(path)
+    first = _stored_index(led, rows_now)
+    assert _stored_index(led, rows_now) == first
+    frame(spark, {"b": ("another text", 2)}).write.mode("append").parquet(path)
+    rows_now = spark.read.parquet(path)
+    second = _stored_index(led, rows_now)
+    assert second[1] != first[1]
+    assert ids(ps.search_segments(spark, second[0], rows_now, second[1], "text")) == ["a", "b"]
