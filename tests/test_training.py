@@ -184,6 +184,31 @@ def test_scores_equal_the_head_with_the_same_weights(spark):
     assert got == want and len(set(want.values())) >= 1
 
 
+def test_weights_are_never_broadcast(spark):
+    """However small Spark takes the models to be: their weights come from Python, and it knows only the keys."""
+    def fill(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([TEXT] * n, pa.int32()), pa.array([[0]] * n, pa.list_(pa.int64())),
+                 pa.array([model.flat_weights(model.patterned_weights(TEXT, 1)).tobytes()] * n, pa.binary())],
+                names=["space_id", "version", "text_size", "classes", "weights"])
+
+    frame = spark.createDataFrame(made("s2", 10, [0], 7), SCHEMA)
+    models = spark.createDataFrame([("s2", 3), ("s2", 4)], "space_id string, version long").mapInArrow(
+        fill, "space_id string, version long, text_size int, classes array<long>, weights binary")
+    chosen = spark.createDataFrame([("s2", 3)], "space_id string, version long")
+    none = spark.createDataFrame([], "position long, name string")
+    found = training.predict_versions(frame, models, chosen, none)
+    sent = found._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[1:]
+    assert not [x for x in sent if "weights" in x.split("\n")[1]]
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join LeftSemi" in x]
+    assert len(joins) == 1  # only the right side of a semi-join can be broadcast: the choice
+    assert {r.version for r in found.collect()} == {3}
+
+
 def test_chosen_versions(spark, table):
     held = table("model_versions", {"space_id": "s", "version": 1}, {"space_id": "s", "version": 2}, {"space_id": "t", "version": 1})
     settings = table("space_settings", {"space_id": "s", "key": "active_model_version", "value": "2"})
