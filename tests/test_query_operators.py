@@ -110,3 +110,12 @@ def test_labels_fall_back_to_other(spark):
     classes = spark.createDataFrame([(0, "Food"), (1, "Other"), (2, "Food")], "position long, name string")
     frame = spark.createDataFrame([("1", "Food"), ("2", "Ghost"), ("3", None)], "id string, category string")
     assert rows(joins.with_label(frame, classes), "id", "label") == [("1", 0), ("2", 1), ("3", 1)]
+
+
+def test_ids_in_every_list_meet_once(texts):
+    """An id that many lists share is a row for each task, not for each list, when it reaches the join."""
+    ids = texts.sparkSession.range(10_000).select(F.when(F.col("id") % 2 == 0, "unknown").otherwise("3").alias("id"))
+    found = filters.ids_in(texts, ids)
+    assert [r.id for r in found.collect()] == ["3"]
+    right = found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi")[1]
+    assert "Aggregate" in right
