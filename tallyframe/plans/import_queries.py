@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest, parser_function
 from ..session import scratch_dir, settle
 from ..sources.given import GivenLedger
-from ..sources.statements import csv_cells, read_statement_csv, read_statement_text
+from ..sources.statements import csv_cells, read_statement_csv, read_statement_text, write_statement_text
 from .catalog import register
 from .oracle import ledger_sql
 
@@ -138,7 +138,8 @@ def _(led: GivenLedger) -> DataFrame:
 def _(led: GivenLedger) -> DataFrame:
     """Every document written as a text file of its own, and read back whole."""
     path = scratch_dir(led.spark, "texts")
-    led.read("documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    name = F.concat(F.lit("doc_id="), F.coalesce(_t(F.col("doc_id")), F.lit("none")))
+    write_statement_text(led.read("documents").select(name.alias("file"), "text"), path)
     return read_statement_text(led.spark, path).select(
         F.regexp_extract("file", "doc_id=([0-9]+)", 1).alias("file"), F.md5("text").alias("body"))
 

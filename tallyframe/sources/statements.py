@@ -5,8 +5,12 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +51,30 @@ def read_statement_csv(spark: SparkSession, path: str) -> DataFrame:
     return csv_cells(files.select(F.col("path").alias("file"), "content"))
 
 
+def write_statement_text(files: DataFrame, path: str) -> None:
+    """Write (file, text) rows as one text file for each name, `path/task=K/NAME.txt`.
+
+    Every row is a line, a missing text an empty one, and rows of one name share its file. Opening a
+    file is the work here, so files spread over all tasks by name, and Spark's writer, which takes
+    several steps of the file system for each, stays out of it. A retried task writes its files anew.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        folder, n = f"{root}/task={TaskContext.get().partitionId():05d}", 0
+        store.create_dir(folder)
+        rows = ((f, t) for b in batches for f, t in zip(b.column("file").to_pylist(), b.column("text").to_pylist()))
+        for file, own in groupby(rows, lambda r: r[0]):
+            with store.open_output_stream(f"{folder}/{file}.txt") as out:
+                for _, text in own:
+                    out.write((text or "").encode() + b"\n")
+            n += 1
+        yield pa.RecordBatch.from_pydict({"written": [n]})
+
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.select("file", "text").repartition(tasks, "file").sortWithinPartitions("file")
+    dealt.mapInArrow(write, "written long").write.format("noop").mode("overwrite").save()
+
+
 def read_statement_text(spark: SparkSession, path: str) -> DataFrame:
     """Already extracted statement text, one row per file."""
     return spark.read.text(path, wholetext=True).select(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows
 from tallyframe.operators import ingest
-from tallyframe.sources.statements import csv_cells, read_statement_csv, read_statement_text
+from tallyframe.sources.statements import csv_cells, read_statement_csv, read_statement_text, write_statement_text
 
 CELLS = "file string, row_idx long, cells array<string>"
 
@@ -156,3 +156,13 @@ def test_user_units_override_builtin_ones(spark):
     found, unknown = ingest.attach_parsers(
         spark.createDataFrame([("f", "k1"), ("g", "zz")], "file string, key string"), units)
     assert rows(found, "file") == [("f",)] and rows(unknown, "reason") == [("unknown parser key: zz",)]
+
+
+def test_written_text_statements_are_read_back(spark, tmp_path):
+    files = spark.createDataFrame([("a", "x\ny"), ("b", None), ("c", ""), ("d", "é"), ("d", "2")] + [(f"n{i}", str(i)) for i in range(200)],
+                                  "file string, text string")
+    for at in (str(tmp_path / "plain"), f"file:{tmp_path}/uri"):
+        write_statement_text(files, at)
+        got = {r.file.rsplit("/", 1)[1]: r.text for r in read_statement_text(spark, at).collect()}
+        assert got == {"a.txt": "x\ny\n", "b.txt": "\n", "c.txt": "\n", "d.txt": got["d.txt"], **{f"n{i}.txt": f"{i}\n" for i in range(200)}}
+        assert got["d.txt"] in ("é\n2\n", "2\né\n")
