@@ -214,3 +214,18 @@ def test_chosen_versions(spark, table):
     settings = table("space_settings", {"space_id": "s", "key": "active_model_version", "value": "2"})
     asked = spark.createDataFrame([("t", 1)], "space_id string, version long")
     assert rows(registry.chosen_versions(held, settings, asked)) == [("s", 2), ("t", 1)]
+
+
+def test_a_step_reads_its_own_rows(spark, tmp_path):
+    frame = spark.createDataFrame([(f"r{i}", i * 7919) for i in range(400)], "id string, draw long")
+    path, seen = str(tmp_path / "epoch"), []
+    for epoch in (1, 2):  # the second is written over the first
+        batch = training._dealt(frame, epoch, 4, path)
+        parts = [batch(k) for k in range(4)]
+        for k, part in enumerate(parts):
+            want = frame.where(training.step_of(F.col("draw"), epoch, 4) == k)
+            assert rows(part) == rows(want)
+            read = part._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters: [isnotnull(step" in read
+        seen.append([rows(p) for p in parts])
+    assert seen[0] != seen[1]
