@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settle
 from .versions import current_version, read_version, write_version
 
 #: Rows of a file when it is first written; an edit splits what grows beyond twice that.
@@ -123,6 +124,7 @@ def create_table(spark: SparkSession, root: str, frame: DataFrame, keys: list[st
     layout = _Layout(keys, T.StructType([T.StructField(f.name, f.dataType) for f in frame.schema]), file_rows)
     meta = [(keys, json.dumps(layout.schema.jsonValue()), file_rows)]
     spark.createDataFrame(meta, "keys array<string>, schema string, file_rows long").coalesce(1).write.mode("errorifexists").parquet(f"{root}/layout")
+    frame = settle(frame, "to-store")  # counted, sampled for the ranges and written
     files = max(1, -(-frame.count() // file_rows))
     ranged = frame.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
     index = _write(spark, root, layout, ranged, "v1", slots=False)

@@ -91,3 +91,17 @@ def test_a_second_editor_of_a_version_fails(spark, stored):
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         kf.edit_table(spark, root, edit, meanwhile)
     assert now(spark, root) == {**held, ("k001", "s"): 0}
+
+
+def test_a_stored_frame_is_evaluated_once(spark, tmp_path):
+    """A table is counted, sampled for its ranges and written from one evaluation of the frame."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    kf.create_table(spark, str(tmp_path / "t"), spark.range(1000).mapInArrow(count, "id long"), ["id"], file_rows=100)
+    assert seen.value == 1000
+    assert kf.read_table(spark, str(tmp_path / "t")).count() == 1000
