@@ -14,6 +14,7 @@ costs a few bytes a hash and is still partitioned, shuffled and retried by Spark
 from __future__ import annotations
 
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,42 +30,81 @@ CHUNK_ROWS = 1 << 16
 SCHEMA = "part long, seq long, doc_ids array<long>, sizes array<int>, data binary"
 
 
+@cache
+def _compressor() -> zstandard.ZstdCompressor:
+    """One for all small pieces of a worker: a new one costs more than such a piece."""
+    return zstandard.ZstdCompressor(level=1)
+
+
+@cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
+def compress(data: bytes) -> bytes:
+    return _compressor().compress(data)
+
+
+def decompress(data: bytes) -> bytes:
+    return _decompressor().decompress(data)
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """Numbers as compressed byte planes: in sorted numbers the leading planes are regular."""
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return compress(planes.tobytes())
 
 
 def unsqueeze(data: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = np.frombuffer(decompress(data), np.uint8)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
-def _pack(batches):
-    part, seq = TaskContext.get().partitionId(), 0
+def _gathered(batches, size: int):
+    """Batches put together until they hold `size` bytes or the rows of a chunk."""
+    kept, rows, held = [], 0, 0
+    for batch in batches:
+        kept.append(batch)
+        rows, held = rows + batch.num_rows, held + batch.nbytes
+        if held >= size or rows >= CHUNK_ROWS:
+            yield pa.concat_batches(kept)
+            kept, rows, held = [], 0, 0
+    if rows:
+        yield pa.concat_batches(kept)
+
+
+def _pack(size: int):
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                         ("sizes", pa.list_(pa.int32())), ("data", pa.binary())])
-    for batch in batches:
-        for piece in slices(batch, "text", CHUNK_BYTES):
-            for at in range(0, piece.num_rows, CHUNK_ROWS):
-                rows = piece.slice(at, CHUNK_ROWS)
-                buf, off = flat(rows.column("text"))
-                yield pa.RecordBatch.from_pylist([{
-                    "part": part, "seq": seq, "doc_ids": rows.column("doc_id").to_pylist(),
-                    "sizes": np.diff(off).tolist(),
-                    "data": zstandard.ZstdCompressor(level=1).compress(buf.tobytes()),
-                }], schema)
-                seq += 1
-
-
-def pack(documents: DataFrame) -> str:
-    """Write (doc_id, text) as a chunk table; returns its name. `drop` removes it."""
+
+    def run(batches):
+        part, seq = TaskContext.get().partitionId(), 0
+        for batch in _gathered(batches, size) if size > CHUNK_BYTES else batches:
+            for piece in slices(batch, "text", size):
+                for at in range(0, piece.num_rows, CHUNK_ROWS):
+                    rows = piece.slice(at, CHUNK_ROWS)
+                    buf, off = flat(rows.column("text"))
+                    yield pa.RecordBatch.from_pylist([{
+                        "part": part, "seq": seq, "doc_ids": rows.column("doc_id").to_pylist(),
+                        "sizes": np.diff(off).tolist(),
+                        "data": compress(buf.tobytes()),
+                    }], schema)
+                    seq += 1
+    return run
+
+
+def pack(documents: DataFrame, size: int = CHUNK_BYTES) -> str:
+    """Write (doc_id, text) as a chunk table; returns its name. `drop` removes it.
+
+    size: bytes of text in a chunk. Operators that send a row for each chunk and bucket take
+    larger chunks, as the number of those rows is a product.
+    """
     name = f"chunks_{uuid.uuid4().hex}"
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(1, slim.rdd.getNumPartitions())
     # the data column is compressed already
-    (slim.mapInArrow(_pack, SCHEMA).write.option("compression", "uncompressed")
+    (slim.mapInArrow(_pack(size), SCHEMA).write.option("compression", "uncompressed")
      .bucketBy(buckets, "part").sortBy("part").saveAsTable(name))
     return name
 
@@ -73,7 +113,7 @@ def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, offsets and uids of a chunk row; a uid names one row of the documents."""
     sizes = np.asarray(row["sizes"], np.int64)
     off = np.concatenate(([0], np.cumsum(sizes)))
-    buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8) if off[-1] else np.zeros(0, np.uint8)
+    buf = np.frombuffer(decompress(row["data"]), np.uint8) if off[-1] else np.zeros(0, np.uint8)
     return buf, off, (int(row["part"]) << 40 | int(row["seq"]) << 16) + np.arange(len(sizes))
 
 

@@ -24,17 +24,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
 from . import chunks as ch
-from .text_arrays import byte_runs, mix
+from .text_arrays import ByteRuns, mix
 
 ANCHOR = 16
 #: Bytes of text whose windows are looked at together.
 PIECE = 1 << 18
+#: Bytes of a chunk. Anchors and segments travel as a row for each chunk and bucket, whose number is
+#: a product: large chunks and buckets keep it small.
+CHUNK = 16 << 20
+#: Bytes of text for each bucket of anchors, and of segments.
+ANCHOR_BUCKET, SEGMENT_BUCKET = 8 << 20, 4 << 20
+#: Bytes of segments that are searched for repeats together.
+CELL = 1 << 17
+#: Bits of a place in a suffix order that is sorted in place.
+_SMALL = 21
 _POSITION = np.uint64((1 << 23) - 1)
 _LAST_ID = np.int64(2**63 - 1)
 _SHA = "uid long, doc_id long, n long, sha binary"
@@ -59,38 +67,46 @@ def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(buf: np.ndarray, off: np.ndarray, active: np.ndarray, length: int):
-    """Segments of the active documents: first and last + 1 window start, anchor's hash and its contexts.
+    """Segments of the active documents: first and last + 1 window start, anchor's hash and its contexts,
+    document, and a hash of the segment's bytes.
 
     Column `left` (`right`) is a byte of hash over what stands before (after) the anchor in the
     windows that reach that far; 0 if none does. One of them is part of any window.
     """
     width, side = length - ANCHOR + 1, (length - ANCHOR) // 2
+    size = np.diff(off)
+    # starts of windows that end in their document; no two documents' windows are neighbours
+    whole = np.repeat(active, size)
+    tail = np.minimum(size, length - 1)
+    whole[np.repeat(off[1:] - np.cumsum(tail), tail) + np.arange(tail.sum())] = False
     parts = []
     for at in range(0, max(len(buf) - length + 1, 0), PIECE):
         piece = buf[at: at + PIECE + length - 1]
         n = len(piece) - length + 1
-        h = byte_runs(piece, ANCHOR)
+        runs = ByteRuns(piece)
+        h = runs.every(ANCHOR)
         least = _sliding_least(h & ~_POSITION | np.arange(len(h), dtype=np.uint64), width)[:n]
-        anchor = (least & _POSITION).astype(np.int64)
-        doc = np.searchsorted(off, np.arange(at, at + n), "right") - 1
-        whole = active[doc] & (np.arange(at, at + n) + length <= off[doc + 1])
+        anchor = least & _POSITION
+        good = whole[at: at + n]
         edge = np.ones(n + 1, bool)
-        edge[1:-1] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1])
-        first, stop = np.flatnonzero(edge[:-1]), np.flatnonzero(edge[1:]) + 1
-        keep = whole[first]
+        edge[1:-1] = (anchor[1:] != anchor[:-1]) | (good[1:] != good[:-1])
+        begin = np.flatnonzero(edge)
+        first, stop = begin[:-1], begin[1:]
+        keep = good[first]
         first, stop = first[keep], stop[keep]
-        spot = anchor[first]
-        context = (byte_runs(piece, side) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+        spot = anchor[first].astype(np.int64)
         left, right = np.zeros(len(first), np.uint8), np.zeros(len(first), np.uint8)
-        far = spot - first >= side  # the first window begins `side` bytes before the anchor
-        left[far] = context[spot[far] - side]
-        far = stop - 1 + length >= spot + ANCHOR + side
-        right[far] = context[spot[far] + ANCHOR]
+        # the first window begins `side` bytes before the anchor; the last ends `side` after it
+        for context, far, where in ((left, spot - first >= side, spot - side),
+                                    (right, stop - 1 + length >= spot + ANCHOR + side, spot + ANCHOR)):
+            x = where[far]
+            context[far] = (runs.between(x, x + side) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
         # least hashes are small numbers: mixed again, they fill the buckets evenly
-        parts.append((first + at, stop + at, mix(h[spot]), left, right, doc[first]))
+        parts.append((first + at, stop + at, mix(h[spot]), left, right, np.searchsorted(off, first + at, "right") - 1,
+                      runs.between(first, stop - 1 + length)))
     if not parts:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint8), none.astype(np.uint8), none
+        return (none, none, none.astype(np.uint64), none.astype(np.uint8), none.astype(np.uint8), none, none.astype(np.uint64))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -99,14 +115,14 @@ def _chunk(row: dict, length: int):
     buf, off, uids = ch.unpack(row)
     active = np.ones(len(uids), bool)
     active[np.array([x & 0xFFFF for x in row.get("copies") or []], np.int64)] = False
-    first, stop, key, left, right, doc = segments(buf, off, active, length)
-    order = np.lexsort((right, left, key))
+    first, stop, key, left, right, doc, content = segments(buf, off, active, length)
+    order = np.lexsort((left.astype(np.uint16) << np.uint16(8) | right, key))
     fresh = np.ones(len(order), bool)
     k, a, b = key[order], left[order], right[order]
     fresh[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(fresh) - 1
-    return buf, off, active, (first, stop, key, doc, kind), (k[fresh], a[fresh], b[fresh], order, fresh)
+    return buf, off, active, (first, stop, key, doc, content, kind), (k[fresh], a[fresh], b[fresh], order, fresh)
 
 
 def _anchors(length: int, bits: int):
@@ -115,7 +131,7 @@ def _anchors(length: int, bits: int):
 
     def run(batches):
         for row in ch.rows_of(batches):
-            _, _, _, (_, _, _, doc, _), (key, left, right, order, fresh) = _chunk(row, length)
+            _, _, _, (_, _, _, doc, _, _), (key, left, right, order, fresh) = _chunk(row, length)
             if not len(key):
                 continue
             begin = np.flatnonzero(fresh)
@@ -153,69 +169,111 @@ def _shared(table: pa.Table) -> pa.Table:
                      "live": pa.array([np.packbits(live[e - n: e]).tobytes() for e, n in zip(ends, size)], pa.binary())})
 
 
+def _gather(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of many pieces, one after the other."""
+    ends = np.cumsum(size)
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    i = 0
+    while i < len(size):
+        at = ends[i] - size[i]
+        j = max(i + 1, int(np.searchsorted(ends, at + (4 << 20), "right")))
+        out[at: ends[j - 1]] = buf[np.repeat(begin[i:j] - (ends[i:j] - size[i:j]), size[i:j]) + np.arange(at, ends[j - 1])]
+        i = j
+    return out
+
+
+def _numbered_texts(buf: np.ndarray, first: np.ndarray, size: np.ndarray, content: np.ndarray):
+    """A number for each different text, in order of first places, and those places.
+
+    Texts with equal hashes are compared; one that differs from the first of its hash has its own number.
+    """
+    _, place, same = np.unique(content, return_index=True, return_inverse=True)
+    place = place[same]  # first place with this hash
+    twin = np.flatnonzero((place != np.arange(len(place))) & (size[place] == size))
+    equal = _gather(buf, first[twin], size[twin]) == _gather(buf, first[place[twin]], size[twin])
+    if len(twin):
+        twin = twin[np.logical_and.reduceat(equal, np.cumsum(size[twin]) - size[twin])]
+    own = np.arange(len(place))
+    own[twin] = place[twin]
+    alone = own == np.arange(len(own))
+    return (np.cumsum(alone) - 1)[own], np.flatnonzero(alone)
+
+
 def _live_segments(row: dict, length: int, bits: int):
-    """The different segments of a chunk whose anchors are shared, and where each of them stands."""
-    buf, off, active, (first, stop, key, doc, kind), (keys, *_) = _chunk(row, length)
+    """Where the segments of a chunk stand whose anchors are shared, and the numbers of their different
+    texts; start, size and anchor of each of those, in the order of anchors."""
+    buf, off, active, (first, stop, key, doc, content, kind), (keys, *_) = _chunk(row, length)
     live = np.zeros(len(keys), bool)
     for (_, i, j), x in zip(ch.cut(keys, bits), row["found"] or []):
         live[i:j] = np.unpackbits(np.frombuffer(x["live"], np.uint8), count=j - i).astype(bool)
     at = np.flatnonzero(live[kind]) if len(kind) else np.zeros(0, np.int64)
     at = at[np.argsort(key[at], kind="stable")]
-    raw, number, texts, which = buf.tobytes(), {}, [], []
-    for i in at:
-        text = raw[first[i]: stop[i] - 1 + length]
-        if text not in number:
-            number[text] = len(texts)
-            texts.append((int(key[i]), text))
-        which.append(number[text])
-    return raw, off, active, first[at], doc[at], np.array(which, np.int64), texts
+    first, size = first[at], stop[at] - 1 + length - first[at]
+    which, place = _numbered_texts(buf, first, size, content[at])
+    return buf, off, active, first, doc[at], which, (first[place], size[place], key[at][place])
 
 
 def _ids(row: dict) -> np.ndarray:
     return np.array([_LAST_ID if x is None else x for x in row["doc_ids"]], np.int64)
 
 
-def _send(length: int, bits: int):
+def _send(length: int, bits: int, places: int):
+    """bits: of the buckets that anchors were compared in. places: of those that segments go to."""
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("bucket", pa.int64()), ("base", pa.int64()),
-                        ("sizes", pa.binary()), ("least", pa.binary()), ("most", pa.binary()), ("text", pa.binary())])
+                        ("sizes", pa.binary()), ("cells", pa.binary()), ("least", pa.binary()), ("most", pa.binary()),
+                        ("text", pa.binary())])
 
     def run(batches):
         for row in ch.rows_of(batches):
-            _, _, _, _, doc, which, texts = _live_segments(row, length, bits)
-            if not texts:
+            buf, _, _, _, doc, which, (first, size, key) = _live_segments(row, length, bits)
+            if not len(size):
                 continue
             ids = _ids(row)[doc]
-            least, most = np.full(len(texts), _LAST_ID), np.full(len(texts), -_LAST_ID)
+            least, most = np.full(len(size), _LAST_ID), np.full(len(size), -_LAST_ID)
             np.minimum.at(least, which, ids)
             np.maximum.at(most, which, ids)
-            size = np.array([len(t) for _, t in texts], np.int32)
-            out = []
-            for bucket, i, j in ch.cut(np.array([k for k, _ in texts], np.uint64), bits):
-                out.append({"part": row["part"], "seq": row["seq"], "bucket": bucket, "base": i,
-                            "sizes": ch.squeeze(size[i:j]), "least": ch.squeeze(least[i:j]), "most": ch.squeeze(most[i:j]),
-                            "text": zstandard.ZstdCompressor(level=1).compress(b"".join(t for _, t in texts[i:j]))})
-            yield pa.RecordBatch.from_pylist(out, schema)
+            cell = (key << np.uint64(places) >> np.uint64(56)).astype(np.uint8)
+            yield pa.RecordBatch.from_pylist([
+                {"part": row["part"], "seq": row["seq"], "bucket": bucket, "base": i,
+                 "sizes": ch.squeeze(size[i:j].astype(np.int32)), "cells": ch.squeeze(cell[i:j]),
+                 "least": ch.squeeze(least[i:j]), "most": ch.squeeze(most[i:j]),
+                 "text": ch.compress(_gather(buf, first[i:j], size[i:j]).tobytes())}
+                for bucket, i, j in ch.cut(key, places)], schema)
     return run
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of the `depth` or more bytes that follow, by doubling of ranks."""
+    """Positions in the order of the `depth` or more bytes that follow, by doubling of ranks.
+
+    Up to 2^21 positions, two ranks and the position fit a word, and words are sorted in place,
+    which takes a fraction of an indirect sort.
+    """
     n = len(text)
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
+    small = n < 1 << _SMALL
+    present = np.zeros(256, bool)
+    present[text] = True
+    code = np.cumsum(present).astype(np.uint64)  # from 1; 0 stands after the end
+    width = int(code[-1]).bit_length() if n else 1
+    known = (64 - _SMALL if small else 64) // width
+    padded = np.concatenate((code[text], np.zeros(known, np.uint64)))
     key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = key << np.uint64(8) | padded[j: j + n]
-    known = 8
+    for j in range(known):
+        key = key << np.uint64(width) | padded[j: j + n]
+    position = np.arange(n, dtype=np.uint64)
     while True:
-        order = np.argsort(key, kind="stable")
+        if small:
+            word = np.sort(key << np.uint64(_SMALL) | position)
+            order, k = (word & np.uint64((1 << _SMALL) - 1)).astype(np.int64), word >> np.uint64(_SMALL)
+        else:
+            order = np.argsort(key)  # equal keys may stand in any order
+            k = key[order]
         if known > depth:
             return order
-        k = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.r_[False, k[1:] != k[:-1]]).astype(np.uint64)
         follow = np.zeros(n, np.uint64)
-        follow[: n - known] = rank[known:] + np.uint64(1)
-        key = rank << np.uint64(32) | follow
+        follow[: max(n - known, 0)] = rank[known:] + np.uint64(1)
+        key = rank << np.uint64(_SMALL if small else 32) | follow
         known *= 2
 
 
@@ -241,8 +299,26 @@ def separated(text: np.ndarray, order: np.ndarray, depth: int, stop: np.ndarray)
     usable = symbol < 256
     del by_symbol, same, symbol, before
     met = np.zeros(n + 1, bool)
-    low, high = np.array([0], small), np.array([n], small)
-    for _ in range(depth):
+    low, high, known = np.array([0], small), np.array([n], small), 0
+    if depth > 8 and n > 8:  # the first 8 levels lie in words of 8 bytes: those that end where only the last byte differs
+        known = 8
+        around = np.concatenate((text, text[:7]))
+        word = np.zeros(n, np.uint64)
+        for j in range(8):
+            word = word << np.uint64(8) | around[j: j + n]
+        word = word[order]
+        met[1:n], met[n] = word[1:] != word[:-1], True
+        high = np.flatnonzero(met).astype(small)
+        low = np.concatenate((np.zeros(1, small), high[:-1]))
+        new = np.ones(len(high), bool)
+        new[:-1] = word[high[:-1]] >> np.uint64(8) == word[high[:-1] - 1] >> np.uint64(8)
+        new[-1] = False  # nothing comes after the last, which a terminator begins
+        ends = np.concatenate(([0], np.cumsum(np.concatenate((stop, stop[:7])))))
+        first = order[low]
+        new &= ends[first + 8] == ends[first]
+        low, high = low[new], high[new]
+        del word, around, ends
+    for _ in range(known, depth):
         size = high - low
         begin = np.cumsum(size, dtype=small) - size
         place = np.repeat(low - begin, size)
@@ -262,56 +338,91 @@ def separated(text: np.ndarray, order: np.ndarray, depth: int, stop: np.ndarray)
     return flags
 
 
+def _cells(table: pa.Table):
+    """The segments of a bucket by ranges of their anchors, of some `CELL` bytes each.
+
+    Equal windows have equal anchors, so each range is searched alone. Yields (row of the table, first
+    segment, texts) for all rows that have a segment in the range.
+    """
+    sizes = [ch.unsqueeze(x.as_py(), np.int32).astype(np.int64) for x in table["sizes"]]
+    cells = [ch.unsqueeze(x.as_py(), np.uint8) for x in table["cells"]]
+    raw = [ch.decompress(x.as_py()) for x in table["text"]]
+    ends = [np.concatenate(([0], np.cumsum(x))) for x in sizes]
+    held = np.zeros(256, np.int64)
+    for size, cell in zip(sizes, cells):
+        np.add.at(held, cell, size)
+    low = 0
+    while low < 256:
+        high = max(low + 1, int(np.searchsorted(np.cumsum(held[low:]), CELL, "right")) + low)
+        if held[low:high].any():
+            found = []
+            for row, (cell, end) in enumerate(zip(cells, ends)):
+                i, j = np.searchsorted(cell, low), np.searchsorted(cell, high)
+                if i < j:
+                    cuts = end[i: j + 1].tolist()
+                    found.append((row, int(i), [raw[row][a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
+            yield found
+        low = high
+
+
+def _repeated(parts: list, least: list, most: list, length: int):
+    """Runs of windows of each row's segments that a smaller doc_id has too: (row, segment, from, to, doc_id)."""
+    number, texts, which, owners = {}, [], [], []
+    for row, i, own in parts:
+        for text in own:
+            if text not in number:
+                number[text] = len(texts)
+                texts.append(text)
+            which.append(number[text])
+        owners.append(least[row][i: i + len(own)])
+    which = np.array(which, np.int64)
+    owner = np.full(len(texts), _LAST_ID)
+    np.minimum.at(owner, which, np.concatenate(owners))
+    # 255 does not occur in UTF-8: it ends every segment and sorts after all other bytes
+    text = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
+    order = suffix_order(text, length)
+    flags = separated(text, order, length, text == 255)
+    group = np.empty(len(text), np.int64)
+    group[order] = np.cumsum(flags) - 1
+    windows = size - length + 1
+    seg = np.repeat(np.arange(len(texts)), windows)
+    rank = np.arange(len(seg)) - np.repeat(np.concatenate(([0], np.cumsum(windows)[:-1])), windows)
+    g = group[begin[seg] + rank]
+    first = np.full(len(text), _LAST_ID)
+    np.minimum.at(first, g, owner[seg])
+    first = first[g]  # least doc_id of each window
+    edge = np.ones(len(seg) + 1, bool)
+    edge[1:-1] = (first[1:] != first[:-1]) | (seg[1:] != seg[:-1])
+    a, b = np.flatnonzero(edge[:-1]), np.flatnonzero(edge[1:]) + 1
+    run_seg, run_from, run_to, run_id = seg[a], rank[a], rank[b - 1] + 1, first[a]
+    run_begin = np.searchsorted(run_seg, np.arange(len(texts) + 1))
+    # all rows at once: a segment's runs, kept where a document of the row has a greater id
+    count = run_begin[which + 1] - run_begin[which]
+    item = np.repeat(np.arange(len(which)), count)
+    r = np.repeat(run_begin[which] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
+    hit = run_id[r] < np.concatenate([most[row][i: i + len(own)] for row, i, own in parts])[item]
+    item, r = item[hit], r[hit]
+    place = np.repeat([row for row, _, _ in parts], [len(own) for _, _, own in parts])
+    inside = np.concatenate([np.arange(i, i + len(own)) for _, i, own in parts])
+    return place[item], np.stack([inside[item], run_from[r], run_to[r], run_id[r]], axis=1)
+
+
 def _intervals(length: int):
     def run(table: pa.Table) -> pa.Table:
-        sizes = [ch.unsqueeze(x.as_py(), np.int32) for x in table["sizes"]]
-        least = np.concatenate([ch.unsqueeze(x.as_py(), np.int64) for x in table["least"]])
-        most = np.concatenate([ch.unsqueeze(x.as_py(), np.int64) for x in table["most"]])
-        number, texts, which = {}, [], []
-        for x, size in zip(table["text"], sizes):
-            raw, at = zstandard.ZstdDecompressor().decompress(x.as_py()), 0
-            for n in size:
-                text = raw[at: at + n]
-                at += n
-                if text not in number:
-                    number[text] = len(texts)
-                    texts.append(text)
-                which.append(number[text])
-        which = np.array(which, np.int64)
-        owner = np.full(len(texts), _LAST_ID)
-        np.minimum.at(owner, which, least)
-        # 255 does not occur in UTF-8: it ends every segment and sorts after all other bytes
-        text = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
-        size = np.array([len(t) for t in texts], np.int64)
-        begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-        order = suffix_order(text, length)
-        flags = separated(text, order, length, text == 255)
-        group = np.empty(len(text), np.int64)
-        group[order] = np.cumsum(flags) - 1
-        windows = size - length + 1
-        seg = np.repeat(np.arange(len(texts)), windows)
-        rank = np.arange(len(seg)) - np.repeat(np.concatenate(([0], np.cumsum(windows)[:-1])), windows)
-        g = group[begin[seg] + rank]
-        first = np.full(len(text), _LAST_ID)
-        np.minimum.at(first, g, owner[seg])
-        first = first[g]  # least doc_id of each window
-        edge = np.ones(len(seg) + 1, bool)
-        edge[1:-1] = (first[1:] != first[:-1]) | (seg[1:] != seg[:-1])
-        a, b = np.flatnonzero(edge[:-1]), np.flatnonzero(edge[1:]) + 1
-        run_seg, run_from, run_to, run_id = seg[a], rank[a], rank[b - 1] + 1, first[a]
-        run_begin = np.searchsorted(run_seg, np.arange(len(texts) + 1))
-        rows, at = [], 0
-        for part, seq, base, n in zip(table["part"].to_pylist(), table["seq"].to_pylist(), table["base"].to_pylist(), map(len, sizes)):
-            own = which[at: at + n]
-            count = run_begin[own + 1] - run_begin[own]
-            item = np.repeat(np.arange(n), count)
-            r = np.repeat(run_begin[own] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
-            hit = run_id[r] < most[at: at + n][item]
-            item, r = item[hit], r[hit]
-            at += n
-            if len(r):
-                rows.append({"part": part, "seq": seq, "cuts": ch.squeeze(
-                    np.stack([item + base, run_from[r], run_to[r], run_id[r]], axis=1).ravel())})
+        least, most = ([ch.unsqueeze(x.as_py(), np.int64) for x in table[c]] for c in ("least", "most"))
+        base = table["base"].to_numpy()
+        cuts = [[] for _ in range(table.num_rows)]
+        for parts in _cells(table):
+            row, found = _repeated(parts, least, most, length)
+            bounds = np.searchsorted(row, np.arange(table.num_rows + 1))
+            for i in np.unique(row):
+                own = found[bounds[i]: bounds[i + 1]]
+                own[:, 0] += base[i]
+                cuts[i].append(own)
+        rows = [{"part": part, "seq": seq, "cuts": ch.squeeze(np.concatenate(own).ravel())}
+                for part, seq, own in zip(table["part"].to_pylist(), table["seq"].to_pylist(), cuts) if own]
         return pa.Table.from_pylist(rows, pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("cuts", pa.binary())]))
     return run
 
@@ -323,8 +434,9 @@ def _cut(length: int, bits: int, with_text: bool):
 
     def run(batches):
         for row in ch.rows_of(batches):
-            raw, off, active, first, doc, which, _ = _live_segments(row, length, bits)
-            change = np.zeros(len(raw) + 1, np.int64)
+            buf, off, active, first, doc, which, _ = _live_segments(row, length, bits)
+            raw = buf.tobytes()
+            change = np.zeros(len(raw) + 1, np.int32)
             ids = _ids(row)
             if row["cuts"]:
                 cuts = np.concatenate([ch.unsqueeze(x, np.int64).reshape(-1, 4) for x in row["cuts"]])
@@ -337,7 +449,7 @@ def _cut(length: int, bits: int, with_text: bool):
                 place, c = place[gone], c[gone]
                 np.add.at(change, first[place] + cuts[c, 1], 1)
                 np.add.at(change, first[place] + cuts[c, 2] - 1 + length, -1)
-            removed = np.cumsum(change[:-1]) > 0
+            removed = np.cumsum(change[:-1], out=change[:-1]) > 0
             removed[np.repeat(~active, np.diff(off))] = True
             out = []
             for i, doc_id in enumerate(row["doc_ids"]):
@@ -366,9 +478,10 @@ def remove_repeats(documents: DataFrame, length: int = 50, with_text: bool = Fal
     other. A missing doc_id is greater than all others, and such rows remove nothing. An empty
     table gives an empty result. length: over ANCHOR + 2.
     """
-    spark, name = documents.sparkSession, ch.pack(documents)
+    spark, name = documents.sparkSession, ch.pack(documents, CHUNK)
     packed = spark.table(name)
-    bits = ch.bucket_bits(packed, 2 << 20)
+    bits = ch.bucket_bits(packed, SEGMENT_BUCKET)
+    wide = ch.bucket_bits(packed, ANCHOR_BUCKET)
     shas = settle(packed.select("part", "seq", "doc_ids", "sizes", "data").mapInArrow(_digests, _SHA).where(F.col("n") >= length), "digests")
     key = F.coalesce("doc_id", F.lit(int(_LAST_ID)))
     first = shas.groupBy("sha").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -377,18 +490,18 @@ def remove_repeats(documents: DataFrame, length: int = 50, with_text: bool = Fal
               .groupBy("part", "seq").agg(F.collect_list("uid").alias("copies")))
     copies = settle(copies, "copies")
     anchors = ch.join_chunks(packed, copies).mapInArrow(
-        _anchors(length, bits), "part long, seq long, bucket long, keys binary, sides binary")
+        _anchors(length, wide), "part long, seq long, bucket long, keys binary, sides binary")
     live = anchors.groupBy("bucket").applyInArrow(_shared, "part long, seq long, bucket long, live binary")
     found = live.groupBy("part", "seq").agg(F.array_sort(F.collect_list(F.struct("bucket", "live"))).alias("found"))
     notes = settle(found.join(copies, ["part", "seq"], "full"), "shared-anchors")
     sent = ch.join_chunks(packed, notes, "inner").mapInArrow(
-        _send(length, bits),
-        "part long, seq long, bucket long, base long, sizes binary, least binary, most binary, text binary")
+        _send(length, wide, bits),
+        "part long, seq long, bucket long, base long, sizes binary, cells binary, least binary, most binary, text binary")
     cuts = sent.groupBy("bucket").applyInArrow(_intervals(length), "part long, seq long, cuts binary")
     marks = settle(cuts.groupBy("part", "seq").agg(F.collect_list("cuts").alias("cuts")), "cuts")
     known = notes.join(marks, ["part", "seq"], "left")
     schema = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
               "spans array<struct<start: long, end: long>>" + ", kept binary" * with_text)
-    out = settle(ch.join_chunks(packed, known).mapInArrow(_cut(length, bits, with_text), schema), "suffix-dedup")
+    out = settle(ch.join_chunks(packed, known).mapInArrow(_cut(length, wide, with_text), schema), "suffix-dedup")
     ch.drop(spark, name)
     return out

@@ -136,11 +136,17 @@ def distinct_by_document(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
     return h[keep], doc[keep]
 
 
-def byte_runs(buf: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` bytes from each position on (len - size + 1 of them)."""
-    n = len(buf) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * powers(_BASE, len(buf)), out=total[1:])
-    return mix((total[size:] - total[:n]) * powers(_UNBASE, len(buf))[:n])
+class ByteRuns:
+    """Hashes of runs of bytes, from one prefix sum; equal runs have equal hashes wherever they stand."""
+
+    def __init__(self, buf: np.ndarray):
+        self.total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_BYTE[buf] * powers(_BASE, len(buf)), out=self.total[1:])
+
+    def every(self, size: int) -> np.ndarray:
+        """Hash of the `size` bytes from each position on (len - size + 1 of them)."""
+        n = max(len(self.total) - size, 0)
+        return mix((self.total[size:] - self.total[:n]) * powers(_UNBASE, n))
+
+    def between(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix((self.total[stop] - self.total[first]) * powers(_UNBASE, len(self.total))[first])

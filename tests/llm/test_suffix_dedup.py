@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tallyframe.llm import suffix_dedup
+from tallyframe.llm import chunks, suffix_dedup
 from tallyframe.llm.suffix_dedup import remove_repeats, separated, suffix_order
 
 LAST = 2**63 - 1
@@ -75,3 +75,50 @@ def test_intervals_are_the_equal_windows():
             seen.setdefault(w, set()).add(int(place))
     assert all(len(x) == 1 for x in seen.values())
     assert len({min(x) for x in seen.values()}) == len(seen)
+
+
+@pytest.mark.parametrize("small", [21, 4])
+def test_intervals_beyond_the_first_words(monkeypatch, small):
+    """Depths over 8 begin with whole words, and long texts are sorted by place."""
+    monkeypatch.setattr(suffix_dedup, "_SMALL", small)
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 100, 90)
+    text = np.concatenate([np.r_[base[i:i + n] if n % 2 else rng.integers(97, 99, n), 255]
+                           for i, n in zip(rng.integers(0, 60, 60), rng.integers(1, 60, 60))]).astype(np.uint8)
+    for depth in (9, 17, 30):
+        order = suffix_order(text, depth)
+        group = np.cumsum(separated(text, order, depth, text == 255))
+        raw, seen = text.tobytes(), {}
+        for place, i in zip(group, order):
+            w = raw[i:i + depth]
+            if len(w) == depth and 255 not in w:
+                seen.setdefault(w, set()).add(int(place))
+        assert seen and all(len(x) == 1 for x in seen.values())
+        assert len({min(x) for x in seen.values()}) == len(seen)
+
+
+def test_texts_of_one_hash_keep_their_own_numbers():
+    buf = np.frombuffer(b"abcabdabcab", np.uint8)
+    first, size = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 2])
+    which, place = suffix_dedup._numbered_texts(buf, first, size, np.full(4, 7, np.uint64))
+    assert which.tolist() == [0, 1, 0, 2] and place.tolist() == [0, 1, 3]
+
+
+@pytest.mark.parametrize("cell", [1, 1 << 17])
+def test_cells_are_searched_alone(spark, docs, monkeypatch, cell):
+    monkeypatch.setattr(suffix_dedup, "CELL", cell)
+    rng = random.Random(4)
+    pool = ["".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(40)]
+    rows = [(i, "".join(rng.sample(pool, 5))) for i in range(200)]
+    assert got(remove_repeats(docs(*rows))) == brute(rows)
+
+
+def test_chunks_are_filled_from_many_batches(spark, docs):
+    """Rows travel for each chunk and bucket: small batches must not make small chunks."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        name = chunks.pack(docs(*[(i, "some words " * 9) for i in range(2000)]).coalesce(1), suffix_dedup.CHUNK)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert spark.table(name).count() == 1
+    chunks.drop(spark, name)
