@@ -21,7 +21,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.search import build_trigram_index, contains_term, search
@@ -30,6 +30,8 @@ from .versions import current_version, read_version, write_version
 
 _POSTING = "trigram string, field string, id string, place long"
 _TOMBSTONE = "id string, place long"
+#: Rows whose postings go to one file, and postings of a file where segments are merged.
+_FILE_ROWS, _FILE_POSTINGS = 1 << 17, 1 << 22
 _SEGMENT = "place long, name string, postings long, tombstones long"
 
 
@@ -75,11 +77,28 @@ def _publish(spark: SparkSession, root: str, table_version: int, held: list[Segm
     write_version(spark, root, _list_name(table_version), spark.createDataFrame(rows, _SEGMENT).coalesce(1))
 
 
+def _dealt(frame: DataFrame, rows: int, each: int) -> DataFrame:
+    """About `each` rows to a task, by id, which holds for any trigram however frequent it is."""
+    return frame.repartition(max(1, -(-rows // each)), "id")
+
+
+def _index_of(rows: DataFrame) -> DataFrame:
+    """Postings of rows. Rows are dealt before their postings, many for each, are made."""
+    slim = rows.select("id", "text", "amount")
+    return build_trigram_index(_dealt(slim, slim.count(), _FILE_ROWS))
+
+
+def _in_trigram_order() -> Column:
+    """The three characters as one number in the order of the text: numbers are sorted without comparisons."""
+    at = [F.ascii(F.substring("trigram", i, 1)).cast("long") for i in (1, 2, 3)]
+    return F.shiftleft(at[0], 42) + F.shiftleft(at[1], 21) + at[2]
+
+
 def _write(spark: SparkSession, root: str, place: int, postings: DataFrame, tombstones: DataFrame) -> Segment:
-    """One new segment. Ranges include the id, which spreads a frequent trigram over many files."""
+    """One new segment. Each task sorts its postings into a file of its own; look-ups skip by min/max in each."""
     name = f"s{place}-{uuid.uuid4().hex}"
     own = F.lit(place).cast("long").alias("place")
-    (postings.select("trigram", "field", "id", own).repartitionByRange("trigram", "id").sortWithinPartitions("trigram", "id")
+    (postings.select("trigram", "field", "id", own).sortWithinPartitions(_in_trigram_order())
      .write.parquet(f"{root}/postings/{name}"))
     tombstones.select("id", own).distinct().write.parquet(f"{root}/tombstones/{name}")
     made = Segment(place, name, 0, 0)
@@ -102,7 +121,7 @@ def _living(found: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 def create_index(spark: SparkSession, root: str, rows: DataFrame, table_version: int) -> Segment:
     """Index all rows (unique, non-null `id`, `text`, `amount`) of a table version as the first segment."""
-    base = _write(spark, root, 0, build_trigram_index(rows), spark.createDataFrame([], "id string"))
+    base = _write(spark, root, 0, _index_of(rows), rows.select("id").limit(0))
     _publish(spark, root, table_version, [base])
     return base
 
@@ -123,7 +142,8 @@ def _merged(spark: SparkSession, root: str, run: list[Segment], oldest: bool) ->
     """One segment for a run of them. Tombstones stay unless nothing older is left for them to end."""
     tombstones = _tombstones(spark, root, run)
     living = _living(_postings(spark, root, run), tombstones)
-    return _write(spark, root, run[-1].place, living, tombstones.limit(0) if oldest else tombstones)
+    dealt = _dealt(living, sum(s.postings for s in run), _FILE_POSTINGS)
+    return _write(spark, root, run[-1].place, dealt, tombstones.limit(0) if oldest else tombstones)
 
 
 def edit_index(spark: SparkSession, root: str, before: int, after: int, removed: DataFrame, added: DataFrame) -> Segment:
@@ -133,7 +153,7 @@ def edit_index(spark: SparkSession, root: str, before: int, after: int, removed:
     both. Merging follows in the same step where segments have grown for it.
     """
     held = segments(spark, root, before)
-    made = _write(spark, root, held[-1].place + 1, build_trigram_index(added), removed)
+    made = _write(spark, root, held[-1].place + 1, _index_of(added), removed)
     held.append(made)
     first = _to_merge(held)
     if first < len(held):

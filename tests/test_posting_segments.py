@@ -143,3 +143,20 @@ def test_the_index_of_given_files_notices_that_they_changed(spark, tmp_path):
     second = _stored_index(led, rows_now)
     assert second[1] != first[1]
     assert ids(ps.search_segments(spark, second[0], rows_now, second[1], "text")) == ["a", "b"]
+
+
+def test_each_file_holds_the_postings_of_some_rows_in_trigram_order(spark, tmp_path, monkeypatch):
+    """Postings aren't shuffled: rows are dealt before, and every file is sorted alone."""
+    monkeypatch.setattr(ps, "_FILE_ROWS", 50)
+    texts = ["abc zå", "é\U0001f600x abz", "￿a \U00010000b", None, "zz"]
+    frame = spark.createDataFrame([(f"i{n}", texts[n % 5], n) for n in range(400)], "id string, text string, amount long")
+    made = ps.create_index(spark, str(tmp_path / "index"), frame, 1)
+    files = sorted((tmp_path / "index" / "postings" / made.name).glob("*.parquet"))
+    assert 6 <= len(files) <= 8
+    held = []
+    for file in files:
+        own = [tuple(r) for r in spark.read.parquet(str(file)).select("trigram", "field", "id").coalesce(1).collect()]
+        grams = [g.encode() for g, _, _ in own]
+        assert grams == sorted(grams)
+        held += own
+    assert sorted(held) == sorted(tuple(r) for r in search.build_trigram_index(frame).select("trigram", "field", "id").collect())
