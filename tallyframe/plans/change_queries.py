@@ -76,12 +76,19 @@ captured AS (
         WHERE version % 2 = 0))"""
 
 
-def _versions(led: GivenLedger) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    rows = led.transactions()
+def _versions(led: GivenLedger, store: bool = False) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """An old and a new version of the tables.
+
+    store: write transactions and summaries once, for queries that read them in several places;
+    joins, running totals and sums behind them are else evaluated at each.
+    """
+    rows, summaries = led.transactions(), led.account_summaries
+    if store:
+        rows, summaries = settle(rows, "transactions"), settle(summaries, "summaries")
     before = {
         "spaces": led.spaces, "users": led.users, "space_members": led.space_members,
         "categories": led.categories, "accounts": led.accounts, "transactions": rows,
-        "account_summaries": led.account_summaries, "space_settings": led.space_settings,
+        "account_summaries": summaries, "space_settings": led.space_settings,
         "trusted_devices": led.trusted_devices, "model_versions": led.model_versions,
     }
     last = F.substring("id", -1, 1)
@@ -101,7 +108,7 @@ def _versions(led: GivenLedger) -> tuple[dict[str, DataFrame], dict[str, DataFra
         "spaces": led.spaces.withColumn(
             "name", F.when(F.col("id").isin("s1", "s2"), "renamed").otherwise(F.col("name"))
         ).withColumn("deleted", F.col("id") == "s2"),
-        "account_summaries": led.account_summaries.where(F.substring("month", 6, 2) != "12"),
+        "account_summaries": summaries.where(F.substring("month", 6, 2) != "12"),
         "model_versions": versions.unionByName(versions.where("version % 2 = 0").withColumn(
             "version", F.col("version") + 1000)),
     }
@@ -114,7 +121,7 @@ def _versions(led: GivenLedger) -> tuple[dict[str, DataFrame], dict[str, DataFra
     FROM captured""", _CAPTURED))
 def _(led: GivenLedger) -> DataFrame:
     """Nine tables compared; the update of a soft-deleted space is not announced."""
-    before, after = _versions(led)
+    before, after = _versions(led, store=True)
     return capture.capture_changes(before, after, "dev-1", 100, AT).drop("id", "changed_at")
 
 
@@ -324,7 +331,7 @@ def _(led: GivenLedger) -> DataFrame:
     UNION ALL SELECT 'spaces', id, CASE WHEN id = 's1' THEN 'renamed' ELSE name END FROM spaces""", _CAPTURED))
 def _(led: GivenLedger) -> DataFrame:
     """Changes captured between two versions, applied to the first, give the second."""
-    before, after = _versions(led)
+    before, after = _versions(led, store=True)
     log = settle(capture.capture_changes(before, after, "dev-1", 0, AT), "log")
     out = replicate.apply_changes(before, log.withColumn("batch_no", F.lit(0)))
 
