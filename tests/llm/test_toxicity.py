@@ -1,14 +1,16 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyframe.llm.toxicity import DECAY, FLOOR, SPAN, Model, _dense, toxicity, without_toxic
+from tallyframe.llm.toxicity import DECAY, FLOOR, SPAN, Model, _clean, _dense, _distinct_units, _score, _witnesses, toxicity, without_toxic
 
 INSULTS = ["grumblefex", "snotwick", "flarkmoudel"]
 
@@ -119,3 +121,21 @@ def test_marks_and_blanks_between_letters_change_no_decision(spark, corpus, docs
     texts = [(d, f"Riner soptamo {w} and that is all") for d, w in forms.items()]
     got = {r.doc_id: r for r in toxicity(documents.withColumnRenamed("score", "bucket").union(docs(*texts)), labels).collect()}
     assert {d: got[d].predicted for d in forms} == dict.fromkeys(forms, 1)
+
+
+@pytest.mark.parametrize("step", ["score", "clean", "witnesses", "units"])
+def test_memory_of_a_large_batch(step):
+    rng, letters = np.random.default_rng(5), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz  ", np.uint8)
+    texts = [letters[rng.integers(0, len(letters), 100_000)].tobytes().decode() for _ in range(20)]
+    model = SimpleNamespace(value=Model([b"idiot", b"grumblefex"], _dense([b"idiot", b"grumblefex"])))
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(20), "held_out": [False] * 20, "toxic": [i % 2 for i in range(20)], "text": texts})
+    run = {"score": _score(model), "clean": _clean(model, "text"), "witnesses": _witnesses(model), "units": _distinct_units}[step]
+    assert sum(b.num_rows for b in run(iter([batch.slice(0, 1)]))) > 0  # what is made once isn't counted
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 20 or step == "units" and rows > 20
+    assert peak < 24e6
