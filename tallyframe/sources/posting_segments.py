@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.search import build_trigram_index, contains_term, search
+from ..session import settle
 from . import keyed_files
 from .versions import current_version, read_version, write_version
 
@@ -32,6 +33,8 @@ _POSTING = "trigram string, field string, id string, place long"
 _TOMBSTONE = "id string, place long"
 #: Rows whose postings go to one file, and postings of a file where segments are merged.
 _FILE_ROWS, _FILE_POSTINGS = 1 << 17, 1 << 22
+#: Bits, in words of 64, that tell which ids may be in tombstones: 4 MB, whatever the number of tombstones.
+_WORDS = 1 << 19
 _SEGMENT = "place long, name string, postings long, tombstones long"
 
 
@@ -119,6 +122,34 @@ def _living(found: DataFrame, tombstones: DataFrame) -> DataFrame:
     return found.join(last, (found.id == last.id) & (last.ended > found.place), "left_anti")
 
 
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(64 * _WORDS))
+
+
+def _named(tombstones: DataFrame) -> Column:
+    """Whether a row's id may be in the tombstones: true for all that are, and for some that aren't."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(_bit(), F.lit(64)).cast("int"))
+    words = tombstones.select(F.shiftright(_bit(), 6).alias("word"), bit.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    every = tombstones.sparkSession.range(_WORDS).join(words, F.col("id") == F.col("word"), "left")
+    held = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w"))
+    bits = settle(held.select(F.col("w.bits").alias("bits")), "ended").scalar()  # one row
+    return F.getbit(F.get(bits, F.shiftright(_bit(), 6).cast("int")), F.pmod(_bit(), F.lit(64)).cast("int")) == 1
+
+
+def _living_postings(spark: SparkSession, root: str, held: list[Segment]) -> DataFrame:
+    """The postings of segments that no tombstone of a newer one ends.
+
+    Only postings whose id may be in a newer tombstone are joined. The others, which are nearly
+    all after small edits, stay in the tasks that read them.
+    """
+    postings, ends = _postings(spark, root, held), [s.place for s in held if s.tombstones]
+    if not ends:
+        return postings
+    tombstones = _tombstones(spark, root, held)
+    asked = (F.col("place") < max(ends)) & _named(tombstones)
+    return postings.where(~asked).unionByName(_living(postings.where(asked), tombstones))
+
+
 def create_index(spark: SparkSession, root: str, rows: DataFrame, table_version: int) -> Segment:
     """Index all rows (unique, non-null `id`, `text`, `amount`) of a table version as the first segment."""
     base = _write(spark, root, 0, _index_of(rows), rows.select("id").limit(0))
@@ -141,8 +172,7 @@ def _to_merge(held: list[Segment]) -> int:
 def _merged(spark: SparkSession, root: str, run: list[Segment], oldest: bool) -> Segment:
     """One segment for a run of them. Tombstones stay unless nothing older is left for them to end."""
     tombstones = _tombstones(spark, root, run)
-    living = _living(_postings(spark, root, run), tombstones)
-    dealt = _dealt(living, sum(s.postings for s in run), _FILE_POSTINGS)
+    dealt = _dealt(_living_postings(spark, root, run), sum(s.postings for s in run), _FILE_POSTINGS)
     return _write(spark, root, run[-1].place, dealt, tombstones.limit(0) if oldest else tombstones)
 
 
@@ -170,13 +200,21 @@ def follow_table(spark: SparkSession, root: str, table: str, before: int, after:
     """
     columns = ["id", "text", "amount"]
     gone, fresh = (f.select(*columns) for f in keyed_files.replaced_rows(spark, table, before, after))
-    return edit_index(spark, root, before, after, gone.subtract(fresh), fresh.subtract(gone))
+    removed, added = _differing(gone, fresh)
+    return edit_index(spark, root, before, after, removed, added)
+
+
+def _differing(gone: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct rows that only the first frame has, and that only the second has: found in one pass, and written."""
+    sides = gone.withColumn("side", F.lit(1)).unionByName(fresh.withColumn("side", F.lit(2)))
+    found = settle(sides.groupBy(*gone.columns).agg(F.bit_or("side").alias("side")).where("side < 3"), "edits")
+    return tuple(found.where(F.col("side") == k).drop("side") for k in (1, 2))
 
 
 def live_postings(spark: SparkSession, root: str, table_version: int) -> DataFrame:
     """All postings (trigram, field, id) that count for a table version."""
     held = segments(spark, root, table_version)
-    return _living(_postings(spark, root, held), _tombstones(spark, root, held)).select("trigram", "field", "id")
+    return _living_postings(spark, root, held).select("trigram", "field", "id")
 
 
 def search_segments(spark: SparkSession, root: str, rows: DataFrame, table_version: int, term: str) -> DataFrame:

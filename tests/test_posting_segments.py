@@ -160,3 +160,35 @@ def test_each_file_holds_the_postings_of_some_rows_in_trigram_order(spark, tmp_p
         assert grams == sorted(grams)
         held += own
     assert sorted(held) == sorted(tuple(r) for r in search.build_trigram_index(frame).select("trigram", "field", "id").collect())
+
+
+def test_postings_that_no_tombstone_names_are_not_shuffled(spark, indexed):
+    root, held = indexed
+    now = {**held, "k003": ("Other text", 7)}
+    ps.edit_index(spark, root, 1, 2, frame(spark, {"k003": held["k003"]}), frame(spark, {"k003": now["k003"]}))
+    check(spark, root, 2, now, "other")
+    tree = ps.live_postings(spark, root, 2)._jdf.queryExecution().executedPlan().toString()
+    first = tree.split("Union")[1].split("Join")[0]
+    assert "getbit" in first and "Exchange" not in first
+    named = ps._named(frame(spark, {"k003": now["k003"], "k005": ("", 0)}))
+    assert {r.id for r in frame(spark, held).where(named).collect()} >= {"k003", "k005"}
+    assert frame(spark, held).where(named).count() < 10
+
+
+def test_what_differs_between_versions_is_found_in_one_pass(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    old = [("a", "x", 1), ("a", "x", 1), ("b", None, 2), ("c", "y", None), (None, "z", 3)]
+    new = [("b", None, 2), ("c", "y", 4), (None, "z", 3), ("d", "", 5), ("d", "", 5)]
+    gone, fresh = (spark.createDataFrame(r, SCHEMA).mapInArrow(counted, SCHEMA) for r in (old, new))
+    removed, added = ps._differing(gone, fresh)
+    for _ in range(2):
+        assert rows(removed) == rows(gone.subtract(fresh)) and rows(added) == rows(fresh.subtract(gone))
+    before = seen.value
+    removed.collect(), added.collect()
+    assert seen.value == before
