@@ -105,11 +105,10 @@ def _parsed(low: str, layout: _Layout) -> tuple:
     return tuple(int(v) if number else v for v, number in zip(json.loads(low), whole))
 
 
-def _write(spark: SparkSession, root: str, layout: _Layout, rows: DataFrame, part: str, slots: bool) -> DataFrame:
+def _write(spark: SparkSession, root: str, layout: _Layout, rows: DataFrame, part: str) -> DataFrame:
     """Write rows as files of one slot and key range each, with their filters; returns their index rows."""
     out = f"{root}/rows/{part}"
-    writer = rows.write.mode("errorifexists").option("maxRecordsPerFile", 2 * layout.file_rows)
-    (writer.partitionBy("slot") if slots else writer).parquet(out)
+    rows.write.mode("errorifexists").option("maxRecordsPerFile", 2 * layout.file_rows).partitionBy("slot").parquet(out)
     back = spark.read.schema(layout.schema).option("recursiveFileLookup", "true").parquet(out)
     name = F.concat(F.lit(f"{part}/"), F.element_at(F.split("_metadata.file_path", f"/rows/{part}/"), -1))
     keys = back.select(name.alias("file"), *layout.keys, *_hashes(layout.keys))
@@ -119,15 +118,27 @@ def _write(spark: SparkSession, root: str, layout: _Layout, rows: DataFrame, par
     return keys.groupBy("file").agg(least.alias("low"), F.count(F.lit(1)).alias("rows"))
 
 
+def _write_tasks(rows: list[int], file_rows: int, least: int) -> int:
+    """Tasks that write files of these numbers of rows.
+
+    A task takes many small files, and writes one for each slot it meets. A slot that two tasks meet becomes
+    two files, so with a task for each file an edit would cut most files in two.
+    """
+    whole = sum(-(-n // file_rows) for n in rows)
+    return max(1, min(whole, max(least, -(-sum(rows) // FILE_ROWS))))
+
+
 def create_table(spark: SparkSession, root: str, frame: DataFrame, keys: list[str], file_rows: int = FILE_ROWS) -> int:
     """Store a frame with unique, non-null keys (texts or whole numbers); returns its version, 1."""
     layout = _Layout(keys, T.StructType([T.StructField(f.name, f.dataType) for f in frame.schema]), file_rows)
     meta = [(keys, json.dumps(layout.schema.jsonValue()), file_rows)]
     spark.createDataFrame(meta, "keys array<string>, schema string, file_rows long").coalesce(1).write.mode("errorifexists").parquet(f"{root}/layout")
     frame = settle(frame, "to-store")  # counted, sampled for the ranges and written
-    files = max(1, -(-frame.count() // file_rows))
-    ranged = frame.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
-    index = _write(spark, root, layout, ranged, "v1", slots=False)
+    count = frame.count()
+    files = max(1, -(-count // file_rows))
+    ranged = frame.repartitionByRange(files, *keys).withColumn("slot", F.spark_partition_id().cast("long"))
+    tasks = _write_tasks([file_rows] * files, file_rows, spark.sparkContext.defaultParallelism)
+    index = _write(spark, root, layout, ranged.coalesce(tasks).sortWithinPartitions("slot", *keys), "v1")
     return write_version(spark, root, "index", index.coalesce(1))
 
 
@@ -165,10 +176,13 @@ def replaced_rows(spark: SparkSession, root: str, before: int, after: int) -> tu
 
 def _located(frame: DataFrame, keys: list[str], lows: list[tuple]) -> DataFrame:
     """Add `slot`: the number of the last file whose least key is not above the row's."""
+    single = len(keys) == 1 and lows != [()]
+    bounds = [low[0] for low in lows] if single else lows
+
     def run(batches):
         for batch in batches:
-            own = zip(*[batch.column(k).to_pylist() for k in keys])
-            slots = [max(bisect.bisect_right(lows, key) - 1, 0) for key in own]
+            own = batch.column(keys[0]).to_pylist() if single else zip(*[batch.column(k).to_pylist() for k in keys])
+            slots = [max(bisect.bisect_right(bounds, key) - 1, 0) for key in own]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slots, pa.int64())], names=[*batch.schema.names, "slot"])
     return frame.mapInArrow(run, T.StructType([*frame.schema.fields, T.StructField("slot", T.LongType())]))
 
@@ -231,9 +245,9 @@ def edit_table(spark: SparkSession, root: str, touched: DataFrame, change: Calla
             return Edit(version, len(files), 0, 0)
     part = f"v{version + 1}"
     changed = _located(change(_read(spark, root, layout, [files[s] for s in hit])).select(*layout.schema.names), layout.keys, lows)
-    tasks = max(1, sum(-(-rows[s] // layout.file_rows) for s in hit))
+    tasks = _write_tasks([rows[s] for s in hit], layout.file_rows, spark.sparkContext.defaultParallelism)
     ranged = changed.repartitionByRange(tasks, "slot", *layout.keys).sortWithinPartitions("slot", *layout.keys)
-    fresh = _write(spark, root, layout, ranged, part, slots=True)
+    fresh = _write(spark, root, layout, ranged, part)
     gone = spark.createDataFrame([(files[s],) for s in hit], "file string")
     kept = read_version(spark, root, "index", version).join(gone, "file", "left_anti")
     index = kept.unionByName(fresh).coalesce(1)

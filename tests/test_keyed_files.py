@@ -105,3 +105,13 @@ def test_a_stored_frame_is_evaluated_once(spark, tmp_path):
     kf.create_table(spark, str(tmp_path / "t"), spark.range(1000).mapInArrow(count, "id long"), ["id"], file_rows=100)
     assert seen.value == 1000
     assert kf.read_table(spark, str(tmp_path / "t")).count() == 1000
+
+
+def test_an_edit_of_every_file_leaves_about_as_many(spark, tmp_path):
+    """Small files are written many to a task: where a task's rows end no more than one file is cut in two."""
+    root = str(tmp_path / "table")
+    kf.create_table(spark, root, spark.range(4000).withColumn("v", F.lit(0)), ["id"], file_rows=50)
+    every = spark.range(4000).withColumn("v", F.lit(1))
+    done = kf.edit_table(spark, root, every, lambda t: apply_edits(t, every, ["id"]))
+    assert done.rewritten == done.files >= 60 and done.files <= done.written <= done.files + spark.sparkContext.defaultParallelism
+    assert kf.read_table(spark, root).agg(F.sum("v"), F.count("v")).first() == (4000, 4000)
