@@ -229,3 +229,34 @@ def test_a_step_reads_its_own_rows(spark, tmp_path):
             assert "PartitionFilters: [isnotnull(step" in read
         seen.append([rows(p) for p in parts])
     assert seen[0] != seen[1]
+
+
+def test_packed_rows_keep_their_numbers(spark):
+    import pyarrow as pa
+
+    data = [("s", "a", [1.5, None], [0.25, -3.0]), ("s", "b", [math.pi, -0.0], [1e-3, 7.0]), ("t", "c", [2.0**-40, 1e300], [0.0, 1.0])]
+    frame = spark.createDataFrame(data, "space_id string, id string, embedding array<double>, features array<float>")
+    held = training.packed(frame)
+    assert [f.dataType.simpleString() for f in held.schema] == ["string", "string", "binary", "binary"]
+    assert training.packed(held) is held
+    plain, got = ({r.id: r for r in f.collect()} for f in (frame, held))
+    assert {k: (len(r.embedding), len(r.features)) for k, r in got.items()} == dict.fromkeys("abc", (16, 8))
+    for name, size in (("embedding", 2), ("features", 2)):
+        lists = pa.chunked_array([pa.array([plain[k][name] for k in "abc"], pa.list_(pa.float64()))])
+        whole = pa.chunked_array([pa.array([bytes(got[k][name]) for k in "xabc" if k in got], pa.binary())])
+        for cut in (slice(0, 3), slice(1, 3), slice(0, 0)):
+            n = cut.stop - cut.start
+            assert np.array_equal(training._stacked(whole.slice(cut.start, n), size), training._stacked(lists.slice(cut.start, n), size), equal_nan=True)
+
+
+def test_packed_rows_train_and_are_scored_alike(spark):
+    frame = spark.createDataFrame(made("a", 90, [3, 8, 11], 1) + made("b", 30, [2, 5], 2), SCHEMA)
+    classes = spark.createDataFrame([(3, "x"), (5, "y")], "position long, name string")
+    plan, found = training.Plan(epochs=2, small_rows=50, steps=3, piece_rows=7), []
+    for rows_in in (frame, training.packed(frame)):
+        models = training.train_spaces(rows_in, TEXT, plan)[0].withColumn("version", F.lit(1).cast("long"))
+        chosen = models.select("space_id", "version")
+        found.append((figures(models), rows(training.predict_versions(rows_in, models, chosen, classes, piece_rows=20))))
+    assert found[0][1] == found[1][1] and len(found[0][1]) == 120
+    for key, four in found[0][0].items():
+        assert np.allclose(four, found[1][0][key], rtol=1e-9)
