@@ -166,3 +166,27 @@ def test_written_text_statements_are_read_back(spark, tmp_path):
         got = {r.file.rsplit("/", 1)[1]: r.text for r in read_statement_text(spark, at).collect()}
         assert got == {"a.txt": "x\ny\n", "b.txt": "\n", "c.txt": "\n", "d.txt": got["d.txt"], **{f"n{i}.txt": f"{i}\n" for i in range(200)}}
         assert got["d.txt"] in ("é\n2\n", "2\né\n")
+
+
+def test_text_statements_are_listed_and_read_in_tasks(spark, tmp_path):
+    """The rows of Spark's reader, which would list every file on the driver."""
+    import gzip
+
+    names = ["plain.txt", "with space.txt", "100%.txt", "a#b.txt", "å+é.txt", "x=1,y;z.txt", "q?.txt", "[b].txt", "a%20b.txt", ".hidden", "_hidden", "_k=v.txt"]
+    for folder in ("flat", "dealt/task=0", "dealt/task=a b", "dealt/_task=2/part=9", "flat/deeper"):
+        (tmp_path / folder).mkdir(parents=True)
+        for name in names:
+            (tmp_path / folder / name).write_bytes(f"{folder} {name}\n\r\nend".encode() + b"\xff\xfe")
+        (tmp_path / folder / "empty.txt").touch()
+        (tmp_path / folder / "old.txt.gz").write_bytes(gzip.compress(b"old ") + gzip.compress(b"text"))
+    (tmp_path / "none").mkdir()
+    columns = [F.col("_metadata.file_path").alias("file"), F.md5("value").alias("text")]
+    for path in ("flat", "dealt/task=0", "none", "flat/plain.txt", "flat/*.gz", "dealt/task=*", "fl{at,ow}"):
+        got = read_statement_text(spark, f"{tmp_path}/{path}")
+        want = spark.read.text(f"{tmp_path}/{path}", wholetext=True).select(*columns)
+        assert rows(got.withColumn("text", F.md5("text"))) == rows(want), path
+        assert "Scan text" not in got._jdf.queryExecution().executedPlan().toString()
+    assert read_statement_text(spark, f"{tmp_path}/dealt").count() == 33
+    assert read_statement_text(spark, f"file://{tmp_path}/flat").count() == 11
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_statement_text(spark, f"{tmp_path}/missing")
