@@ -25,7 +25,9 @@ _ENTRY = "file string, folder boolean, size long"
 _ENTRY_ARROW = pa.schema([("file", pa.string()), ("folder", pa.bool_()), ("size", pa.int64())])
 #: Characters that Spark doesn't leave as they are in a file's name.
 _QUOTED = re.compile(r"[^A-Za-z0-9_!.~'()*,;:$&+=@\u0080-\U0010ffff-]")
-_COMPRESSED, _UNREADABLE = {"gz": "gzip", "bz2": "bz2", "zst": "zstd"}, {"deflate", "snappy", "lz4"}
+#: Characters with a meaning in a path that Spark reads.
+_ACTIVE = re.compile(r"[\[\]{}*?\\,^]")
+_COMPRESSED, _ONLY_SPARK = {"gz": "gzip", "bz2": "bz2", "zst": "zstd"}, ("deflate", "snappy", "lz4")
 _TASK_BYTES, _BATCH_BYTES = 128 << 20, 8 << 20
 
 
@@ -92,10 +94,11 @@ def read_statement_text(spark: SparkSession, path: str) -> DataFrame:
     Spark's reader lists every file on the driver; here tasks list the folders, level by level, and read the
     files, so the driver holds what `path` names itself and no more. What counts as a file is the
     reader's rule: hidden and empty files don't, and of folders only those named `key=value` are entered.
+    Files of Hadoop's own compressions, should there be any, are left to Spark's reader.
     """
     roots = _roots(spark, path)
     if not roots:
-        return spark.read.text(path, wholetext=True)  # raises as any reader would
+        return _read_by_spark(spark, path)  # raises as any reader would
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found, folders, left = [], spark.createDataFrame(roots, _ENTRY).coalesce(1), len(roots)
     while left:
@@ -104,9 +107,17 @@ def read_statement_text(spark: SparkSession, path: str) -> DataFrame:
         folders = level.where("folder")
         left = folders.count()
     files = reduce(DataFrame.unionByName, found)
+    odd = F.substring_index("file", ".", -1).isin(*_ONLY_SPARK)
+    rare = [_ACTIVE.sub(r"\\\g<0>", unquote(r.file)) for r in files.where(odd).collect()]
+    files = files.where(~odd)
     size = files.agg(F.sum("size")).first()[0] or 0
     dealt = files.select("file").repartition(max(tasks, -(-size // _TASK_BYTES)), "file")
-    return dealt.mapInArrow(_texts, "file string, text binary").select("file", F.col("text").cast("string").alias("text"))
+    texts = dealt.mapInArrow(_texts, "file string, text binary").select("file", F.col("text").cast("string").alias("text"))
+    return texts.unionByName(_read_by_spark(spark, rare)) if rare else texts
+
+
+def _read_by_spark(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def _roots(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
@@ -162,10 +173,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for file in batch.column("file").to_pylist():
-            (store, at), end = stores.find(file), file.rsplit(".", 1)[-1]
-            if end in _UNREADABLE:
-                raise ValueError(f"can't read files of this compression: {file}")
-            with store.open_input_stream(at, compression=_COMPRESSED.get(end)) as held:
+            store, at = stores.find(file)
+            with store.open_input_stream(at, compression=_COMPRESSED.get(file.rsplit(".", 1)[-1])) as held:
                 texts.append(held.read())
             names.append(file)
             size += len(texts[-1])
